@@ -155,7 +155,7 @@ def _sites(spark: SparkSession, d: str) -> DataFrame:
 def source_priority(spark, d):
     sites = _sites(spark, d)
     kind = F.length("site") % 5
-    named = sites.where(kind == 0).select("site", F.explode(F.sequence(F.lit(0), F.lit(1))).cast("bigint").alias("pos"))
+    named = sites.where(kind == 0).select("site", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<bigint>")).alias("pos"))
     named = named.withColumn("sitemap_url", F.concat("site", F.lit("/robots-"), F.col("pos").cast("string"), F.lit(".xml")))
     probe = sites.select("site", F.explode(F.array(*map(F.lit, fv.SITEMAP_PATHS))).alias("path"))
     bad = ((F.col("path") == "/sitemap.xml") & (kind >= 2)) | ((F.col("path") == "/sitemap_index.xml") & (kind >= 3))
