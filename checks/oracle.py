@@ -447,8 +447,8 @@ def _loc(inner: str) -> str:
 LOCATIONS = f"""
     locs as (
       select sitemap_url, min(pos) as pos, url from (
-        select sitemap_url, pos, {_loc('inner')} as url from (
-          select sitemap_url, unnest(l) as inner, unnest(range(len(l))) as pos
+        select sitemap_url, pos, {_loc('body')} as url from (
+          select sitemap_url, unnest(l) as body, unnest(range(len(l))) as pos
           from (select sitemap_url, regexp_extract_all(xml, '(?s)<loc>(.*?)</loc>', 1) as l from files where not contains(xml, '<sitemap>'))))
       where url <> '' and not {skippable('url')} group by sitemap_url, url
     )"""
@@ -602,7 +602,7 @@ def resolved(base: str, href: str) -> str:
           from (select *, regexp_extract(rest, '^[^?]*') as rp
             from (select *, case when own <> '' then ref[length(own) + 2:] else ref end as rest
               from (select *, lower(regexp_extract(ref, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) as own, bs || '://' || {netloc(base)} as root
-                from (select split_part({strip(href)}, '#', 1) as ref, {scheme(base)} as bs, regexp_extract({base}, {q(URL_PATTERN)}, 3) as bp))))))"""
+                from (select split_part({strip(href)}, '#', 1) as ref, {scheme(base)} as bs, regexp_extract({base}, {q(URL_PATTERN)}, 3) as bp)))))))"""
 
 
 _HREFS = [
