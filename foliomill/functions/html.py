@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliomill import fixed_values as fv
 from foliomill.functions.text import decode_entities, strip
 
-LANGUAGE_PATTERN = r"^(?:language|lang|highlight)[_-](\w+)"
+LANGUAGE_PATTERN = r"(?:^| )(?:language|lang|highlight)[_-](\w+)"
 
 
 def attribute(token: Column, name: str) -> Column:
@@ -26,9 +26,11 @@ def class_list(token: Column) -> Column:
 
 
 def code_language(classes: Column) -> Column:
-    """Language of a code element: the first class like ``language-x``, ``lang_x``, ``highlight-x``."""
-    names = F.transform(F.split(classes, " "), lambda c: F.regexp_extract(c, LANGUAGE_PATTERN, 1))
-    return F.coalesce(F.try_element_at(F.filter(names, lambda n: n != ""), F.lit(1)), F.lit(""))
+    """Language of a code element: the first class like ``language-x``, ``lang_x``, ``highlight-x``.
+
+    One pattern over the class list: a name starts at the beginning or after a space.
+    """
+    return F.regexp_extract(classes, LANGUAGE_PATTERN, 1)
 
 
 def visible_html(html: Column) -> Column:

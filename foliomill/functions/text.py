@@ -26,34 +26,38 @@ def collapse_spaces(col: Column) -> Column:
     return F.regexp_replace(col, r"[ \t\r\n\f]+", " ")
 
 
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 # 252 names of HTML 4 from the standard library, plus the one XML adds.
 ENTITY_TEXT = {**{n: chr(c) for n, c in sorted(name2codepoint.items())}, "apos": "'"}
 ENTITY_PIECES = r"&#[xX][0-9a-fA-F]{1,6};?|&#[0-9]{1,7};?|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&"
 
-
-def _code_point(piece: Column) -> Column:
-    hexa = F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]+)", 1)
-    number = F.when(hexa != "", F.conv(hexa, 16, 10)).otherwise(F.regexp_extract(piece, r"^&#([0-9]+)", 1))
-    code = number.cast("int")
-    valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
-    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit(""))
+_HEX, _DECIMAL, _NAME = r"^&#[xX]([0-9a-fA-F]+)", r"^&#([0-9]+)", r"^&([A-Za-z0-9]+);$"
+_CODE = (
+    f"cast(case when p rlike {quoted(_HEX)} then conv(regexp_extract(p, {quoted(_HEX)}, 1), 16, 10) "
+    f"else regexp_extract(p, {quoted(_DECIMAL)}, 1) end as int)"
+)
+# The names are two literals that planning folds into one constant map.
+_DECODE_PIECE = f"""
+p -> case
+  when not startswith(p, '&') or p = '&#' then p
+  when startswith(p, '&#') then case
+    when {_CODE} between 1 and 55295 or {_CODE} between 57344 and 1114111 then decode(unhex(lpad(hex({_CODE}), 8, '0')), 'UTF-32')
+    else '' end
+  else coalesce(element_at(
+    map_from_arrays(split({quoted(" ".join(ENTITY_TEXT))}, ' '), split({quoted("|".join(ENTITY_TEXT.values()))}, '[|]')),
+    regexp_extract(p, {quoted(_NAME)}, 1)), p)
+end"""
 
 
 def decode_entities(col: Column) -> Column:
     """Decode numeric and named character references in one pass, so ``&amp;lt;`` stays ``&lt;``."""
-    # Two literals, folded to one constant map when the query is planned.
-    names = F.map_from_arrays(F.split(F.lit(" ".join(ENTITY_TEXT)), " "), F.split(F.lit("|".join(ENTITY_TEXT.values())), r"\|"))
-
-    def piece(p: Column) -> Column:
-        named = F.element_at(names, F.regexp_extract(p, r"^&([A-Za-z0-9]+);$", 1))
-        return (
-            F.when(~p.startswith("&"), p)
-            .when(p.startswith("&#"), F.when(F.length(p) > 2, _code_point(p)).otherwise(p))
-            .otherwise(F.coalesce(named, p))
-        )
-
     pieces = F.regexp_extract_all(col, F.lit(ENTITY_PIECES), F.lit(0))
-    return F.when(~F.contains(col, F.lit("&")), col).otherwise(F.array_join(F.transform(pieces, piece), ""))
+    decoded = F.array_join(F.call_function("transform", pieces, F.expr(_DECODE_PIECE)), "")
+    return F.when(F.contains(col, F.lit("&")), decoded).otherwise(col)
 
 
 def clean_markdown(col: Column) -> Column:

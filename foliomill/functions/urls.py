@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomill import fixed_values as fv
+from foliomill.functions.text import quoted
 
 URL_PATTERN = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
 
@@ -61,39 +62,41 @@ def site_slug(url: Column) -> Column:
     return F.when(name == "", F.lit(fv.DEFAULT_SLUG)).otherwise(name)
 
 
-def _without_dots(p: Column) -> Column:
-    """Remove ``.``, ``..`` and empty middle segments from an absolute path."""
-
-    def step(acc: Column, seg: Column) -> Column:
-        up = F.regexp_replace(acc, r"/[^/]*\z", "")
-        return F.when(seg == "..", up).when(seg.isin(".", ""), acc).otherwise(F.concat(acc, F.lit("/"), seg))
-
-    folded = F.aggregate(F.split(p, "/"), F.lit(""), step)
-    is_dir = p.rlike(r"(?:/|/\.|/\.\.)\z")
-    return F.when(p.rlike(r"//|/\.\.?(?:/|\z)"), F.concat(folded, F.when(is_dir, "/").otherwise(""))).otherwise(p)
-
-
-def resolve(base: Column, href: Column) -> Column:
-    """Absolute form of ``href`` on page ``base``; the fragment is cut off."""
-    ref = F.substring_index(F.regexp_replace(strip_href(href), r"[\t\r\n]", ""), "#", 1)
-    own = F.lower(F.regexp_extract(ref, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    foreign = (own != "") & (own != scheme(base))
-    rest = F.when(own != "", F.substring(ref, F.length(own) + F.lit(2), F.length(ref))).otherwise(ref)
-    root = F.concat(scheme(base), F.lit("://"), netloc(base))
-    base_path = F.regexp_extract(base, URL_PATTERN, 3)
-    folder = F.regexp_extract(base_path, r"^(.*/)", 1)
-    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
-    rest_path = F.regexp_extract(rest, r"^([^?]*)", 1)
-    rest_query = F.substring(rest, F.length(rest_path) + F.lit(1), F.length(rest))
-    joined = _without_dots(F.when(F.startswith(rest_path, F.lit("/")), rest_path).otherwise(F.concat(folder, rest_path)))
-    return (
-        F.when(foreign, ref)
-        .when(F.startswith(rest, F.lit("//")), F.concat(scheme(base), F.lit(":"), rest))
-        .when(rest == "", F.substring_index(base, "#", 1))
-        .when(F.startswith(rest, F.lit("?")), F.concat(root, base_path, rest))
-        .otherwise(F.concat(root, joined, rest_query))
-    )
-
+def resolve(rows: DataFrame, base: str, href: str, out: str) -> DataFrame:
+    """Add ``out``: the absolute form of link ``href`` on page ``base``, without fragment.
 
-def strip_href(href: Column) -> Column:
-    return F.btrim(href, F.lit(fv.WHITE_SPACE))
+    Computed in named steps, so that each piece is evaluated once.  Map-only.
+    """
+    pattern = quoted(URL_PATTERN)
+    steps = rows.selectExpr(
+        "*",
+        f"substring_index(regexp_replace(btrim({href}, {quoted(fv.WHITE_SPACE)}), '[\\t\\r\\n]', ''), '#', 1) as _ref",
+        f"lower(regexp_extract({base}, {pattern}, 1)) as _scheme",
+        f"regexp_extract({base}, {pattern}, 2) as _netloc",
+        f"regexp_extract({base}, {pattern}, 3) as _base_path",
+    )
+    steps = steps.selectExpr(
+        "*",
+        "lower(regexp_extract(_ref, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) as _own",
+        "concat(_scheme, '://', _netloc) as _root",
+        "coalesce(nullif(regexp_extract(_base_path, '^.*/', 0), ''), '/') as _folder",
+    )
+    steps = steps.selectExpr("*", "if(_own = '', _ref, substring(_ref, length(_own) + 2)) as _rest")
+    steps = steps.selectExpr("*", "substring_index(_rest, '?', 1) as _rest_path")
+    steps = steps.selectExpr("*", "if(startswith(_rest_path, '/'), _rest_path, concat(_folder, _rest_path)) as _path")
+    # "." and empty middle segments go, ".." takes its predecessor along.
+    folded = """aggregate(split(_path, '/'), '', (path, name) -> case
+        when name = '..' then regexp_replace(path, '/[^/]*$', '') when name in ('.', '') then path else concat(path, '/', name) end)"""
+    return steps.selectExpr(
+        *rows.columns,
+        f"""case
+          when _own not in ('', _scheme) then _ref
+          when startswith(_rest, '//') then concat(_scheme, ':', _rest)
+          when _rest = '' then substring_index({base}, '#', 1)
+          when startswith(_rest, '?') then concat(_root, _base_path, _rest)
+          else concat(
+            _root,
+            if(_path rlike '//|/[.][.]?(?:/|$)', concat({folded}, if(_path rlike '/[.]{{0,2}}$', '/', '')), _path),
+            substring(_rest, length(_rest_path) + 1))
+          end as {out}""",
+    )

@@ -9,37 +9,28 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomill import fixed_values as fv
 from foliomill.functions import html as H
 from foliomill.functions import text as X
-from foliomill.operators.tokens import page_tokens
+from foliomill.operators.tokens import page_tokens, tag_in
 
 LINK_DENSITY_LIMIT = 3  # a block is boilerplate when more than 1/3 of its text is link text
 
 
-def _in_order(key: str):
-    return Window.partitionBy(key).orderBy("pos")
+def _so_far(key: str) -> str:
+    return f"(partition by {key} order by pos rows between unbounded preceding and current row)"
 
 
-def _so_far(key: str):
-    return _in_order(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _whole_page(key: str) -> str:
+    return f"(partition by {key} order by pos rows between unbounded preceding and unbounded following)"
 
 
-def _whole_page(key: str):
-    return _in_order(key).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
-
-def covered_by(condition: Column, key: str = "page_id") -> Column:
-    """True inside (and at the tags of) any element whose open token meets the condition."""
-    ends = F.when((F.col("kind") == "open") & condition, F.col("end"))
-    return F.coalesce(F.max(ends).over(_so_far(key)) >= F.col("pos"), F.lit(False))
-
-
-def has_class(token: Column, name: str) -> Column:
-    return F.contains(F.concat(F.lit(" "), H.class_list(token), F.lit(" ")), F.lit(f" {name} "))
+def covered_by(condition: str, key: str = "page_id") -> str:
+    """SQL: true inside (and at the tags of) any element whose open token meets the condition."""
+    return f"coalesce(max(case when kind = 'open' and ({condition}) then end end) over {_so_far(key)} >= pos, false)"
 
 
 _COMPOUND = re.compile(r"^(\*|[A-Za-z][\w-]*)?((?:[.#][\w-]+|\[[\w-]+(?:=(?:'[^']*'|\"[^\"]*\"|[\w-]+))?\])*)$")
@@ -51,19 +42,24 @@ def compound_condition(compound: str) -> Column:
     match = _COMPOUND.match(compound)
     if not compound or match is None:
         raise ValueError(f"unsupported selector: {compound!r}")
-    token, condition = F.col("token"), F.col("kind").isin("open", "void")
+    tests = ["kind in ('open', 'void')"]
     if match.group(1) and match.group(1) != "*":
-        condition = condition & (F.col("tag") == match.group(1).lower())
+        tests.append(f"tag = {X.quoted(match.group(1).lower())}")
+    attributes = []
     for cls, ident, attr, *values in _SIMPLE.findall(match.group(2)):
         value = next((v for v in values if v), "")
         if cls:
-            condition = condition & has_class(token, cls)
+            tests.append(f"contains(concat(' ', classes, ' '), {X.quoted(f' {cls} ')})")
         elif ident:
-            condition = condition & (H.attribute(token, "id") == ident)
-        elif value:
-            condition = condition & (H.attribute(token, attr) == value)
+            tests.append(f"ident = {X.quoted(ident)}")
         else:
-            condition = condition & token.rlike(rf"(?i)[\s\"']{attr}[\s=>/]")
+            present = r"(?i)[\s\"']" + attr + r"[\s=>/]"
+            tests.append(f"token rlike {X.quoted(present)}")
+            if value:
+                attributes.append(H.attribute(F.col("token"), attr) == value)
+    condition = F.expr(" and ".join(tests))
+    for test in attributes:
+        condition = condition & test
     return condition
 
 
@@ -78,50 +74,38 @@ def with_region(spans: DataFrame, selector: str | None = None, key: str = "page_
         rank = F.lit(None).cast("int")
         for i, sel in reversed(list(enumerate(fv.REGION_SELECTORS))):
             rank = F.when(compound_condition(sel), i + 1).otherwise(rank)
-        # A token that meets several selectors counts for the first of them; cheap tag test first.
         ranked = spans.withColumn("rank", rank)
     else:
         *ancestors, last = selector.split()
+        before = f"(partition by {key} order by pos rows between unbounded preceding and 1 preceding)"
         ranked = spans.withColumn("inside", F.lit(True))
         for ancestor in ancestors:
-            hit = F.col("inside") & compound_condition(ancestor)
-            reach = F.max(F.when(hit, F.col("end"))).over(_in_order(key).rowsBetween(Window.unboundedPreceding, -1))
-            ranked = ranked.withColumn("inside", F.coalesce(reach >= F.col("pos"), F.lit(False)))
-        ranked = ranked.withColumn("rank", F.when(F.col("inside") & compound_condition(last), 1)).drop("inside")
-    candidate = F.when(F.col("rank").isNotNull(), F.struct("rank", "pos", "end"))
-    return ranked.withColumn("region", F.min(candidate).over(_whole_page(key))).drop("rank")
-
-
-def in_region() -> Column:
-    whole = F.col("region").isNull()
-    return whole | ((F.col("pos") >= F.col("region.pos")) & (F.col("pos") <= F.col("region.end")))
-
+            ranked = ranked.withColumn("hit", F.col("inside") & compound_condition(ancestor)).withColumn(
+                "inside", F.expr(f"coalesce(max(case when hit then end end) over {before} >= pos, false)")
+            )
+        ranked = ranked.withColumn("rank", F.when(F.col("inside") & compound_condition(last), 1)).drop("inside", "hit")
+    region = f"min(case when rank is not null then struct(rank, pos, end) end) over {_whole_page(key)}"
+    return ranked.selectExpr(*spans.columns, f"{region} as region")
 
-def is_noise_tag() -> Column:
-    return F.col("tag").isin(fv.NOISE_TAGS)
 
+IN_REGION = "region is null or pos between region.pos and region.end"
 
-def is_noise_class() -> Column:
-    """A class or id that contains one of the noise words anywhere."""
-    words = "|".join(fv.NOISE_WORDS)
-    named = F.lower(F.concat(H.class_list(F.col("token")), F.lit("\n"), H.attribute(F.col("token"), "id")))
-    return F.col("token").rlike(r"(?i)\b(?:class|id)\s*=") & named.rlike(words)
+NOISE_TAG = tag_in(fv.NOISE_TAGS)
+# A class or id that contains one of the noise words anywhere.
+NOISE_CLASS = f"lower(concat(classes, '\n', ident)) rlike {X.quoted('|'.join(fv.NOISE_WORDS))}"
 
 
 def without_noise(tokens: DataFrame, tags: bool = True, classes: bool = True, key: str = "page_id") -> DataFrame:
     """Drop page furniture with everything inside it.  Expects ``end`` and, if cut, only the region."""
-    condition = F.lit(False)
-    if tags:
-        condition = condition | is_noise_tag()
-    if classes:
-        condition = condition | is_noise_class()
-    dropped = F.col("kind").isin("comment", "decl") | (is_noise_tag() & (F.col("kind") == "raw") if tags else F.lit(False))
-    return tokens.withColumn("noise", covered_by(condition, key)).where(~F.col("noise") & ~dropped).drop("noise")
+    noise = " or ".join(test for test, wanted in ((NOISE_TAG, tags), (NOISE_CLASS, classes)) if wanted)
+    marked = tokens.withColumn("noise", F.expr(covered_by(noise or "false", key)))
+    shown = f"not noise and kind not in ('comment', 'decl') and not (kind = 'raw' and {NOISE_TAG if tags else 'false'})"
+    return marked.where(shown).drop("noise")
 
 
 def clean_tokens(pages: DataFrame, selector: str | None = None, key: str = "page_id") -> DataFrame:
     """Region, then noise tags, then noise classes: the tokens that are content."""
-    region = with_region(page_tokens(pages, key), selector, key).where(in_region()).drop("region")
+    region = with_region(page_tokens(pages, key), selector, key).where(IN_REGION).drop("region")
     return without_noise(region, key=key)
 
 
@@ -135,113 +119,100 @@ def clean_text(tokens: DataFrame, key: str = "page_id", separator: str = "|") ->
 # --- Markdown ---------------------------------------------------------------------------------------
 
 
-def _is(*tags: str) -> Column:
-    return F.col("tag").isin(*tags)
-
-
-def _opening(condition: Column) -> Column:
-    return (F.col("kind") == "open") & condition
+HEADING = tag_in(fv.HEADING_TAGS)
+BLOCK = tag_in(fv.BLOCK_TAGS)
+INNER_BLOCK = tag_in(["ul", "ol", "li", "hr", "blockquote"])
 
 
 def with_context(tokens: DataFrame, key: str = "page_id") -> DataFrame:
     """Add what rendering must know about the surroundings of each token, in two window passes."""
-    order, so_far = _in_order(key), _so_far(key)
-    open_, close = F.col("kind") == "open", F.col("kind") == "close"
-    step = F.when(open_, 1).when(close, -1).otherwise(0)
-    is_list, is_row, is_cell = _is("ul", "ol"), _is("tr"), _is("td", "th")
-    next_is_code = (F.lead("tag").over(order) == "code") & (F.lead("kind").over(order) == "open")
-    boundary = _is(*fv.BLOCK_TAGS, *fv.HEADING_TAGS, "ul", "ol", "li", "pre", "table", "hr", "blockquote")
-    edge = boundary & (~F.col("in_table") | _is("table")) & (~F.col("in_pre") | _is("pre"))
-    first = tokens.select(
+    so_far, order = _so_far(key), f"(partition by {key} order by pos)"
+    edge = f"({BLOCK} or {HEADING} or {INNER_BLOCK} or tag in ('pre', 'table')) and (not in_table or tag = 'table') and (not in_pre or tag = 'pre')"
+    first = tokens.selectExpr(
         "*",
-        covered_by(_is("pre"), key).alias("in_pre"),
-        covered_by(_is("a") & F.col("matched"), key).alias("in_link"),
-        covered_by(_is("table"), key).alias("in_table"),
-        covered_by(_is("blockquote"), key).alias("in_quote"),
-        F.sum(F.when(is_list, step).otherwise(0)).over(so_far).alias("list_depth"),
-        F.sum(F.when(open_ & is_cell, 1).otherwise(0)).over(so_far).alias("cells"),
-        F.sum(F.when(open_ & is_row, 1).otherwise(0)).over(so_far).alias("rows"),
-        F.when(_opening(_is("pre")) & next_is_code, F.lead("token").over(order)).alias("code_token"),
+        f"{covered_by("tag = 'pre'", key)} as in_pre",
+        f"{covered_by("tag = 'a' and matched", key)} as in_link",
+        f"{covered_by("tag = 'table'", key)} as in_table",
+        f"{covered_by("tag = 'blockquote'", key)} as in_quote",
+        f"sum(case when tag in ('ul', 'ol') then int(kind = 'open') - int(kind = 'close') else 0 end) over {so_far} as list_depth",
+        f"sum(int(kind = 'open' and tag in ('td', 'th'))) over {so_far} as cells",
+        f"sum(int(kind = 'open' and tag = 'tr')) over {so_far} as rows",
+        f"lead(case when kind = 'open' and tag = 'code' then classes end) over {order} as next_code_classes",
     )
-    return first.select(
+    second = first.selectExpr(
         "*",
-        F.last(F.when(open_ & is_row, F.col("cells")), ignorenulls=True).over(so_far).alias("cells_before"),
-        F.last(F.when(open_ & _is("table"), F.col("rows")), ignorenulls=True).over(so_far).alias("rows_before"),
-        F.sum(F.when(edge, 1).otherwise(0)).over(so_far).alias("block"),
-        F.when(
-            _opening(_is("pre")),
-            F.coalesce(
-                F.nullif(H.code_language(H.class_list(F.col("token"))), F.lit("")),
-                H.code_language(H.class_list(F.col("code_token"))),
-                F.lit(""),
-            ),
-        ).alias("language"),
-    )
-
-
-def fragment() -> Column:
-    """The Markdown that one token contributes, given its context.
-
-    Spaces and newlines that must survive later squeezing (code, indentation) are written as
-    noncharacters and turned back by :func:`finish_page`.
-    """
-    tag, kind = F.col("tag"), F.col("kind")
-    open_, close = kind == "open", kind == "close"
-    keep_space, line = F.lit(fv.KEEP_SPACE), F.lit(fv.LINE_START)
-    decoded = X.decode_entities(F.col("token"))
-    kept = F.translate(F.regexp_replace(decoded, r"\r\n?", "\n"), " \n\t", fv.KEEP_SPACE + fv.KEEP_NEWLINE + fv.KEEP_TAB)
-    level = F.when(_is(*fv.HEADING_TAGS), F.substring(tag, 2, 1).cast("int"))
-    outer_list = F.when(open_, F.col("list_depth") <= 1).otherwise(F.col("list_depth") <= 0)
-    indent = F.repeat(keep_space, F.greatest(F.col("list_depth") - 1, F.lit(0)).cast("int") * 2)
-    width = (F.col("cells") - F.col("cells_before")).cast("int")
-    first_row = F.col("rows") - F.col("rows_before") == 1
-    header_rule = F.when(first_row & (width > 0), F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), width), line))
-    gap = F.when(F.col("in_table"), " ").otherwise("\n\n")
-    quoted = F.when(open_ & F.col("in_quote") & _is("p"), "\n\n> ").otherwise("\n\n")
-    return (
-        F.when(
-            kind == "text",
-            F.when(F.col("in_pre"), kept).otherwise(X.decode_entities(X.collapse_spaces(F.col("token")))),
-        )
-        .when(_is("pre") & open_, F.concat(F.lit("\n\n```"), F.col("language"), F.lit("\n")))
-        .when(_is("pre") & close, F.when(F.col("matched"), "\n```\n\n").otherwise(""))
-        .when(F.col("in_pre"), F.when(_is("br"), fv.KEEP_NEWLINE).otherwise(""))
-        .when(_is("table"), "\n\n")
-        .when(F.col("in_table") & _is("tr"), F.when(open_, line).otherwise(F.concat(F.lit(" |"), line, F.coalesce(header_rule, F.lit("")))))
-        .when(F.col("in_table") & _is("td", "th"), F.when(open_, " | ").otherwise(""))
-        .when(level.isNotNull() & ~F.col("in_table"), F.when(open_, F.concat(F.lit("\n\n"), F.repeat(F.lit("#"), level), F.lit(" "))).otherwise("\n\n"))
-        .when(_is("ul", "ol") & ~F.col("in_table"), F.when(outer_list, "\n\n").otherwise(line))
-        .when(_is("li") & ~F.col("in_table"), F.when(open_, F.concat(line, indent, F.lit("- "))).otherwise(""))
-        .when(_is("blockquote") & ~F.col("in_table"), F.when(open_, "\n\n> ").otherwise("\n\n"))
-        .when(_is("hr") & ~F.col("in_table"), "\n\n---\n\n")
-        .when(_is("br"), F.when(F.col("in_table"), " ").otherwise("\n"))
-        .when(_is("p") & (F.col("list_depth") > 0) & open_, "")
-        .when(_is("p") & ~F.col("in_table"), quoted)
-        .when(_is(*fv.BLOCK_TAGS) | level.isNotNull() | _is("ul", "ol", "li", "blockquote", "hr"), gap)
-        .when(_is("code") & F.col("matched"), "`")
-        .when(_is("b", "strong") & F.col("matched"), "**")
-        .when(_is("i", "em") & F.col("matched"), "*")
-        .otherwise("")
+        f"last_value(case when kind = 'open' and tag = 'tr' then cells end, true) over {so_far} as cells_before",
+        f"last_value(case when kind = 'open' and tag = 'table' then rows end, true) over {so_far} as rows_before",
+        f"sum(int({edge})) over {so_far} as block",
     )
+    own, inner = H.code_language(F.col("classes")), H.code_language(F.coalesce("next_code_classes", F.lit("")))
+    language = F.coalesce(F.nullif(own, F.lit("")), inner)
+    return second.withColumn("language", F.when(F.expr("kind = 'open' and tag = 'pre'"), language))
+
+
+# The Markdown that one token contributes, given its context.  Spaces and newlines that must survive
+# later squeezing (code, indentation) are noncharacters until finish_page turns them back; LINE_START
+# asks for the start of a line without adding empty ones.
+_GAP = "case when in_table then ' ' else '\\n\\n' end"
+FRAGMENT = f"""
+case
+  when kind = 'text' then shown
+  when tag = 'pre' then case
+    when kind = 'open' then concat('\\n\\n```', language, '\\n')
+    when kind = 'close' and matched then '\\n```\\n\\n' else '' end
+  when in_pre then case when tag = 'br' then '{fv.KEEP_NEWLINE}' else '' end
+  when tag = 'table' then '\\n\\n'
+  when in_table and tag = 'tr' then case
+    when kind = 'open' then '{fv.LINE_START}'
+    when rows - rows_before = 1 and cells > cells_before
+      then concat(' |{fv.LINE_START}|', repeat(' --- |', int(cells - cells_before)), '{fv.LINE_START}')
+    else ' |{fv.LINE_START}' end
+  when in_table and tag in ('td', 'th') then case when kind = 'open' then ' | ' else '' end
+  when {HEADING} and not in_table then case
+    when kind = 'open' then concat('\\n\\n', repeat('#', int(substring(tag, 2, 1))), ' ') else '\\n\\n' end
+  when tag in ('ul', 'ol') and not in_table then case
+    when list_depth <= int(kind = 'open') then '\\n\\n' else '{fv.LINE_START}' end
+  when tag = 'li' and not in_table then case
+    when kind = 'open' then concat('{fv.LINE_START}', repeat('{fv.KEEP_SPACE}', int(greatest(list_depth - 1, 0)) * 2), '- ')
+    else '' end
+  when tag = 'blockquote' and not in_table then case when kind = 'open' then '\\n\\n> ' else '\\n\\n' end
+  when tag = 'hr' and not in_table then '\\n\\n---\\n\\n'
+  when tag = 'br' then case when in_table then ' ' else '\\n' end
+  when tag = 'p' and list_depth > 0 and kind = 'open' then ''
+  when tag = 'p' and not in_table then case when kind = 'open' and in_quote then '\\n\\n> ' else '\\n\\n' end
+  when {BLOCK} or {HEADING} or {INNER_BLOCK} then {_GAP}
+  when not matched then ''
+  when tag = 'code' then '`'
+  when tag in ('b', 'strong') then '**'
+  when tag in ('i', 'em') then '*'
+  else ''
+end"""
+
+
+def shown_text() -> Column:
+    """Text of a text token: decoded, and with free white space squeezed except in code."""
+    token, keep = F.col("token"), fv.KEEP_SPACE + fv.KEEP_NEWLINE + fv.KEEP_TAB
+    as_is = F.translate(F.regexp_replace(X.decode_entities(token), r"\r\n?", "\n"), " \n\t", keep)
+    flowing = X.decode_entities(X.collapse_spaces(token))
+    return F.when(F.col("kind") == "text", F.when(F.col("in_pre"), as_is).otherwise(flowing))
 
 
 def blocks(tokens: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, block, md, n_text, n_link, has_heading, has_title): one row per block of a page."""
-    run = F.when(F.col("kind") == "text", F.length(F.regexp_replace(F.col("token"), r"[ \t\r\n\f]+", ""))).otherwise(0)
-    shown = with_context(tokens, key).select(
+    shown = with_context(tokens, key).withColumn("shown", shown_text()).selectExpr(
         key,
         "pos",
         "block",
-        fragment().alias("md"),
-        run.cast("bigint").alias("n_text"),
-        F.when(F.col("in_link"), run).otherwise(0).cast("bigint").alias("n_link"),
-        _opening(_is(*fv.HEADING_TAGS)).alias("heading"),
-        _opening(_is("title")).alias("title"),
+        f"{FRAGMENT} as md",
+        "case when kind = 'text' then bigint(length(translate(token, ' \\t\\r\\n\\f', ''))) else 0L end as n_text",
+        "in_link",
+        f"kind = 'open' and {HEADING} as heading",
+        "kind = 'open' and tag = 'title' as title",
     )
     return shown.groupBy(key, "block").agg(
         X.ordered_concat("pos", "md").alias("md"),
         F.sum("n_text").alias("n_text"),
-        F.sum("n_link").alias("n_link"),
+        F.sum(F.when(F.col("in_link"), F.col("n_text")).otherwise(0)).alias("n_link"),
         F.max("heading").alias("has_heading"),
         F.max("title").alias("has_title"),
     )

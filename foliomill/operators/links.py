@@ -18,8 +18,8 @@ def page_links(pages: DataFrame, same_site: bool = True) -> DataFrame:
     keyed = pages.select(F.col("url").alias("src"), "html")
     anchors = tokenize(keyed, key="src").where((F.col("tag") == "a") & F.col("kind").isin("open", "void"))
     with_href = anchors.where(F.col("token").rlike(r"(?i)[\s\"']href(?:\s*=|[\s>/])"))
-    dst = U.resolve(F.col("src"), H.attribute(F.col("token"), "href"))
-    links = with_href.select("src", dst.alias("dst"), "pos")
+    hrefs = with_href.select("src", "pos", H.attribute(F.col("token"), "href").alias("href"))
+    links = U.resolve(hrefs, "src", "href", "dst").select("src", "dst", "pos")
     return links.where(U.same_domain(F.col("dst"), F.col("src"))) if same_site else links
 
 

@@ -538,7 +538,7 @@ def url_join(spark, d):
         "HTTP://other.example.org/a/../b", "https://other.example.org/x#y", " a//b/. ", "..", "p;v=1?z#t",
     ]
     pairs = derived(spark, d, "urls").select("ord", "url", F.posexplode(F.array(*map(F.lit, hrefs))).alias("i", "href"))
-    return pairs.select("ord", _big("i"), U.resolve(F.col("url"), F.col("href")).alias("joined"))
+    return U.resolve(pairs, "url", "href", "joined").select("ord", _big("i"), "joined")
 
 
 @query
