@@ -13,6 +13,7 @@ from foliomill.plans.catalog import COLLECTED_AT, DOC_LIMIT, SITE_LIMIT
 from foliomill.plans.derived import derived_sql
 
 ORACLE: dict[str, str] = {}
+TOKEN_PATTERN = fv.TOKEN_PATTERN.replace("*+", "*")  # no possessive quantifiers here
 
 
 def q(text: str) -> str:
@@ -181,7 +182,7 @@ def tokens_cte(pages: str, name: str = "tokens", key: str = "page_id") -> str:
     return f"""
     {name}_raw as (
       select {key}, unnest(l) as token, unnest(range(len(l))) as pos
-      from (select {key}, regexp_extract_all(html, {q(fv.TOKEN_PATTERN)}) as l from {pages})
+      from (select {key}, regexp_extract_all(html, {q(TOKEN_PATTERN)}) as l from {pages})
     ),
     {name}_tag as (select *, lower(regexp_extract(token, '^</?([A-Za-z][^\\s/>]*)', 1)) as tag from {name}_raw),
     {name} as (

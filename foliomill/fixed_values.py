@@ -101,15 +101,17 @@ NOISE_CHAR_CLASS = r"\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}\x{ad}\x{200b}-\x{200f
 
 # --- tokeniser ------------------------------------------------------------------------------------
 # Comment | whole script | whole style | tag with quoted attributes | other markup | text | stray "<".
-# Every alternative is unambiguous (no nested choice over the same characters), so matching is linear
-# in the page, and it uses only syntax on which Java's engine and RE2 agree.
+# Outside quotes a tag ends at the next "<" or ">", so a truncated tag cannot swallow what follows, and
+# no two alternatives compete for the same characters, so matching is linear in the page.  The
+# possessive loop (*+) keeps Java from recursing once per attribute; as nothing is ambiguous, the plain
+# loop means the same to engines without possessive quantifiers.
 TOKEN_PATTERN = (
     r"(?is)<!--.*?-->"
     r"|<script\b.*?</script\s*>"
     r"|<style\b.*?</style\s*>"
-    r"""|</?[a-z][^>=]*(?:=\s*(?:"[^"]*"|'[^']*'|[^"'>=\s])[^>=]*)*>"""
-    r"|</?[a-z!?/][^>]*>"
-    r"|<[!?][^>]*>"
+    r"""|</?[a-z][^<>=]*(?:=\s*(?:"[^"]*"|'[^']*'|[^"'<>=\s])[^<>=]*)*+>"""
+    r"|</?[a-z!?/][^<>]*>"
+    r"|<[!?][^<>]*>"
     r"|[^<]+"
     r"|<"
 )
