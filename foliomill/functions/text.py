@@ -61,16 +61,20 @@ def decode_entities(col: Column) -> Column:
 
 
 def clean_markdown(col: Column) -> Column:
-    """Right-strip lines, drop lines of only pipes, squeeze blank lines, set fences apart, strip."""
-    sp, lines = fv.INLINE_SPACE_CLASS, col
-    lines = F.regexp_replace(lines, rf"\r\n|[{fv.LINE_BREAK_CLASS}]", "\n")
-    lines = F.regexp_replace(lines, rf"[{sp}]+\n", "\n")
-    lines = F.regexp_replace(lines, rf"(?m)^[{sp}|]*\|[{sp}|]*\n", "")
-    lines = F.regexp_replace(lines, rf"(?:^|\n)[{sp}|]*\|[{sp}|]*\z", "")
-    lines = F.regexp_replace(lines, r"\n{3,}", "\n\n")
-    lines = F.regexp_replace(lines, r"([^\n])\n(```)", "$1\n\n$2")
-    lines = F.regexp_replace(lines, r"(```)\n([^\n])", "$1\n\n$2")
-    return strip(lines)
+    """Right-strip lines, drop lines of only pipes, squeeze blank lines, set fences apart, strip.
+
+    Rules about pipes and fences are skipped for texts without any.
+    """
+    sp, breaks = fv.INLINE_SPACE_CLASS, fv.LINE_BREAK_CLASS.removeprefix(r"\n")
+    text = F.regexp_replace(F.replace(col, F.lit("\r\n"), F.lit("\n")), f"[{breaks}]", "\n")
+    text = F.regexp_replace(text, rf"[{sp}]+\n", "\n")
+    no_rows = F.regexp_replace(text, rf"(?m)^[{sp}|]*\|[{sp}|]*\n", "")
+    no_rows = F.regexp_replace(no_rows, rf"(?:^|\n)[{sp}|]*\|[{sp}|]*\z", "")
+    text = F.when(F.contains(col, F.lit("|")), no_rows).otherwise(text)
+    text = F.regexp_replace(text, r"\n{3,}", "\n\n")
+    apart = F.regexp_replace(text, r"([^\n])\n(```)", "$1\n\n$2")
+    apart = F.regexp_replace(apart, r"(```)\n([^\n])", "$1\n\n$2")
+    return strip(F.when(F.contains(col, F.lit("```")), apart).otherwise(text))
 
 
 def content_md5(col: Column) -> Column:

@@ -1,13 +1,14 @@
 """Tokens to content: region, page furniture, Markdown blocks, extraction in two tiers.
 
-Everything here is a window or an aggregate per page.  The input of :func:`page_tokens` is
-hash-partitioned by page, and all windows below share the order (page, position), so one exchange and
-one sort serve region, noise, and rendering.
+Everything here is a window or an aggregate per page.  Pages are hash-partitioned once, with
+:func:`foliomill.operators.tokens.by_page`, and all windows below share the order (page, position), so
+one exchange and one sort serve region, noise, and rendering.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,7 +105,10 @@ def without_noise(tokens: DataFrame, tags: bool = True, classes: bool = True, ke
 
 
 def clean_tokens(pages: DataFrame, selector: str | None = None, key: str = "page_id") -> DataFrame:
-    """Region, then noise tags, then noise classes: the tokens that are content."""
+    """Region, then noise tags, then noise classes: the tokens that are content.
+
+    ``pages`` should come from :func:`by_page`; otherwise Spark exchanges tokens, which are larger.
+    """
     region = with_region(page_tokens(pages, key), selector, key).where(IN_REGION).drop("region")
     return without_noise(region, key=key)
 
@@ -226,42 +230,45 @@ def is_precise_block() -> Column:
 
 def finish_page(md: Column) -> Column:
     """Assembled fragments to Markdown: squeeze free space, then restore the kept one."""
-    keep_nl, restore = fv.KEEP_NEWLINE, fv.KEEP_SPACE + fv.KEEP_NEWLINE + fv.KEEP_TAB
-    md = F.regexp_replace(md, f"[ {fv.LINE_START}]*\n[ {fv.LINE_START}]*", "\n")
-    md = F.regexp_replace(md, f" *{fv.LINE_START}[ {fv.LINE_START}]*", "\n")
-    md = F.regexp_replace(md, " {2,}", " ")
-    md = F.regexp_replace(md, r"(?m)^> *$", "")
-    md = F.regexp_replace(md, rf"{keep_nl}+\n```", "\n```")
-    return F.translate(md, restore, " \n\t")
+    free, line, keep_nl = f"[ {fv.LINE_START}]*", fv.LINE_START, fv.KEEP_NEWLINE
+    text = F.regexp_replace(md, f"{free}\n{free}", "\n")
+    text = F.when(F.contains(md, F.lit(line)), F.regexp_replace(text, f" *{line}{free}", "\n")).otherwise(text)
+    text = F.regexp_replace(text, " {2,}", " ")
+    text = F.when(F.contains(md, F.lit("> ")), F.regexp_replace(text, r"(?m)^> *$", "")).otherwise(text)
+    fenced = F.translate(F.regexp_replace(text, rf"{keep_nl}+\n```", "\n```"), fv.KEEP_SPACE + keep_nl + fv.KEEP_TAB, " \n\t")
+    return F.when(F.contains(md, F.lit("```")), fenced).otherwise(F.translate(text, fv.KEEP_SPACE, " "))
 
 
 def render(block_rows: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, precise, full): Markdown of the precise blocks and of all blocks, not yet cleaned."""
+    """(key, precise, full): fragments of the precise blocks and of all blocks, not yet finished."""
     rows = block_rows.withColumn("precise_md", F.when(is_precise_block(), F.col("md")))
-    pages = rows.groupBy(key).agg(
-        X.ordered_concat("block", "precise_md").alias("precise"),
-        X.ordered_concat("block", "md").alias("full"),
-    )
-    return pages.select(
-        key,
-        finish_page(F.col("precise")).alias("precise"),
-        finish_page(F.col("full")).alias("full"),
+    return rows.groupBy(key).agg(
+        X.ordered_concat("block", "precise_md").alias("precise"), X.ordered_concat("block", "md").alias("full")
     )
 
 
 def extract_tiers(
     rendered: DataFrame,
+    finish: Callable[[Column], Column] = lambda text: text,
     precise_min: int = fv.PRECISE_MIN_CHARS,
     fallback_min: int = fv.FALLBACK_MIN_CHARS,
 ) -> DataFrame:
-    """Add ``tier`` and ``content``: precise text if long enough, else the full text, else ''."""
-    enough = F.length(X.strip(F.col("precise"))) >= precise_min
-    some = F.length(X.strip(F.col("full"))) >= fallback_min
-    tier = F.when(enough, 1).when(some, 2).otherwise(0).cast("bigint")
-    chosen = F.when(F.col("tier") == 1, F.col("precise")).when(F.col("tier") == 2, F.col("full")).otherwise("")
-    return rendered.withColumn("tier", tier).withColumn("content", X.clean_markdown(chosen))
+    """Add ``tier`` and ``content``: precise text if long enough, else the full text, else ''.
+
+    In named steps, so that each text is finished once, and the full one only where it is needed.
+    """
+
+    def length(column: str) -> Column:
+        return F.length(X.strip(F.col(column)))
+
+    first = rendered.withColumn("content", finish(F.col("precise")))
+    first = first.withColumn("enough", length("content") >= precise_min)
+    chosen = first.withColumn("content", F.when(F.col("enough"), F.col("content")).otherwise(finish(F.col("full"))))
+    tier = F.when(F.col("enough"), 1).when(length("content") >= fallback_min, 2).otherwise(0)
+    tiers = chosen.withColumn("tier", tier.cast("bigint")).drop("enough")
+    return tiers.withColumn("content", F.when(F.col("tier") > 0, X.clean_markdown(F.col("content"))).otherwise(""))
 
 
 def page_content(pages: DataFrame, selector: str | None = None, key: str = "page_id") -> DataFrame:
-    """(key, tier, content) for every page that has tokens left after cleaning."""
-    return extract_tiers(render(blocks(clean_tokens(pages, selector, key), key), key)).select(key, "tier", "content")
+    """(key, tier, content) for every page that has tokens left after cleaning; see :func:`clean_tokens`."""
+    return extract_tiers(render(blocks(clean_tokens(pages, selector, key), key), key), finish_page).select(key, "tier", "content")

@@ -85,11 +85,17 @@ def with_spans(tokens: DataFrame, key: str = "page_id") -> DataFrame:
     )
 
 
-def page_tokens(pages: DataFrame, key: str = "page_id", partitions: int | None = None) -> DataFrame:
-    """Tokens with attributes and spans.  Pages are exchanged once, as HTML and before they are split up.
+def by_page(pages: DataFrame, key: str = "page_id", partitions: int | None = None) -> DataFrame:
+    """(key, html), hash-partitioned by page: the one exchange of an extraction.
 
-    The number of partitions is explicit (the session's shuffle partitions by default): the work grows
-    many times after the exchange, so partitions must not be merged by the size of the HTML alone.
+    Pages travel as HTML, before they are split up.  The number of partitions is explicit (the session's
+    shuffle partitions by default): the work grows many times after the exchange, so partitions must
+    not be merged by the size of the HTML alone.
     """
     n = partitions or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return with_spans(with_attributes(tokenize(pages.select(key, "html").repartition(n, key), key)), key)
+    return pages.select(key, "html").repartition(n, key)
+
+
+def page_tokens(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """Tokens with attributes and spans, of pages that are partitioned :func:`by_page`."""
+    return with_spans(with_attributes(tokenize(pages, key)), key)

@@ -18,12 +18,12 @@ from foliomill.functions import text as X
 from foliomill.functions import urls as U
 from foliomill.operators import content as C
 from foliomill.operators import dedup, enrich, filters, links, outcomes, sitemaps, split, toc
-from foliomill.operators.tokens import tokenize
+from foliomill.operators.tokens import by_page, page_tokens, tokenize
 from foliomill.plans import corpus as P
 from foliomill.plans.derived import derived, table
 from foliomill.settings import CorpusSettings
 from foliomill.sinks.parts import write_parts, write_skip_log
-from foliomill.sources.readers import page_results, read_pages, url_list
+from foliomill.sources.readers import page_results, read_pages, spread, url_list
 from foliomill.storage import new_path, written
 from foliomill.streaming import ingest as S
 
@@ -286,12 +286,12 @@ def fetch_outcome(spark, d):
 
 @query
 def page_links(spark, d):
-    return links.page_links(_pages(spark, d))
+    return links.page_links(spread(_pages(spark, d)))
 
 
 @query
 def rich_links(spark, d):
-    return links.page_links(derived(spark, d, "rich_pages"), same_site=False)
+    return links.page_links(spread(derived(spark, d, "rich_pages")), same_site=False)
 
 
 def _crawl_input(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -426,16 +426,16 @@ def preview(spark, d):
 
 @query
 def html_tokens(spark, d):
-    return tokenize(_pages(spark, d))
+    return tokenize(spread(_pages(spark, d)))
 
 
 @query
 def rich_tokens(spark, d):
-    return tokenize(derived(spark, d, "rich_pages"))
+    return tokenize(spread(derived(spark, d, "rich_pages")))
 
 
 def _spans(pages: DataFrame) -> DataFrame:
-    return C.page_tokens(pages)
+    return page_tokens(by_page(pages))
 
 
 def _region_rows(spans: DataFrame, selector: str | None = None) -> DataFrame:
@@ -467,12 +467,12 @@ def noise_class(spark, d):
 
 @query
 def clean_pages(spark, d):
-    return C.clean_text(C.clean_tokens(_pages(spark, d)))
+    return C.clean_text(C.clean_tokens(by_page(_pages(spark, d))))
 
 
 @query
 def clean_rich_pages(spark, d):
-    return C.clean_text(C.clean_tokens(derived(spark, d, "rich_pages")))
+    return C.clean_text(C.clean_tokens(by_page(derived(spark, d, "rich_pages"))))
 
 
 @query
@@ -487,12 +487,12 @@ def page_title(spark, d):
         .unionByName(pages.select(F.lit("nothing").alias("variant"), "page_id", untitled.alias("html")))
         .unionByName(derived(spark, d, "rich_pages").select(F.lit("rich").alias("variant"), "page_id", "html"))
     )
-    return every.select("variant", "page_id", H.page_title(F.col("html")).alias("title"))
+    return spread(every).select("variant", "page_id", H.page_title(F.col("html")).alias("title"))
 
 
 @query
 def h1_title(spark, d):
-    return derived(spark, d, "rich_pages").select("page_id", H.h1_title(F.col("html")).alias("h1"))
+    return spread(derived(spark, d, "rich_pages")).select("page_id", H.h1_title(F.col("html")).alias("h1"))
 
 
 @query
@@ -504,12 +504,12 @@ def extract_tiers(spark, d):
 
 @query
 def page_markdown(spark, d):
-    return C.page_content(_pages(spark, d))
+    return C.page_content(by_page(_pages(spark, d)))
 
 
 @query
 def rich_markdown(spark, d):
-    return C.page_content(derived(spark, d, "rich_pages"))
+    return C.page_content(by_page(derived(spark, d, "rich_pages")))
 
 
 @query
@@ -519,7 +519,7 @@ def code_language(spark, d):
 
 @query
 def entities(spark, d):
-    return derived(spark, d, "entity_texts").select("doc_id", X.decode_entities(F.col("text")).alias("text"))
+    return spread(derived(spark, d, "entity_texts")).select("doc_id", X.decode_entities(F.col("text")).alias("text"))
 
 
 # --- scalar functions -------------------------------------------------------------------------------
@@ -565,7 +565,7 @@ def txt_banner(spark, d):
 
 @query
 def jsonl_line(spark, d):
-    return _docs(spark, d).select("ord", R.json_line(F.col("title"), F.col("url"), F.col("content"), F.lit(COLLECTED_AT)).alias("line"))
+    return spread(_docs(spark, d)).select("ord", R.json_line(F.col("title"), F.col("url"), F.col("content"), F.lit(COLLECTED_AT)).alias("line"))
 
 
 @query
@@ -575,12 +575,12 @@ def content_md5(spark, d):
 
 @query
 def clean_markdown(spark, d):
-    return derived(spark, d, "markdown_texts").select("doc_id", X.clean_markdown(F.col("text")).alias("text"))
+    return spread(derived(spark, d, "markdown_texts")).select("doc_id", X.clean_markdown(F.col("text")).alias("text"))
 
 
 @query
 def chunk_text(spark, d):
-    chunks = derived(spark, d, "paragraph_texts").select("doc_id", F.posexplode(X.chunk_text(F.col("text"), 2000)).alias("chunk_no", "chunk"))
+    chunks = spread(derived(spark, d, "paragraph_texts")).select("doc_id", F.posexplode(X.chunk_text(F.col("text"), 2000)).alias("chunk_no", "chunk"))
     return chunks.select("doc_id", _big("chunk_no"), "chunk")
 
 
@@ -596,7 +596,7 @@ def summary_clamp(spark, d):
 
 @query
 def strip_noise_chars(spark, d):
-    return derived(spark, d, "noisy_texts").select("doc_id", X.strip_noise_chars(F.col("text")).alias("text"))
+    return spread(derived(spark, d, "noisy_texts")).select("doc_id", X.strip_noise_chars(F.col("text")).alias("text"))
 
 
 @query

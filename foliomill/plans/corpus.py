@@ -17,6 +17,7 @@ from foliomill.functions import text as X
 from foliomill.functions import urls as U
 from foliomill.operators import dedup, filters, outcomes, split, toc
 from foliomill.operators.content import page_content
+from foliomill.operators.tokens import by_page
 from foliomill.settings import CorpusSettings
 from foliomill.sinks.parts import write_parts
 from foliomill.storage import written
@@ -25,9 +26,12 @@ from foliomill.storage import written
 def documents(pages: DataFrame, selector: str | None = None) -> DataFrame:
     """(ord, url, title, content, n_chars, content_md5) of every usable page, '' where nothing is left."""
     usable = filters.usable(pages)
-    about = usable.select("page_id", "url", H.page_title(F.col("html")).alias("title"))
-    content = page_content(usable, selector).select("page_id", "content")
-    docs = about.join(content, "page_id", "left").select(
+    # Titles and contents read the same exchanged HTML (the plan reuses the exchange), and are joined
+    # where they are; only URLs, a narrow column, are exchanged besides.
+    html = by_page(usable)
+    titles = html.select("page_id", H.page_title(F.col("html")).alias("title"))
+    content = page_content(html, selector).select("page_id", "content")
+    docs = titles.join(content, "page_id", "left").join(usable.select("page_id", "url"), "page_id").select(
         F.col("page_id").alias("ord"), "url", "title", F.coalesce("content", F.lit("")).alias("content")
     )
     return docs.select(

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from foliomill.functions import html as H
 from foliomill.operators import content as C
-from foliomill.operators.tokens import page_tokens, tokenize
+from foliomill.operators.tokens import by_page, tokenize
 
 
 def pages(spark, *htmls):
@@ -13,13 +13,13 @@ def pages(spark, *htmls):
 
 
 def cleaned(spark, *htmls, selector=None):
-    rows = C.clean_text(C.clean_tokens(pages(spark, *htmls), selector)).collect()
+    rows = C.clean_text(C.clean_tokens(by_page(pages(spark, *htmls)), selector)).collect()
     found = {r.page_id: r.text for r in rows}
     return [found.get(i, "") for i in range(len(htmls))]
 
 
 def markdown(spark, *htmls):
-    rendered = C.extract_tiers(C.render(C.blocks(C.clean_tokens(pages(spark, *htmls)))), 1, 1)
+    rendered = C.extract_tiers(C.render(C.blocks(C.clean_tokens(by_page(pages(spark, *htmls))))), C.finish_page, 1, 1)
     found = {r.page_id: r.content for r in rendered.collect()}
     return [found.get(i, "") for i in range(len(htmls))]
 
@@ -157,12 +157,12 @@ def test_tiers(spark):
 def test_link_lists_are_left_to_the_second_tier(spark):
     text = "<p>" + "word " * 30 + "</p>"
     links = "<ul>" + "".join(f"<li><a href='/{i}'>link number {i}</a></li>" for i in range(9)) + "</ul>"
-    found = {r.page_id: (r.tier, "link number" in r.content) for r in C.page_content(pages(spark, f"<main>{text}{links}</main>", f"<main>{links}</main>")).collect()}
+    found = {r.page_id: (r.tier, "link number" in r.content) for r in C.page_content(by_page(pages(spark, f"<main>{text}{links}</main>", f"<main>{links}</main>"))).collect()}
     assert found == {0: (1, False), 1: (2, True)}
 
 
 def test_one_exchange_serves_the_whole_extraction(spark):
-    plan = C.page_content(pages(spark, "<p>x</p>"))
+    plan = C.page_content(by_page(pages(spark, "<p>x</p>")))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning") == 1
-    assert page_tokens(pages(spark, "<p>"), partitions=3).rdd.getNumPartitions() == 3
+    assert by_page(pages(spark, "<p>"), partitions=3).rdd.getNumPartitions() == 3
