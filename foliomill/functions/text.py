@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -60,21 +61,31 @@ def decode_entities(col: Column) -> Column:
     return F.when(F.contains(col, F.lit("&")), decoded).otherwise(col)
 
 
-def clean_markdown(col: Column) -> Column:
-    """Right-strip lines, drop lines of only pipes, squeeze blank lines, set fences apart, strip.
+def where_contains(text: Column, needle: str, change: Callable[[Column], Column]) -> Column:
+    """``change`` applied to the texts that contain a literal; a plain search is cheaper than a pattern.
 
-    Rules about pipes and fences are skipped for texts without any.
+    The text is bound to a name, so however long its expression is, it is evaluated once.
     """
-    sp, breaks = fv.INLINE_SPACE_CLASS, fv.LINE_BREAK_CLASS.removeprefix(r"\n")
-    text = F.regexp_replace(F.replace(col, F.lit("\r\n"), F.lit("\n")), f"[{breaks}]", "\n")
-    text = F.regexp_replace(text, rf"[{sp}]+\n", "\n")
-    no_rows = F.regexp_replace(text, rf"(?m)^[{sp}|]*\|[{sp}|]*\n", "")
-    no_rows = F.regexp_replace(no_rows, rf"(?:^|\n)[{sp}|]*\|[{sp}|]*\z", "")
-    text = F.when(F.contains(col, F.lit("|")), no_rows).otherwise(text)
-    text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    apart = F.regexp_replace(text, r"([^\n])\n(```)", "$1\n\n$2")
-    apart = F.regexp_replace(apart, r"(```)\n([^\n])", "$1\n\n$2")
-    return strip(F.when(F.contains(col, F.lit("```")), apart).otherwise(text))
+    bound = F.transform(F.array(text), lambda t: F.when(F.contains(t, F.lit(needle)), change(t)).otherwise(t))
+    return F.element_at(bound, 1)
+
+
+def clean_markdown(col: Column) -> Column:
+    """Right-strip lines, drop lines of only pipes, squeeze blank lines, set fences apart, strip."""
+    sp = fv.INLINE_SPACE_CLASS
+
+    def without_pipe_lines(text: Column) -> Column:
+        text = F.regexp_replace(text, rf"(?m)^[{sp}|]*\|[{sp}|]*\n", "")
+        return F.regexp_replace(text, rf"(?:^|\n)[{sp}|]*\|[{sp}|]*\z", "")
+
+    def fences_apart(text: Column) -> Column:
+        text = F.regexp_replace(text, r"([^\n])\n(```)", "$1\n\n$2")
+        return F.regexp_replace(text, r"(```)\n([^\n])", "$1\n\n$2")
+
+    text = F.regexp_replace(col, rf"[{sp}]*(?:\r\n|[{fv.LINE_BREAK_CLASS}])", "\n")
+    text = where_contains(text, "|", without_pipe_lines)
+    text = where_contains(text, "\n\n\n", lambda t: F.regexp_replace(t, r"\n{3,}", "\n\n"))
+    return strip(where_contains(text, "```", fences_apart))
 
 
 def content_md5(col: Column) -> Column:

@@ -231,12 +231,16 @@ def is_precise_block() -> Column:
 def finish_page(md: Column) -> Column:
     """Assembled fragments to Markdown: squeeze free space, then restore the kept one."""
     free, line, keep_nl = f"[ {fv.LINE_START}]*", fv.LINE_START, fv.KEEP_NEWLINE
+
+    def with_code(text: Column) -> Column:
+        return F.translate(F.regexp_replace(text, rf"{keep_nl}+\n```", "\n```"), keep_nl + fv.KEEP_TAB, "\n\t")
+
     text = F.regexp_replace(md, f"{free}\n{free}", "\n")
-    text = F.when(F.contains(md, F.lit(line)), F.regexp_replace(text, f" *{line}{free}", "\n")).otherwise(text)
-    text = F.regexp_replace(text, " {2,}", " ")
-    text = F.when(F.contains(md, F.lit("> ")), F.regexp_replace(text, r"(?m)^> *$", "")).otherwise(text)
-    fenced = F.translate(F.regexp_replace(text, rf"{keep_nl}+\n```", "\n```"), fv.KEEP_SPACE + keep_nl + fv.KEEP_TAB, " \n\t")
-    return F.when(F.contains(md, F.lit("```")), fenced).otherwise(F.translate(text, fv.KEEP_SPACE, " "))
+    text = X.where_contains(text, line, lambda t: F.regexp_replace(t, f" *{line}{free}", "\n"))
+    text = X.where_contains(text, "  ", lambda t: F.regexp_replace(t, " {2,}", " "))
+    text = X.where_contains(text, "\n> ", lambda t: F.regexp_replace(t, r"(?m)^> *$", ""))
+    text = X.where_contains(text, "\n```", with_code)
+    return F.replace(text, F.lit(fv.KEEP_SPACE), F.lit(" "))
 
 
 def render(block_rows: DataFrame, key: str = "page_id") -> DataFrame:
