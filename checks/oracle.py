@@ -547,12 +547,12 @@ SKIPS = f"""{docs_cte('(select page_id, url, html from ' + D('page_results') + "
       union all select url, false, 1 from page_docs where not {long_enough('content')}
     ),
     skips as (
-      select url, 'error' as stage, reason from {D('page_results')} where skipped
-      union all select url, 'short', 'Nội dung quá ngắn hoặc rỗng (< 50 chars)' from states where not ok
-      union all select url, 'short', 'Nội dung quá ngắn hoặc rỗng (< 50 chars)' from {D('page_results')} where not skipped and html = ''
-      union all select url, 'duplicate', 'Duplicate content' from states where ok and copy > 1
+      select url, 'error' as stage, reason, error_type from {D('page_results')} where skipped
+      union all select url, 'short', 'Nội dung quá ngắn hoặc rỗng (< 50 chars)', null from states where not ok
+      union all select url, 'short', 'Nội dung quá ngắn hoặc rỗng (< 50 chars)', null from {D('page_results')} where not skipped and html = ''
+      union all select url, 'duplicate', 'Duplicate content', null from states where ok and copy > 1
     )"""
-ORACLE["skip_log"] = f"with {SKIPS} select url, stage, reason, '[SKIPPED] ' || url || ' — ' || reason as line from skips"
+ORACLE["skip_log"] = f"with {SKIPS} select url, stage, reason, case when error_type is null then '[SKIPPED] ' || url || ' — ' || reason else '[ERROR] ' || url || ' — ' || error_type || ': ' || reason end as line from skips"
 ORACLE["skip_counts"] = f"with {SKIPS} select stage, count(*) as n from skips group by stage"
 
 ORACLE["part_names"] = f"""with recursive {split_cte(DOC_RECORDS, DOC_LIMIT)}
@@ -789,3 +789,15 @@ select s.output, s.part, s.seq, s.ord, w.url, w.title, w.n_chars, w.content_md5,
 ORACLE["site_corpus"] = f"""with recursive {docs_cte('pages')}, {_kept_cte(json_line('title', 'url', 'content'), _SITE_SLUG, "not contains(url, 'spam')")},
     records as (select output, ord, length(block)::bigint as n, 0::bigint as header from winners), {split_cte('records', SITE_LIMIT)}
 select s.output, s.part, s.seq, s.ord, w.url, w.title, w.n_chars, w.content_md5 from split s join winners w using (ord)"""
+
+_SHAPE = "regexp_replace({}, '[^z\\n]', '', 'g')".format
+ORACLE["refined_corpus"] = f"""with recursive {docs_cte("(select * from pages order by page_id limit 120)")},
+    refined as (select *, {_SHAPE('content')} as refined, split_part(content[1:3000], ' ', 1) as word from page_docs where {long_enough('content')}),
+    sized as (select *, {_SITE_SLUG} as output, length({page_block('title', 'url', 'refined', strip('word'))})::bigint as n from refined),
+    winners as (
+      select *, row_number() over (partition by output order by ord) as page_no
+      from (select *, row_number() over (partition by output, md5(refined) order by ord) as copy from sized) where copy = 1
+    ),
+    headers as (select output, length({toc_text()})::bigint as header from (select output, page_no as seq, title, url from winners) group by output),
+    records as (select output, ord, n, header from winners join headers using (output)), {split_cte('records', SITE_LIMIT)}
+select s.output, s.part, s.seq, s.ord, md5(w.refined) as content_md5 from split s join winners w using (ord)"""

@@ -59,11 +59,13 @@ SUMMARY_QUOTE = "> **Tóm tắt:** {}"
 SUMMARY_PROMPT = "Tiêu đề: {}\n\nNội dung:\n{}"
 RULE = "=" * 60
 
-# --- fixed values: fetch outcome reasons ----------------------------------------------------------
+# --- fixed values: reasons ------------------------------------------------------------------------
 REASON_FORBIDDEN = "403 Forbidden"
 REASON_NOT_FOUND = "404 Not Found"
 REASON_TIMEOUT = "Timeout"
 REASON_EXHAUSTED = "Max retries exceeded"
+REASON_SHORT = "Nội dung quá ngắn hoặc rỗng (< {} chars)"
+REASON_DUPLICATE = "Duplicate content"
 
 # --- HTML vocabulary (HTML standard) --------------------------------------------------------------
 VOID_TAGS = [

@@ -23,7 +23,7 @@ def exclude(urls: DataFrame, needles: Sequence[str], url: str = "url") -> DataFr
 def usable(pages: DataFrame) -> DataFrame:
     """Pages that were fetched and have HTML.  A table without a ``skipped`` column has no skips."""
     fetched = pages.where(~F.col("skipped")) if "skipped" in pages.columns else pages
-    return fetched.where(F.length("html") > 0)
+    return fetched.where(F.length("html") > 0)  # a missing html is an empty one
 
 
 def is_long_enough(content: Column, min_length: int = fv.MIN_LENGTH) -> Column:

@@ -66,13 +66,25 @@ def order_restore(pages: DataFrame, urls: DataFrame) -> DataFrame:
 
 
 def skip_log(fetch_skips: DataFrame, short: DataFrame, copies: DataFrame, min_length: int = fv.MIN_LENGTH) -> DataFrame:
-    """(url, stage, reason, line) of every page left out."""
+    """(url, stage, reason, line) of every page left out.
+
+    ``fetch_skips`` is (url, reason), and may have ``error_type``: the class of an error that is none of
+    the known outcomes, which makes its line an error line.
+    """
+    error_type = F.col("error_type") if "error_type" in fetch_skips.columns else F.lit(None).cast("string")
+
+    def stage(rows: DataFrame, name: str, reason: Column, kind: Column) -> DataFrame:
+        return rows.select("url", F.lit(name).alias("stage"), reason.alias("reason"), kind.alias("error_type"))
+
+    none = F.lit(None).cast("string")
     rows = (
-        fetch_skips.select("url", F.lit("error").alias("stage"), "reason")
-        .unionByName(short.select("url", F.lit("short").alias("stage"), F.lit(f"Nội dung quá ngắn hoặc rỗng (< {min_length} chars)").alias("reason")))
-        .unionByName(copies.select("url", F.lit("duplicate").alias("stage"), F.lit("Duplicate content").alias("reason")))
+        stage(fetch_skips, "error", F.col("reason"), error_type)
+        .unionByName(stage(short, "short", F.lit(fv.REASON_SHORT.format(min_length)), none))
+        .unionByName(stage(copies, "duplicate", F.lit(fv.REASON_DUPLICATE), none))
     )
-    return rows.withColumn("line", F.concat(F.lit("[SKIPPED] "), "url", F.lit(" — "), "reason"))
+    skipped = F.concat(F.lit("[SKIPPED] "), "url", F.lit(" — "), "reason")
+    error = F.concat(F.lit("[ERROR] "), "url", F.lit(" — "), "error_type", F.lit(": "), "reason")
+    return rows.select("url", "stage", "reason", F.coalesce(error, skipped).alias("line"))
 
 
 def skip_counts(log: DataFrame) -> DataFrame:
@@ -98,9 +110,8 @@ def size_estimate(urls: DataFrame, group: str, split_limit: int = fv.SPLIT_LIMIT
 
 def preview(urls: DataFrame, n: int = fv.PREVIEW_URLS) -> DataFrame:
     """The first URLs of a run and how many more there are."""
-    top = urls.select("ord", "url").orderBy("ord").limit(n)
-    total = urls.agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0)).cast("bigint").alias("n_more"))
-    return top.join(F.broadcast(total))  # an aggregate without keys: one row
+    more = urls.agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0)).cast("bigint"))
+    return urls.select("ord", "url").orderBy("ord").limit(n).withColumn("n_more", more.scalar())
 
 
 def part_summary(assigned: DataFrame) -> DataFrame:

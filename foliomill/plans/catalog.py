@@ -177,10 +177,6 @@ def source_fallback(spark, d):
 # --- sinks ------------------------------------------------------------------------------------------
 
 
-def _site_pages(spark: SparkSession, d: str) -> DataFrame:
-    return P.documents(_pages(spark, d)).withColumn("output", P.site_output())
-
-
 def _base_urls(spark: SparkSession, d: str) -> DataFrame:
     base = F.concat(F.lit("https://"), U.netloc(F.col("url")), F.lit("/"))
     return _pages(spark, d).select(P.site_output().alias("output"), base.alias("base_url")).groupBy("output").agg(F.min("base_url").alias("base_url"))
@@ -629,6 +625,16 @@ def _first_sentence(text: str) -> str:
     return body.split(".", 1)[0]
 
 
+def _first_word(text: str) -> str:
+    """A stand-in for a user's summariser: the first word of the content."""
+    return text.split("Nội dung:\n", 1)[1].split(" ", 1)[0]
+
+
+def _line_shape(text: str) -> str:
+    """A stand-in for a user's refiner: only the line breaks and one rare letter stay."""
+    return "".join(c for c in text if c in "z\n")
+
+
 @query
 def refine_hook(spark, d):
     docs = derived(spark, d, "paragraph_texts").select("doc_id", F.col("text").alias("content"))
@@ -663,6 +669,14 @@ def stream_dedup(spark, d):
     return spark.read.schema("url string").parquet(path)
 
 
+@query
+def refined_corpus(spark, d):
+    settings = CorpusSettings(split_limit=SITE_LIMIT, collected_at=COLLECTED_AT, max_pages=120)
+    # A refiner after which many more pages are copies of each other, and a summary in each record.
+    rows = P.corpus(_pages(spark, d), settings, P.site_output(), _first_word, _line_shape)
+    return rows.select("output", "part", "seq", "ord", "content_md5")
+
+
 # --- whole runs -------------------------------------------------------------------------------------
 
 

@@ -7,6 +7,8 @@ dedup and split read two narrow columns of them, and a lost executor never repea
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from foliomill.functions import formats as R
 from foliomill.functions import html as H
 from foliomill.functions import text as X
 from foliomill.functions import urls as U
-from foliomill.operators import dedup, filters, outcomes, split, toc
+from foliomill.operators import dedup, enrich, filters, outcomes, split, toc
 from foliomill.operators.content import page_content
 from foliomill.operators.tokens import by_page
 from foliomill.settings import CorpusSettings
@@ -34,6 +36,10 @@ def documents(pages: DataFrame, selector: str | None = None) -> DataFrame:
     docs = titles.join(content, "page_id", "left").join(usable.select("page_id", "url"), "page_id").select(
         F.col("page_id").alias("ord"), "url", "title", F.coalesce("content", F.lit("")).alias("content")
     )
+    return with_sizes(docs)
+
+
+def with_sizes(docs: DataFrame) -> DataFrame:
     return docs.select(
         "*", F.length("content").cast("bigint").alias("n_chars"), X.content_md5(F.col("content")).alias("content_md5")
     )
@@ -45,21 +51,49 @@ def site_output() -> Column:
 
 
 def select_urls(pages: DataFrame, settings: CorpusSettings) -> DataFrame:
-    """Include, exclude and limit, before any page is read in full."""
+    """Include, exclude and limit, before any page is read in full.
+
+    The limit is a top-k over ids alone; its last id then filters the scan.
+    """
     chosen = filters.exclude(filters.include(pages, settings.include), settings.exclude)
-    return filters.first_n(chosen, settings.max_pages, "page_id")
+    if settings.max_pages <= 0:
+        return chosen
+    last = filters.first_n(chosen.select("page_id"), settings.max_pages, "page_id").agg(F.max("page_id"))
+    return chosen.where(F.col("page_id") <= last.scalar())
 
 
-def assign_parts(docs: DataFrame, settings: CorpusSettings, base_urls: DataFrame | None = None) -> DataFrame:
-    """(output, ord, part, seq) of the documents that stay: long enough, and first of their content.
+def run_documents(
+    pages: DataFrame,
+    settings: CorpusSettings,
+    output: Column | None = None,
+    summarize: Callable[[str], str] | None = None,
+    refine: Callable[[str], str] | None = None,
+) -> DataFrame:
+    """The documents of a run that are long enough, with their output, stored.
 
-    ``docs`` has an ``output`` column; the length of a record is that of its formatted text.
+    Length is judged before refining, a summary is made of the text before refining, and copies are
+    found (later) in the text after it.
     """
-    long_enough = docs.where(filters.is_long_enough(F.col("content"), settings.min_length))
-    text = R.record_text(settings.fmt, F.col("title"), F.col("url"), F.col("content"), F.lit(settings.collected_at))
-    sizes = long_enough.select(
-        "output", "content_md5", "ord", "title", "url", F.length(text).cast("bigint").alias("n_chars")
+    docs = documents(select_urls(pages, settings), settings.selector)
+    docs = docs.where(filters.is_long_enough(F.col("content"), settings.min_length))
+    if summarize is not None:
+        docs = enrich.summarize(docs, summarize)
+    if refine is not None:
+        docs = with_sizes(enrich.refine(docs, refine).drop("n_chars", "content_md5"))
+    return written(docs.withColumn("output", F.lit("corpus") if output is None else output), "documents")
+
+
+def _record(docs: DataFrame, settings: CorpusSettings) -> Column:
+    summary = F.col("summary") if "summary" in docs.columns else None
+    return R.record_text(
+        settings.fmt, F.col("title"), F.col("url"), F.col("content"), F.lit(settings.collected_at), summary
     )
+
+
+def assign_parts(docs: DataFrame, settings: CorpusSettings, base_urls: DataFrame | None = None) -> DataFrame:
+    """(output, ord, part, seq) of the first document of each content, by the length of its record."""
+    length = F.length(_record(docs, settings)).cast("bigint")
+    sizes = docs.select("output", "content_md5", "ord", "title", "url", length.alias("n_chars"))
     winners = dedup.content_winners(sizes.select("output", "content_md5", "ord"), ["output"])
     kept = written(sizes.drop("content_md5").join(winners.select("ord"), "ord", "left_semi"), "kept")
     headers = None
@@ -70,10 +104,15 @@ def assign_parts(docs: DataFrame, settings: CorpusSettings, base_urls: DataFrame
     return split.greedy_split(kept, settings.split_limit, headers, settings.rows_per_chunk)
 
 
-def corpus(pages: DataFrame, settings: CorpusSettings = CorpusSettings(), output: Column | None = None) -> DataFrame:
+def corpus(
+    pages: DataFrame,
+    settings: CorpusSettings = CorpusSettings(),
+    output: Column | None = None,
+    summarize: Callable[[str], str] | None = None,
+    refine: Callable[[str], str] | None = None,
+) -> DataFrame:
     """One row per kept page: (output, part, seq, ord, url, title, n_chars, content_md5, content)."""
-    docs = documents(select_urls(pages, settings), settings.selector)
-    docs = written(docs.withColumn("output", F.lit("corpus") if output is None else output), "documents")
+    docs = run_documents(pages, settings, output, summarize, refine)
     assigned = assign_parts(docs, settings)
     columns = ["output", "part", "seq", "ord", "url", "title", "n_chars", "content_md5", "content"]
     return docs.drop("output").join(assigned, "ord").select(*columns)
@@ -81,8 +120,7 @@ def corpus(pages: DataFrame, settings: CorpusSettings = CorpusSettings(), output
 
 def part_records(docs: DataFrame, assigned: DataFrame, settings: CorpusSettings, base_urls: DataFrame | None = None) -> DataFrame:
     """(output, part, seq, text): everything the part files hold; header lines have seq <= 0."""
-    at = F.lit(settings.collected_at)
-    text = R.record_text(settings.fmt, F.col("title"), F.col("url"), F.col("content"), at)
+    text = _record(docs, settings)
     records = docs.drop("output").join(assigned, "ord").select("output", "part", "seq", text.alias("text"))
     first = F.lit(1).cast("bigint").alias("part")
     if settings.fmt == "md":
@@ -104,20 +142,24 @@ def write_corpus(
     output: Column | None = None,
     root: str | None = None,
     base_urls: DataFrame | None = None,
+    summarize: Callable[[str], str] | None = None,
+    refine: Callable[[str], str] | None = None,
 ) -> DataFrame:
-    """Run and write all part files; returns the manifest (output, part, filename, sizes, digest)."""
-    docs = documents(select_urls(pages, settings), settings.selector)
-    docs = written(docs.withColumn("output", F.lit("corpus") if output is None else output), "documents")
+    """Run and write all part files; returns the manifest (output, part, filename, sizes, digest).
+
+    ``base_urls`` is (output, base_url), for the banner of text outputs.
+    """
+    docs = run_documents(pages, settings, output, summarize, refine)
     assigned = written(assign_parts(docs, settings, base_urls), "assigned")
     return write_parts(part_records(docs, assigned, settings, base_urls), settings.fmt, root)
 
 
 def skipped_pages(pages: DataFrame, settings: CorpusSettings = CorpusSettings()) -> DataFrame:
     """Skip log of a run over pages with fetch results: errors, then short, then duplicate pages."""
-    failed = pages.where(F.col("skipped")).select("url", "reason") if "skipped" in pages.columns else None
+    failed = pages.where(F.col("skipped")) if "skipped" in pages.columns else None
     docs = written(documents(pages, settings.selector), "documents")
     ok = filters.is_long_enough(F.col("content"), settings.min_length)
-    empty = pages.where(F.length("html") == 0)
+    empty = pages.where(F.length(F.coalesce("html", F.lit(""))) == 0)
     empty = empty.where(~F.col("skipped")) if "skipped" in pages.columns else empty
     short = docs.where(~ok).select("url").unionByName(empty.select("url"))
     copies = dedup.duplicates(docs.where(ok)).select("url")

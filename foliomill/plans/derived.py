@@ -54,7 +54,8 @@ EXPRESSIONS: dict[str, tuple[str, list[str]]] = {
             "url",
             "case when page_id % 11 = 3 or page_id % 13 = 5 then '' else html end as html",
             "page_id % 11 = 3 as skipped",
-            "case when page_id % 11 = 3 then (case when page_id % 2 = 0 then '403 Forbidden' else 'HTTP 500' end) else '' end as reason",
+            "case when page_id % 11 = 3 then (case page_id % 3 when 0 then '403 Forbidden' when 1 then 'HTTP 500' else 'reset' end) else '' end as reason",
+            "case when page_id % 11 = 3 and page_id % 3 = 2 then 'ConnectError' end as error_type",
         ],
     ),
     "docs": (
