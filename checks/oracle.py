@@ -791,7 +791,7 @@ ORACLE["site_corpus"] = f"""with recursive {docs_cte('pages')}, {_kept_cte(json_
 select s.output, s.part, s.seq, s.ord, w.url, w.title, w.n_chars, w.content_md5 from split s join winners w using (ord)"""
 
 _SHAPE = "regexp_replace({}, '[^z\\n]', '', 'g')".format
-ORACLE["refined_corpus"] = f"""with recursive {docs_cte("(select * from pages order by page_id limit 120)")},
+ORACLE["refined_corpus"] = f"""with recursive {docs_cte('pages')},
     refined as (select *, {_SHAPE('content')} as refined, split_part(content[1:3000], ' ', 1) as word from page_docs where {long_enough('content')}),
     sized as (select *, {_SITE_SLUG} as output, length({page_block('title', 'url', 'refined', strip('word'))})::bigint as n from refined),
     winners as (

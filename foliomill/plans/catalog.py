@@ -671,7 +671,7 @@ def stream_dedup(spark, d):
 
 @query
 def refined_corpus(spark, d):
-    settings = CorpusSettings(split_limit=SITE_LIMIT, collected_at=COLLECTED_AT, max_pages=120)
+    settings = CorpusSettings(split_limit=SITE_LIMIT, collected_at=COLLECTED_AT)
     # A refiner after which many more pages are copies of each other, and a summary in each record.
     rows = P.corpus(_pages(spark, d), settings, P.site_output(), _first_word, _line_shape)
     return rows.select("output", "part", "seq", "ord", "content_md5")
