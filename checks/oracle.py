@@ -115,7 +115,6 @@ def language(classes: str) -> str:
 
 
 def clean_markdown(x: str) -> str:
-    """Line by line, where the engine uses regular expressions over the whole text."""
     lines = f"string_split(regexp_replace({x}, {q(chr(13) + chr(10) + '|[' + fv.LINE_BREAK_CLASS + ']')}, {NL}, 'g'), {NL})"
     lines = f"list_transform({lines}, lambda s: rtrim(s, {WS}))"
     lines = f"list_filter({lines}, lambda s: not (contains(s, '|') and trim(s, {WS} || '|') = ''))"

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliomill import fixed_values as fv
-from foliomill.functions.text import decode_entities, strip
+from foliomill.functions.text import bind, decode_entities, strip
 
 LANGUAGE_PATTERN = r"(?:^| )(?:language|lang|highlight)[_-](\w+)"
 
@@ -56,11 +56,13 @@ def page_title(html: Column) -> Column:
 
     A regular expression over the row: titles need no token table and no shuffle.
     """
-    visible = visible_html(html)
-    full = joined_strings(_first_inner(visible, "title"))
-    short = reduce(lambda t, sep: strip(F.substring_index(t, sep, 1)), fv.TITLE_SEPARATORS, full)
-    return (
-        F.when(full != "", short)
-        .when(visible.rlike(r"(?i)<h1[\s>]"), joined_strings(_first_inner(visible, "h1")))
-        .otherwise(F.lit(fv.UNTITLED))
-    )
+
+    def short(full: Column) -> Column:
+        return reduce(lambda t, sep: strip(F.substring_index(t, sep, 1)), fv.TITLE_SEPARATORS, full)
+
+    def of(visible: Column) -> Column:
+        heading = F.when(visible.rlike(r"(?i)<h1[\s>]"), joined_strings(_first_inner(visible, "h1")))
+        fallback = F.coalesce(heading, F.lit(fv.UNTITLED))
+        return bind(joined_strings(_first_inner(visible, "title")), lambda t: F.when(t != "", short(t)).otherwise(fallback))
+
+    return bind(visible_html(html), of)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -61,28 +62,39 @@ def decode_entities(col: Column) -> Column:
     return F.when(F.contains(col, F.lit("&")), decoded).otherwise(col)
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is given a name: evaluated once, however often the body mentions it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def where_contains(text: Column, needle: str, change: Callable[[Column], Column]) -> Column:
-    """``change`` applied to the texts that contain a literal; a plain search is cheaper than a pattern.
+    """``change`` applied to the texts that contain a literal; a plain search is cheaper than a pattern."""
+    return bind(text, lambda t: F.when(F.contains(t, F.lit(needle)), change(t)).otherwise(t))
 
-    The text is bound to a name, so however long its expression is, it is evaluated once.
-    """
-    bound = F.transform(F.array(text), lambda t: F.when(F.contains(t, F.lit(needle)), change(t)).otherwise(t))
-    return F.element_at(bound, 1)
+
+def each_line(text: Column, change: Callable[[Column], Column]) -> Column:
+    """``change`` applied to every line.  Looks at line ends only, where a pattern would try every space."""
+    return F.array_join(F.transform(F.split(text, "\n"), change), "\n")
+
+
+def unix_lines(text: Column) -> Column:
+    """All line breaks as newlines; texts without rare ones are only searched."""
+    rare = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in fv.LINE_BREAKS if c != "\n"])
+    return F.when(rare, F.regexp_replace(text, rf"\r\n|[{fv.LINE_BREAK_CLASS}]", "\n")).otherwise(text)
 
 
 def clean_markdown(col: Column) -> Column:
     """Right-strip lines, drop lines of only pipes, squeeze blank lines, set fences apart, strip."""
-    sp = fv.INLINE_SPACE_CLASS
 
     def without_pipe_lines(text: Column) -> Column:
-        text = F.regexp_replace(text, rf"(?m)^[{sp}|]*\|[{sp}|]*\n", "")
-        return F.regexp_replace(text, rf"(?:^|\n)[{sp}|]*\|[{sp}|]*\z", "")
+        only_pipes = lambda s: F.contains(s, F.lit("|")) & (F.btrim(s, F.lit(fv.WHITE_SPACE + "|")) == "")
+        return F.array_join(F.filter(F.split(text, "\n"), lambda s: ~only_pipes(s)), "\n")
 
     def fences_apart(text: Column) -> Column:
         text = F.regexp_replace(text, r"([^\n])\n(```)", "$1\n\n$2")
         return F.regexp_replace(text, r"(```)\n([^\n])", "$1\n\n$2")
 
-    text = F.regexp_replace(col, rf"[{sp}]*(?:\r\n|[{fv.LINE_BREAK_CLASS}])", "\n")
+    text = each_line(unix_lines(col), lambda s: F.rtrim(s, F.lit(fv.WHITE_SPACE)))
     text = where_contains(text, "|", without_pipe_lines)
     text = where_contains(text, "\n\n\n", lambda t: F.regexp_replace(t, r"\n{3,}", "\n\n"))
     return strip(where_contains(text, "```", fences_apart))

@@ -235,7 +235,7 @@ def finish_page(md: Column) -> Column:
     def with_code(text: Column) -> Column:
         return F.translate(F.regexp_replace(text, rf"{keep_nl}+\n```", "\n```"), keep_nl + fv.KEEP_TAB, "\n\t")
 
-    text = F.regexp_replace(md, f"{free}\n{free}", "\n")
+    text = X.each_line(md, lambda s: F.btrim(s, F.lit(" " + line)))
     text = X.where_contains(text, line, lambda t: F.regexp_replace(t, f" *{line}{free}", "\n"))
     text = X.where_contains(text, "  ", lambda t: F.regexp_replace(t, " {2,}", " "))
     text = X.where_contains(text, "\n> ", lambda t: F.regexp_replace(t, r"(?m)^> *$", ""))
