@@ -16,8 +16,8 @@ LANGUAGE_PATTERN = r"(?:^| )(?:language|lang|highlight)[_-](\w+)"
 def attribute(token: Column, name: str) -> Column:
     """Value of an attribute of a tag token, '' where absent."""
     value = F.regexp_extract(token, rf"""(?is)[\s"']{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
-    bare = F.when(value.rlike("^[\"']"), F.substring(value, F.lit(2), F.length(value) - F.lit(2))).otherwise(value)
-    return decode_entities(bare)
+    bare = bind(value, lambda v: F.when(v.rlike("^[\"']"), F.substring(v, F.lit(2), F.length(v) - F.lit(2))).otherwise(v))
+    return bind(bare, decode_entities)
 
 
 def class_list(token: Column) -> Column:

@@ -20,7 +20,11 @@ def page_links(pages: DataFrame, same_site: bool = True) -> DataFrame:
     with_href = anchors.where(F.col("token").rlike(r"(?i)[\s\"']href(?:\s*=|[\s>/])"))
     hrefs = with_href.select("src", "pos", H.attribute(F.col("token"), "href").alias("href"))
     links = U.resolve(hrefs, "src", "href", "dst").select("src", "dst", "pos")
-    return links.where(U.same_domain(F.col("dst"), F.col("src"))) if same_site else links
+    if not same_site:
+        return links
+    # As a generator: a plain filter would be pushed below the steps that compute dst, and repeat them.
+    inside = F.filter(F.array("dst"), lambda dst: U.same_domain(dst, F.col("src")))
+    return links.select("src", F.explode(inside).alias("dst"), "pos")
 
 
 def _passes(url: Column, include: Sequence[str], exclude: Sequence[str]) -> Column:

@@ -75,12 +75,16 @@ def run_documents(
     found (later) in the text after it.
     """
     docs = documents(select_urls(pages, settings), settings.selector)
+    # Stored before it is filtered: a filter on content would be pushed below its rendering, and repeat it.
+    docs = written(docs.withColumn("output", F.lit("corpus") if output is None else output), "documents")
     docs = docs.where(filters.is_long_enough(F.col("content"), settings.min_length))
+    if summarize is None and refine is None:
+        return docs
     if summarize is not None:
         docs = enrich.summarize(docs, summarize)
     if refine is not None:
         docs = with_sizes(enrich.refine(docs, refine).drop("n_chars", "content_md5"))
-    return written(docs.withColumn("output", F.lit("corpus") if output is None else output), "documents")
+    return written(docs, "enriched")
 
 
 def _record(docs: DataFrame, settings: CorpusSettings) -> Column:
