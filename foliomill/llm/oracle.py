@@ -17,7 +17,7 @@ gram as (
   select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') as p
   from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from doc, lengths where len(w) >= n)),
 hit as (select g.doc_id, g.n, g.i, p.item_id from gram g join pattern p using (n, p)),
-covered as (select doc_id, count(distinct at) as n_hit from (select doc_id, unnest(range(i, i + n)) as at from hit) group by doc_id),
+covered as (select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(i, i + n)) as pos from hit) group by doc_id),
 items as (
   select doc_id, count(*) as n_items, string_agg(s, ',' order by s) as ids
   from (select distinct doc_id, cast(item_id as varchar) as s from hit) group by doc_id)
@@ -34,8 +34,8 @@ gram as (
   from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from doc where len(w) >= 5)),
 again as (select doc_id, i, count(*) over (partition by doc_id, g) as n from gram),
 repeats as (
-  select doc_id, count(distinct at) as n_repeat_words
-  from (select doc_id, unnest(range(i, i + 5)) as at from again where n > 1) group by doc_id),
+  select doc_id, count(distinct pos) as n_repeat_words
+  from (select doc_id, unnest(range(i, i + 5)) as pos from again where n > 1) group by doc_id),
 lines as (
   select doc_id, count(*) - count(distinct l) as n_dup_lines
   from (select doc_id, unnest(string_split(text, chr(10))) as l from doc) where regexp_matches(l, '[^\x20\x09-\x0D]') group by doc_id),

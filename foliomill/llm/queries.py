@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import decontaminate, packing, quality, secret_scan, simhash
+from foliomill.llm import decontaminate, license_scan, packing, quality, secret_scan, simhash, substring_dedup, token_files, url_filter
 
 
 def vocabulary_file() -> str:
@@ -28,6 +28,14 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"),
+        F.size("licenses").cast("long").alias("n_licenses"),
+    )
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(_table(spark, sf_dir, "documents")).drop("host_rejected")
 
@@ -40,14 +48,45 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary_file())
 
 
+#: Explicit rules of the URL filter, fixed.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def labelled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs of documents with a label: the number in a URL's path is the id of its document."""
+    pages = _table(spark, sf_dir, "pages").select("url", F.regexp_extract("url", r"://[^/]*/[^/?#]*/(\d+)", 1).try_cast("long").alias("doc_id"))
+    bad = _table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return pages.join(bad, "doc_id").select("url", "bad")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), labelled_urls(spark, sf_dir), URL_RULES)
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(_table(spark, sf_dir, "documents"), vocabulary_file())
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.deduplicated(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_license_scan": op2_license_scan,
     "op3_quality_rules": op3_quality_rules,
     "op4_secret_scan": op4_secret_scan,
     "op5_packing": op5_packing,
+    "op6_url_filter": op6_url_filter,
+    "op7_token_files": op7_token_files,
     "op8_simhash": op8_simhash,
+    "op10_substring_dedup": op10_substring_dedup,
 }
