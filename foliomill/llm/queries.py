@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import decontaminate, license_scan, packing, quality, secret_scan, simhash, substring_dedup, token_files, url_filter
+from foliomill.llm import decontaminate, language_id, license_scan, packing, quality, secret_scan, simhash, substring_dedup, token_files, url_filter
 
 
 def vocabulary_file() -> str:
@@ -52,9 +52,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
 
+#: The number in the path of a page's address is the id of its document.
+PAGE_DOCUMENT = r"://[^/]*/[^/?#]*/(\d+)"
+
+
 def labelled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """URLs of documents with a label: the number in a URL's path is the id of its document."""
-    pages = _table(spark, sf_dir, "pages").select("url", F.regexp_extract("url", r"://[^/]*/[^/?#]*/(\d+)", 1).try_cast("long").alias("doc_id"))
+    """URLs of documents with a label."""
+    pages = _table(spark, sf_dir, "pages").select("url", F.regexp_extract("url", PAGE_DOCUMENT, 1).try_cast("long").alias("doc_id"))
     bad = _table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     return pages.join(bad, "doc_id").select("url", "bad")
 
@@ -71,6 +75,21 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def page_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pages of a document say of its language; of several pages the one with the smallest id."""
+    url = F.col("url")
+    pages = _table(spark, sf_dir, "pages").select(
+        "page_id", F.regexp_extract("url", PAGE_DOCUMENT, 1).try_cast("long").alias("doc_id"), url_filter.host_of(url).alias("host"),
+        url_filter.path_of(url).alias("path"), language_id.markup_language(F.col("html")).alias("markup"),
+    )
+    one = pages.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct("host", "path", "markup"), "page_id").alias("page"))
+    return one.select("doc_id", "page.*", F.regexp_extract("page.host", r"[^.]+\.[^.]+$", 0).alias("domain"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"), page_evidence(spark, sf_dir))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.deduplicated(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -88,5 +107,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": op6_url_filter,
     "op7_token_files": op7_token_files,
     "op8_simhash": op8_simhash,
+    "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
 }
