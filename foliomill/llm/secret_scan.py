@@ -204,26 +204,25 @@ def redacted(
     Every row stays, with its columns.  Rows are matched by id and text, so repeated ids keep their own texts.
     """
     found = findings(docs, labelled, max_training, id_col, text_col, path_col).where("is_secret")
-    hits = found.groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(F.collect_set("nth").alias("_nth"))
-    text = F.col(f"`{text_col}`")
+    hits = found.groupBy(F.col("doc_id").alias("hit_doc"), F.col("text_key").alias("hit_key")).agg(F.collect_set("nth").alias("hit_nth"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text, key = F.col("row").getField(text_col), F.col("row").getField(id_col).cast("long")
+    joined = rows.join(hits, key.eqNullSafe(F.col("hit_doc")) & F.xxhash64(text).eqNullSafe(F.col("hit_key")), "left")
     gaps = F.split(text, RUN)
     rebuilt = F.array_join(
         F.transform(
             F.regexp_extract_all(text, F.lit(RUN), 0),
-            lambda x, i: F.concat(F.get(gaps, i), F.when(F.array_contains("_nth", i), F.lit(placeholder)).otherwise(x)),
+            lambda x, i: F.concat(F.get(gaps, i), F.when(F.array_contains("hit_nth", i), F.lit(placeholder)).otherwise(x)),
         ),
         "",
     )
-    clean = F.when(F.col("_nth").isNull(), text).otherwise(F.concat(rebuilt, F.element_at(gaps, -1)))
-    joined = docs.join(
-        hits, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_doc")) & F.xxhash64(text).eqNullSafe(F.col("_key")), "left"
-    ).withColumn("_clean", clean)
+    clean = joined.withColumn("clean", F.when(F.col("hit_nth").isNull(), text).otherwise(F.concat(rebuilt, F.element_at(gaps, -1))))
     columns = []
     for name in docs.columns:
-        value = F.col(f"`{name}`")
+        value = F.col("row").getField(name)
         if name == text_col:
-            value = F.col("_clean")
+            value = F.col("clean")
         elif name == length_col:
-            value = F.when(F.col("_nth").isNull(), value).otherwise(F.length("_clean").cast(docs.schema[name].dataType))
+            value = F.when(F.col("hit_nth").isNull(), value).otherwise(F.length("clean").cast(docs.schema[name].dataType))
         columns.append(value.alias(name))
-    return joined.select(*columns)
+    return clean.select(*columns)
