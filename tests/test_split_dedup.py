@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from foliomill.operators import dedup, filters, toc
-from foliomill.operators.split import _chain, _chunk_effect, _number, _Segment, _sorted, greedy_split
+from foliomill.operators.split import _chain, _chunk_effect, _composed, _number, _Segment, _sorted, greedy_split
 
 
 def one_by_one(sizes, limit, fill=0):
@@ -40,9 +40,9 @@ def test_segment_rules(sizes, limit, fill):
 @settings(max_examples=150, deadline=None)
 @given(
     st.lists(st.tuples(st.sampled_from("abc"), st.integers(0, 30)), min_size=1, max_size=80),
-    st.integers(1, 40), st.integers(1, 12), st.integers(0, 50),
+    st.integers(1, 40), st.integers(1, 12), st.integers(0, 50), st.integers(2, 4),
 )
-def test_chunks_give_the_sequential_result(records, limit, chunk_rows, header):
+def test_chunks_give_the_sequential_result(records, limit, chunk_rows, header, fan_in):
     import pandas as pd
 
     rows = [(o, i, n) for i, (o, n) in enumerate(records)]
@@ -50,8 +50,14 @@ def test_chunks_give_the_sequential_result(records, limit, chunk_rows, header):
     pdf["header_chars"] = header
     pdf["chunk"] = pdf.index // chunk_rows
     effects = pd.concat([_chunk_effect(g, limit) for _, g in pdf.groupby("chunk")])
-    entries = _chain(effects, limit).set_index("chunk")
-    got = pd.concat([_number(g.reset_index(drop=True), limit, tuple(int(v) for v in entries.loc[c])) for c, g in pdf.groupby("chunk")])
+    nothing = (None, 0, 1, 0)
+    straight = _chain(effects, limit, nothing)[0]
+    # The same by composing tables: states of groups of chunks, then of the chunks in them.
+    groups = pd.concat([_composed(g, limit, int(c)) for c, g in effects.groupby(effects["chunk"] // fan_in)])
+    states = {c: state for c, *state in _chain(groups, limit, nothing)[0]}
+    assert straight == [row for c, g in effects.groupby(effects["chunk"] // fan_in) for row in _chain(g, limit, tuple(states[c]))[0]]
+    entries = {c: tuple(state[1:]) for c, *state in straight}
+    got = pd.concat([_number(g.reset_index(drop=True), limit, entries[c]) for c, g in pdf.groupby("chunk")])
     for output, group in got.groupby("output"):
         sizes = [n for o, _, n in rows if o == output]
         assert group["part"].tolist() == one_by_one(sizes, limit, header)[0]
@@ -62,6 +68,19 @@ def test_chunks_give_the_sequential_result(records, limit, chunk_rows, header):
             assert total <= limit or sum(rows[i][2] > 0 for i in members["ord"]) <= 1
 
 
+@pytest.mark.parametrize("sizes", [[10] * 700, [i * 37 % 50 for i in range(700)]])
+def test_more_chunks_than_one_task_composes(spark, sizes):
+    rows = [("a" if i < 600 else f"b{i // 20}", i, n) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "output string, ord bigint, n_chars bigint")
+    headers = df.select("output").distinct().withColumn("header_chars", F.lit(33).cast("bigint"))
+    got = {}
+    for r in greedy_split(df, 100, headers, rows_per_chunk=20, fan_in=3).orderBy("output", "ord").collect():
+        got.setdefault(r.output, []).append((r.part, r.seq))
+    for output, found in got.items():
+        parts = one_by_one([n for o, _, n in rows if o == output], 100, 33)[0]
+        assert found == list(zip(parts, range(1, len(parts) + 1), strict=True))
+
+
 CASES = {
     "fits": [40, 60], "one over": [40, 61], "large first": [150, 10], "large middle": [10, 150, 10], "large last": [10, 150], "empty": [100, 0, 0, 1],
 }
