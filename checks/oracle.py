@@ -421,7 +421,7 @@ def _sitemap_files() -> str:
     xml = "'<?xml version=\"1.0\"?><{0} xmlns=\"http://www.sitemaps.org/schemas/sitemap/0.9\">' || {1} || '</{0}>'"
     loc = (
         "'<url><loc> ' || u || ' </loc><image:loc>http://i.example.org/x</image:loc></url><url><loc><![CDATA[' || split_part(u, '?', 1) "
-        "|| ']]></loc></url><url><loc>http://a.example.org/b.pdf</loc></url>'"
+        "|| '<!--in-->]]></loc></url><url><loc>http://a.example.org/b.pdf</loc></url>'"
     )
     parts = [
         f"""p as (select page_id, replace(url, '&', '&amp;') as u, page_id // 100 as leaf, page_id // 1000 as mid, page_id // 10000 as top from pages),
@@ -540,16 +540,20 @@ def _parts(fmt: str) -> str:
 for _fmt in ("md", "txt", "jsonl"):
     ORACLE[f"{_fmt}_parts"] = _parts(_fmt)
 
-SKIPS = f"""{docs_cte('(select page_id, url, html from ' + D('page_results') + " where not skipped and html <> '')")},
+_LINE_SHAPE = "regexp_replace({}, '[^z\\n]', '', 'g')".format
+_CHOSEN = f"(select * from {D('page_results')} where (contains(url, '/en/') or contains(url, '/fr/') or contains(url, '/de/')) and not contains(url, 'spam'))"
+SKIPS = f"""chosen as (select * from {_CHOSEN}), {docs_cte("(select page_id, url, html from chosen where not skipped and html <> '')")},
     states as (
-      select url, {long_enough('content')} as ok, row_number() over (partition by content_md5 order by ord) as copy from page_docs where {long_enough('content')}
-      union all select url, false, 1 from page_docs where not {long_enough('content')}
+      select ord, row_number() over (partition by {slug(site('url'))}, md5({_LINE_SHAPE('content')}) order by ord) as copy from page_docs where {long_enough('content')}
+    ),
+    outcome as (
+      select url, case when skipped then 'error' when copy is null then 'short' when copy > 1 then 'duplicate' end as stage, reason as why, error_type as kind
+      from chosen left join states on ord = page_id
     ),
     skips as (
-      select url, 'error' as stage, reason, error_type from {D('page_results')} where skipped
-      union all select url, 'short', 'Nội dung quá ngắn hoặc rỗng (< 50 chars)', null from states where not ok
-      union all select url, 'short', 'Nội dung quá ngắn hoặc rỗng (< 50 chars)', null from {D('page_results')} where not skipped and html = ''
-      union all select url, 'duplicate', 'Duplicate content', null from states where ok and copy > 1
+      select url, stage, case stage when 'error' then why when 'short' then 'Nội dung quá ngắn hoặc rỗng (< 50 chars)' else 'Duplicate content' end as reason,
+        case when stage = 'error' then kind end as error_type
+      from outcome where stage is not null
     )"""
 ORACLE["skip_log"] = f"with {SKIPS} select url, stage, reason, case when error_type is null then '[SKIPPED] ' || url || ' — ' || reason else '[ERROR] ' || url || ' — ' || error_type || ': ' || reason end as line from skips"
 ORACLE["skip_counts"] = f"with {SKIPS} select stage, count(*) as n from skips group by stage"
@@ -637,7 +641,7 @@ ORACLE["crawl_bfs"] = f"with recursive {CRAWL} select base, url, min(depth) as d
 ORACLE["crawl_bfs_filtered"] = f"with recursive {CRAWL} select base, url, min(depth) as depth from reach where contains(url, '/doc/') group by base, url"
 
 ORACLE["order_restore"] = f"""
-select page_id, p.url, coalesce(u.last_ord, 9999)::bigint as restored_ord
+select page_id, p.url, u.last_ord::bigint as restored_ord
 from (select ord as page_id, url || case when ord % 10 = 0 then 'x' else '' end as url from {D('repeated_urls')}) p
 left join (select url, max(ord) as last_ord from {D('repeated_urls')} group by url) u on u.url = p.url"""
 
@@ -647,9 +651,7 @@ ORACLE["reusable_set"] = f"select ord, url from {D('known_urls')} where url in {
 
 # --- queries: aggregates, windows, order ------------------------------------------------------------
 
-ORACLE["run_totals"] = f"""
-with good as (select count(distinct content_md5) as kept from {DOCS} where {long_enough('content')})
-select kept, (select count(*) from documents) as total, (select count(*) from documents) - kept as skipped from good"""
+ORACLE["run_totals"] = f"with {SKIPS} select count(*) filter (where stage is null) as kept, count(*) as total, count(stage) as skipped from outcome"
 ORACLE["size_estimate"] = f"""
 select source as output, count(*) as n_urls, count(*) * 5000 as est_chars, greatest(1, count(*) * 5000 // {DOC_LIMIT} + 1)::bigint as est_parts,
   count(*) / 5 * 1.5::double as est_seconds from documents group by source"""
@@ -787,7 +789,7 @@ ORACLE["corpus"] = f"""with recursive {docs_cte('pages')}, {_kept_cte(page_block
 select s.output, s.part, s.seq, s.ord, w.url, w.title, w.n_chars, w.content_md5, w.content from split s join winners w using (ord)"""
 ORACLE["site_corpus"] = f"""with recursive {docs_cte('pages')}, {_kept_cte(json_line('title', 'url', 'content'), _SITE_SLUG, "not contains(url, 'spam')")},
     records as (select output, ord, length(block)::bigint as n, 0::bigint as header from winners), {split_cte('records', SITE_LIMIT)}
-select s.output, s.part, s.seq, s.ord, w.url, w.title, w.n_chars, w.content_md5 from split s join winners w using (ord)"""
+select s.output, s.part, s.seq, s.ord, w.url, w.title, w.n_chars, w.content_md5, w.content from split s join winners w using (ord)"""
 
 _SHAPE = "regexp_replace({}, '[^z\\n]', '', 'g')".format
 ORACLE["refined_corpus"] = f"""with recursive {docs_cte('pages')},

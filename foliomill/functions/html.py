@@ -47,12 +47,23 @@ def _first_inner(visible: Column, tag: str) -> Column:
     return F.regexp_extract(visible, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>", 1)
 
 
+#: What ends a heading that is not closed: another heading, a block, or the end of its container.
+_HEADING_END = r"</?(?:h[1-6]|" + "|".join(t for t in [*fv.BLOCK_TAGS, "ul", "ol", "li", "table", "tr", "td", "th", "pre", "blockquote", "hr"]) + r")[\s/>]"
+
+
+def first_heading(visible: Column) -> Column:
+    """Text of the first <h1>, up to its end tag, or where there is none before the next, up to what ends it."""
+    inner = F.regexp_extract(visible, r"(?is)<h1(?:\s[^>]*)?>(.*?)(?:</h1\s*>|<h1[\s>]|\z)", 1)
+    closed = visible.rlike(r"(?is)^(?:(?!<h1[\s>]).)*+<h1(?:\s[^>]*)?>(?:(?!<h1[\s>]).)*?</h1\s*>")
+    return joined_strings(F.when(closed, inner).otherwise(F.get(F.split(inner, rf"(?i){_HEADING_END}"), F.lit(0))))
+
+
 def h1_title(html: Column) -> Column:
-    return joined_strings(_first_inner(visible_html(html), "h1"))
+    return bind(visible_html(html), first_heading)
 
 
 def page_title(html: Column) -> Column:
-    """First <title> up to its first separator, else first <h1>, else a fixed word.
+    """First <title> up to its first separator, else first <h1> (as it is, even if empty), else a fixed word.
 
     A regular expression over the row: titles need no token table and no shuffle.
     """
@@ -61,7 +72,7 @@ def page_title(html: Column) -> Column:
         return reduce(lambda t, sep: strip(F.substring_index(t, sep, 1)), fv.TITLE_SEPARATORS, full)
 
     def of(visible: Column) -> Column:
-        heading = F.when(visible.rlike(r"(?i)<h1[\s>]"), joined_strings(_first_inner(visible, "h1")))
+        heading = F.when(visible.rlike(r"(?i)<h1[\s>]"), first_heading(visible))
         fallback = F.coalesce(heading, F.lit(fv.UNTITLED))
         return bind(joined_strings(_first_inner(visible, "title")), lambda t: F.when(t != "", short(t)).otherwise(fallback))
 

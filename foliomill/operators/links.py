@@ -47,8 +47,10 @@ def crawl(
 
     One join per hop; a URL that fails a filter is neither kept nor expanded, and the include filter is
     waived for the base.  Links are filtered and made distinct once, each hop's frontier is written to
-    the shared folder, and the loop ends early when a frontier is empty.  A frontier row is unique, so
-    a page that holds very many links is one join key with a single partner, which AQE can split.
+    the shared folder, and the loop ends early when a frontier is empty.  The distinct URLs of a frontier
+    meet the links, so a page that holds very many links is one join key with a single partner; only what
+    they lead to is then told to each base that came by.  The result has a row for every base and URL it
+    reaches, so bases that share a hub each have the hub's links: choose few bases, or a small depth.
     """
     url = F.col("url")
     edges = links.select("src", "dst").where(_passes(F.col("dst"), include, exclude))
@@ -57,7 +59,8 @@ def crawl(
     start = bases.select(F.col("base"), F.col("base").alias("url"), F.lit(0).cast("bigint").alias("depth")).distinct()
     frontier = visited = written(start.where(_passes(url, (), exclude)), "crawl-0")
     for depth in range(1, max_depth + 1):
-        reached = frontier.join(edges, url == F.col("src")).select("base", F.col("dst").alias("url")).distinct()
+        ahead = frontier.select("url").distinct().join(edges, url == F.col("src")).select("src", "dst")
+        reached = frontier.join(ahead, url == F.col("src")).select("base", F.col("dst").alias("url")).distinct()
         new = reached.join(visited.select("base", "url"), ["base", "url"], "left_anti")
         frontier = written(new.withColumn("depth", F.lit(depth).cast("bigint")), f"crawl-{depth}")
         if frontier.isEmpty():

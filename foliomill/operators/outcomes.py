@@ -58,29 +58,36 @@ def reusable_set(urls: DataFrame, snapshot: DataFrame, now: Column) -> DataFrame
     return urls.join(fresh, "url", "left_semi")
 
 
-def order_restore(pages: DataFrame, urls: DataFrame) -> DataFrame:
-    """Pages with the position of their URL: the last one for a repeated URL, 9999 for an unknown one."""
+def order_restore(pages: DataFrame, urls: DataFrame, missing: int | None = None) -> DataFrame:
+    """Pages with the position of their URL, the last one for a repeated URL.
+
+    An unknown URL has no position (sort with nulls last), or ``missing``; a number put in its place
+    (``fixed_values.MISSING_POSITION``) lands amid the others as soon as there are more URLs than that.
+    """
     positions = urls.groupBy("url").agg(F.max("ord").alias("restored_ord"))
     joined = pages.join(positions, "url", "left")
-    return joined.withColumn("restored_ord", F.coalesce("restored_ord", F.lit(fv.MISSING_POSITION).cast("bigint")))
+    return joined if missing is None else joined.fillna(missing, ["restored_ord"])
 
 
-def skip_log(fetch_skips: DataFrame, short: DataFrame, copies: DataFrame, min_length: int = fv.MIN_LENGTH) -> DataFrame:
-    """(url, stage, reason, line) of every page left out.
+def page_stage(failed: Column, long_enough: Column, first_copy: Column) -> Column:
+    """Why a page is left out: ``error``, ``short`` or ``duplicate``, in this order; null if it is kept."""
+    return (
+        F.when(failed, "error")
+        .when(~F.coalesce(long_enough, F.lit(False)), "short")
+        .when(~F.coalesce(first_copy, F.lit(False)), "duplicate")
+    )
 
-    ``fetch_skips`` is (url, reason), and may have ``error_type``: the class of an error that is none of
-    the known outcomes, which makes its line an error line.
-    """
-    error_type = F.col("error_type") if "error_type" in fetch_skips.columns else F.lit(None).cast("string")
 
-    def stage(rows: DataFrame, name: str, reason: Column, kind: Column) -> DataFrame:
-        return rows.select("url", F.lit(name).alias("stage"), reason.alias("reason"), kind.alias("error_type"))
+def skip_log(statuses: DataFrame, min_length: int = fv.MIN_LENGTH) -> DataFrame:
+    """(url, stage, reason, line) of every page left out, from (url, stage, reason, error_type).
 
-    none = F.lit(None).cast("string")
-    rows = (
-        stage(fetch_skips, "error", F.col("reason"), error_type)
-        .unionByName(stage(short, "short", F.lit(fv.REASON_SHORT.format(min_length)), none))
-        .unionByName(stage(copies, "duplicate", F.lit(fv.REASON_DUPLICATE), none))
+    ``error_type`` is the class of an error that is none of the known outcomes, which makes its line an
+    error line.
+    """
+    rows = statuses.where("stage is not null").select(
+        "url", "stage",
+        F.when(F.col("stage") == "error", F.col("reason")).when(F.col("stage") == "short", fv.REASON_SHORT.format(min_length)).otherwise(fv.REASON_DUPLICATE).alias("reason"),
+        F.when(F.col("stage") == "error", F.col("error_type")).alias("error_type"),
     )
     skipped = F.concat(F.lit("[SKIPPED] "), "url", F.lit(" — "), "reason")
     error = F.concat(F.lit("[ERROR] "), "url", F.lit(" — "), "error_type", F.lit(": "), "reason")

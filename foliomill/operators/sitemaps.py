@@ -15,6 +15,11 @@ LOC_PATTERN = r"(?s)<loc(?:\s[^>]*)?>(.*?)</loc\s*>"
 SITEMAP_PATTERN = r"(?s)<sitemap(?:\s[^>]*)?>(.*?)</sitemap\s*>"
 
 
+def without_comments(xml: Column) -> Column:
+    """XML without its comments; what looks like one inside CDATA stays."""
+    return F.regexp_replace(xml, r"(?s)(<!\[CDATA\[.*?\]\]>)|<!--.*?-->", "$1")
+
+
 def is_index(xml: Column) -> Column:
     return xml.rlike(r"<sitemap[\s>/]")
 
@@ -31,6 +36,7 @@ def locations(sitemaps: DataFrame) -> DataFrame:
 
     Regular expressions and not an XML parser: one malformed file must not fail the job.
     """
+    sitemaps = sitemaps.select("sitemap_url", without_comments(F.col("xml")).alias("xml"))
     found = sitemaps.where(~is_index(F.col("xml"))).select(
         "sitemap_url", F.posexplode(F.regexp_extract_all("xml", F.lit(LOC_PATTERN), F.lit(1))).alias("pos", "inner")
     )
@@ -41,6 +47,7 @@ def locations(sitemaps: DataFrame) -> DataFrame:
 
 def children(sitemaps: DataFrame) -> DataFrame:
     """(parent, pos, child): the first location of each entry of a sitemap index."""
+    sitemaps = sitemaps.select("sitemap_url", without_comments(F.col("xml")).alias("xml"))
     found = sitemaps.where(is_index(F.col("xml"))).select(
         F.col("sitemap_url").alias("parent"),
         F.posexplode(F.regexp_extract_all("xml", F.lit(SITEMAP_PATTERN), F.lit(1))).alias("pos", "entry"),

@@ -23,7 +23,7 @@ from foliomill.plans import corpus as P
 from foliomill.plans.derived import derived, table
 from foliomill.settings import CorpusSettings
 from foliomill.sinks.parts import write_parts, write_skip_log
-from foliomill.sources.readers import page_results, read_pages, spread, url_list
+from foliomill.sources.readers import page_results, read_pages, url_list
 from foliomill.storage import new_path, written
 from foliomill.streaming import ingest as S
 
@@ -94,7 +94,8 @@ def sitemap_files(spark: SparkSession, d: str) -> DataFrame:
 
     loc = F.concat(
         F.lit("<url><loc> "), F.col("url"), F.lit(" </loc><image:loc>http://i.example.org/x</image:loc></url><url><loc><![CDATA["),
-        F.split_part("url", F.lit("?"), F.lit(1)), F.lit("]]></loc></url><url><loc>http://a.example.org/b.pdf</loc></url>"),
+        F.split_part("url", F.lit("?"), F.lit(1)), F.lit("<!--in-->]]></loc></url><url><loc>http://a.example.org/b.pdf</loc></url>"),
+        F.lit("<!-- was a <sitemap> with <loc>http://a.example.org/old</loc> -->"),
     )
     leaves = p.select("leaf", "page_id", loc.alias("loc")).groupBy("leaf").agg(X.ordered_concat("page_id", "loc").alias("body"))
     files = leaves.select(name("leaf").alias("sitemap_url"), wrap("urlset", F.col("body")).alias("xml"))
@@ -104,7 +105,8 @@ def sitemap_files(spark: SparkSession, d: str) -> DataFrame:
             X.ordered_concat(below, "entry").alias("entries"), F.min("in_top").alias("in_top"), F.min_by("child", below).alias("first")
         )
         top = F.concat(F.lit("https://maps.example.org/top-"), F.col("in_top").cast("string"), F.lit(".xml.gz"))
-        extra = F.concat(entry(top), F.lit("<sitemap><loc>https://maps.example.org/none.xml</loc></sitemap><sitemap></sitemap>"), F.col("entries"), entry(F.col("first")))
+        gone = F.concat(F.lit("<!--"), entry(F.lit("https://maps.example.org/gone.xml")), F.lit("-->"))
+        extra = F.concat(gone, entry(top), F.lit("<sitemap><loc>https://maps.example.org/none.xml</loc></sitemap><sitemap></sitemap>"), F.col("entries"), entry(F.col("first")))
         files = files.unionByName(body.select(name(level).alias("sitemap_url"), wrap("sitemapindex", extra).alias("xml")))
     return files
 
@@ -202,9 +204,15 @@ def jsonl_parts(spark, d):
     return _parts(spark, d, "jsonl")
 
 
+def _fetched_run(spark: SparkSession, d: str) -> P.CorpusRun:
+    """A run over fetch results with one output per site, URL filters, and a refiner that makes copies."""
+    settings = CorpusSettings(fmt="jsonl", split_limit=SITE_LIMIT, collected_at=COLLECTED_AT, include=("/en/", "/fr/", "/de/"), exclude=("spam",))
+    return P.run(derived(spark, d, "page_results"), settings, P.site_output(), refine=_line_shape)
+
+
 @query
 def skip_log(spark, d):
-    log = P.skipped_pages(derived(spark, d, "page_results"))
+    log = _fetched_run(spark, d).skip_log()
     path = new_path(spark, "skip-log")
     write_skip_log(log, path)
     return spark.read.parquet(path).select("url", F.col("stage").cast("string").alias("stage"), "reason", "line")
@@ -282,12 +290,12 @@ def fetch_outcome(spark, d):
 
 @query
 def page_links(spark, d):
-    return links.page_links(spread(_pages(spark, d)))
+    return links.page_links(_pages(spark, d))
 
 
 @query
 def rich_links(spark, d):
-    return links.page_links(spread(derived(spark, d, "rich_pages")), same_site=False)
+    return links.page_links(derived(spark, d, "rich_pages"), same_site=False)
 
 
 def _crawl_input(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -330,15 +338,12 @@ def reusable_set(spark, d):
 
 @query
 def skip_counts(spark, d):
-    return outcomes.skip_counts(P.skipped_pages(derived(spark, d, "page_results")))
+    return outcomes.skip_counts(_fetched_run(spark, d).skip_log())
 
 
 @query
 def run_totals(spark, d):
-    docs = _docs(spark, d)
-    good = docs.where(filters.is_long_enough(F.col("content")))
-    winners = dedup.content_winners(good.select("content_md5", "ord")).withColumn("kept", F.lit(True))
-    return outcomes.run_totals(docs.select("ord").join(winners, "ord", "left").select(F.coalesce("kept", F.lit(False)).alias("kept")))
+    return _fetched_run(spark, d).totals()
 
 
 @query
@@ -422,12 +427,12 @@ def preview(spark, d):
 
 @query
 def html_tokens(spark, d):
-    return tokenize(spread(_pages(spark, d)))
+    return tokenize(_pages(spark, d))
 
 
 @query
 def rich_tokens(spark, d):
-    return tokenize(spread(derived(spark, d, "rich_pages")))
+    return tokenize(derived(spark, d, "rich_pages"))
 
 
 def _spans(pages: DataFrame) -> DataFrame:
@@ -483,12 +488,12 @@ def page_title(spark, d):
         .unionByName(pages.select(F.lit("nothing").alias("variant"), "page_id", untitled.alias("html")))
         .unionByName(derived(spark, d, "rich_pages").select(F.lit("rich").alias("variant"), "page_id", "html"))
     )
-    return spread(every).select("variant", "page_id", H.page_title(F.col("html")).alias("title"))
+    return every.select("variant", "page_id", H.page_title(F.col("html")).alias("title"))
 
 
 @query
 def h1_title(spark, d):
-    return spread(derived(spark, d, "rich_pages")).select("page_id", H.h1_title(F.col("html")).alias("h1"))
+    return derived(spark, d, "rich_pages").select("page_id", H.h1_title(F.col("html")).alias("h1"))
 
 
 @query
@@ -515,7 +520,7 @@ def code_language(spark, d):
 
 @query
 def entities(spark, d):
-    return spread(derived(spark, d, "entity_texts")).select("doc_id", X.decode_entities(F.col("text")).alias("text"))
+    return derived(spark, d, "entity_texts").select("doc_id", X.decode_entities(F.col("text")).alias("text"))
 
 
 # --- scalar functions -------------------------------------------------------------------------------
@@ -561,7 +566,7 @@ def txt_banner(spark, d):
 
 @query
 def jsonl_line(spark, d):
-    return spread(_docs(spark, d)).select("ord", R.json_line(F.col("title"), F.col("url"), F.col("content"), F.lit(COLLECTED_AT)).alias("line"))
+    return _docs(spark, d).select("ord", R.json_line(F.col("title"), F.col("url"), F.col("content"), F.lit(COLLECTED_AT)).alias("line"))
 
 
 @query
@@ -571,12 +576,12 @@ def content_md5(spark, d):
 
 @query
 def clean_markdown(spark, d):
-    return spread(derived(spark, d, "markdown_texts")).select("doc_id", X.clean_markdown(F.col("text")).alias("text"))
+    return derived(spark, d, "markdown_texts").select("doc_id", X.clean_markdown(F.col("text")).alias("text"))
 
 
 @query
 def chunk_text(spark, d):
-    chunks = spread(derived(spark, d, "paragraph_texts")).select("doc_id", F.posexplode(X.chunk_text(F.col("text"), 2000)).alias("chunk_no", "chunk"))
+    chunks = derived(spark, d, "paragraph_texts").select("doc_id", F.posexplode(X.chunk_text(F.col("text"), 2000)).alias("chunk_no", "chunk"))
     return chunks.select("doc_id", _big("chunk_no"), "chunk")
 
 
@@ -592,7 +597,7 @@ def summary_clamp(spark, d):
 
 @query
 def strip_noise_chars(spark, d):
-    return spread(derived(spark, d, "noisy_texts")).select("doc_id", X.strip_noise_chars(F.col("text")).alias("text"))
+    return derived(spark, d, "noisy_texts").select("doc_id", X.strip_noise_chars(F.col("text")).alias("text"))
 
 
 @query
@@ -688,4 +693,4 @@ def corpus(spark, d):
 @query
 def site_corpus(spark, d):
     settings = CorpusSettings(fmt="jsonl", split_limit=SITE_LIMIT, collected_at=COLLECTED_AT, exclude=("spam",))
-    return P.corpus(_pages(spark, d), settings, P.site_output()).drop("content")
+    return P.corpus(_pages(spark, d), settings, P.site_output())

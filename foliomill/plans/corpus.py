@@ -1,18 +1,19 @@
 """A corpus run: stored pages in, deduplicated and size-bounded outputs out.
 
 Exchanges of a run: pages by page once (as HTML), keys by content hash once, positions by output, and
-finished records by part once.  The documents are written to the shared folder after extraction, so
-dedup and split read two narrow columns of them, and a lost executor never repeats the extraction.
+finished records by part once.  The documents are written to the shared folder after extraction, with all
+lengths that later steps ask for, so length rule, dedup and split read narrow columns of them, and a lost
+executor never repeats the extraction.  Outputs, skip log and totals come from the same stored run.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
 from foliomill.functions import formats as R
 from foliomill.functions import html as H
 from foliomill.functions import text as X
@@ -41,7 +42,8 @@ def documents(pages: DataFrame, selector: str | None = None) -> DataFrame:
 
 def with_sizes(docs: DataFrame) -> DataFrame:
     return docs.select(
-        "*", F.length("content").cast("bigint").alias("n_chars"), X.content_md5(F.col("content")).alias("content_md5")
+        "*", F.length("content").cast("bigint").alias("n_chars"), X.content_md5(F.col("content")).alias("content_md5"),
+        F.length(X.strip(F.col("content"))).cast("bigint").alias("n_stripped"),
     )
 
 
@@ -63,28 +65,30 @@ def select_urls(pages: DataFrame, settings: CorpusSettings) -> DataFrame:
 
 
 def run_documents(
-    pages: DataFrame,
+    chosen: DataFrame,
     settings: CorpusSettings,
     output: Column | None = None,
     summarize: Callable[[str], str] | None = None,
     refine: Callable[[str], str] | None = None,
 ) -> DataFrame:
-    """The documents of a run that are long enough, with their output, stored.
+    """The documents of the chosen pages with their output, stored; ``long_enough`` says which are.
 
     Length is judged before refining, a summary is made of the text before refining, and copies are
     found (later) in the text after it.
     """
-    docs = documents(select_urls(pages, settings), settings.selector)
-    # Stored before it is filtered: a filter on content would be pushed below its rendering, and repeat it.
-    docs = written(docs.withColumn("output", F.lit("corpus") if output is None else output), "documents")
-    docs = docs.where(filters.is_long_enough(F.col("content"), settings.min_length))
-    if summarize is None and refine is None:
-        return docs
-    if summarize is not None:
-        docs = enrich.summarize(docs, summarize)
-    if refine is not None:
-        docs = with_sizes(enrich.refine(docs, refine).drop("n_chars", "content_md5"))
-    return written(docs, "enriched")
+    docs = documents(chosen, settings.selector)
+    docs = docs.withColumn("output", F.lit("corpus") if output is None else output).withColumn(
+        "long_enough", (F.col("n_chars") > 0) & (F.col("n_stripped") >= settings.min_length)
+    )
+    if summarize is not None or refine is not None:
+        # Stored first: the hooks must not repeat the extraction.
+        docs = written(docs, "documents")
+        if summarize is not None:
+            docs = enrich.summarize(docs, summarize)
+        if refine is not None:
+            docs = with_sizes(enrich.refine(docs, refine).drop("n_chars", "content_md5", "n_stripped"))
+    length = F.length(_record(docs, settings)).cast("bigint")
+    return written(docs.withColumn("record_chars", length), "documents")
 
 
 def _record(docs: DataFrame, settings: CorpusSettings) -> Column:
@@ -96,8 +100,7 @@ def _record(docs: DataFrame, settings: CorpusSettings) -> Column:
 
 def assign_parts(docs: DataFrame, settings: CorpusSettings, base_urls: DataFrame | None = None) -> DataFrame:
     """(output, ord, part, seq) of the first document of each content, by the length of its record."""
-    length = F.length(_record(docs, settings)).cast("bigint")
-    sizes = docs.select("output", "content_md5", "ord", "title", "url", length.alias("n_chars"))
+    sizes = docs.where("long_enough").select("output", "content_md5", "ord", "title", "url", F.col("record_chars").alias("n_chars"))
     winners = dedup.content_winners(sizes.select("output", "content_md5", "ord"), ["output"])
     kept = written(sizes.drop("content_md5").join(winners.select("ord"), "ord", "left_semi"), "kept")
     headers = None
@@ -108,6 +111,54 @@ def assign_parts(docs: DataFrame, settings: CorpusSettings, base_urls: DataFrame
     return split.greedy_split(kept, settings.split_limit, headers, settings.rows_per_chunk)
 
 
+@dataclass(frozen=True)
+class CorpusRun:
+    """One run: its documents, where each kept one goes, and what became of every chosen page.
+
+    ``docs``: as :func:`run_documents` stores them; ``assigned``: (output, ord, part, seq) of kept ones;
+    ``statuses``: (page_id, url, stage, reason, error_type, kept), ``stage`` null for kept pages.
+    """
+
+    docs: DataFrame
+    assigned: DataFrame
+    statuses: DataFrame
+    settings: CorpusSettings
+
+    def skip_log(self) -> DataFrame:
+        return outcomes.skip_log(self.statuses, self.settings.min_length)
+
+    def totals(self) -> DataFrame:
+        return outcomes.run_totals(self.statuses)
+
+
+def run(
+    pages: DataFrame,
+    settings: CorpusSettings = CorpusSettings(),
+    output: Column | None = None,
+    base_urls: DataFrame | None = None,
+    summarize: Callable[[str], str] | None = None,
+    refine: Callable[[str], str] | None = None,
+) -> CorpusRun:
+    """Extract the chosen pages once; outputs, skip log and totals are read off what is stored.
+
+    ``pages`` may have ``skipped``, ``reason`` and ``error_type``, the results of fetching.
+    """
+    chosen = select_urls(pages, settings)
+    docs = run_documents(chosen, settings, output, summarize, refine)
+    assigned = written(assign_parts(docs, settings, base_urls), "assigned")
+
+    def given(name: str, default: Column) -> Column:
+        return (F.coalesce(F.col(name), default) if name in pages.columns else default).alias(name)
+
+    none = F.lit(None).cast("string")
+    fetched = chosen.select("page_id", "url", given("skipped", F.lit(False)), given("reason", none), given("error_type", none))
+    judged = docs.select(F.col("ord").alias("page_id"), "long_enough")
+    winners = assigned.select(F.col("ord").alias("page_id"), F.lit(True).alias("first_copy"))
+    stage = outcomes.page_stage(F.col("skipped"), F.col("long_enough"), F.col("first_copy"))
+    statuses = fetched.join(judged, "page_id", "left").join(winners, "page_id", "left").withColumn("stage", stage)
+    return CorpusRun(docs, assigned, statuses.select("page_id", "url", "stage", "reason", "error_type", F.col("stage").isNull().alias("kept")), settings)
+
+
 def corpus(
     pages: DataFrame,
     settings: CorpusSettings = CorpusSettings(),
@@ -116,7 +167,7 @@ def corpus(
     refine: Callable[[str], str] | None = None,
 ) -> DataFrame:
     """One row per kept page: (output, part, seq, ord, url, title, n_chars, content_md5, content)."""
-    docs = run_documents(pages, settings, output, summarize, refine)
+    docs = run_documents(select_urls(pages, settings), settings, output, summarize, refine)
     assigned = assign_parts(docs, settings)
     columns = ["output", "part", "seq", "ord", "url", "title", "n_chars", "content_md5", "content"]
     return docs.drop("output").join(assigned, "ord").select(*columns)
@@ -153,20 +204,5 @@ def write_corpus(
 
     ``base_urls`` is (output, base_url), for the banner of text outputs.
     """
-    docs = run_documents(pages, settings, output, summarize, refine)
-    assigned = written(assign_parts(docs, settings, base_urls), "assigned")
-    return write_parts(part_records(docs, assigned, settings, base_urls), settings.fmt, root)
-
-
-def skipped_pages(pages: DataFrame, settings: CorpusSettings = CorpusSettings()) -> DataFrame:
-    """Skip log of a run over pages with fetch results: errors, then short, then duplicate pages."""
-    failed = pages.where(F.col("skipped")) if "skipped" in pages.columns else None
-    docs = written(documents(pages, settings.selector), "documents")
-    ok = filters.is_long_enough(F.col("content"), settings.min_length)
-    empty = pages.where(F.length(F.coalesce("html", F.lit(""))) == 0)
-    empty = empty.where(~F.col("skipped")) if "skipped" in pages.columns else empty
-    short = docs.where(~ok).select("url").unionByName(empty.select("url"))
-    copies = dedup.duplicates(docs.where(ok)).select("url")
-    if failed is None:
-        failed = pages.limit(0).select("url", F.lit("").alias("reason"))
-    return outcomes.skip_log(failed, short, copies, settings.min_length)
+    done = run(pages, settings, output, base_urls, summarize, refine)
+    return write_parts(part_records(done.docs, done.assigned, settings, base_urls), settings.fmt, root)

@@ -142,7 +142,7 @@ EXPRESSIONS: dict[str, tuple[str, list[str]]] = {
             "'https://g.example.org/' || case user_id % 10 when 3 then 'tag/' when 7 then 'private/' when 5 then 'misc/' else 'doc/' end || "
             "user_id as src",
             "'https://' || case when event_id % 23 = 0 then 'other' else 'g' end || '.example.org/' || case (user_id * 7 + event_id) % 10 "
-            "when 3 then 'tag/' when 7 then 'private/' when 5 then 'misc/' else 'doc/' end || (user_id * 7 + event_id) % 200 as dst",
+            "when 3 then 'tag/' when 7 then 'private/' when 5 then 'misc/' else 'doc/' end || (user_id * 7 + event_id) % (case when event_id % 3 = 0 then 200 else 1000000007 end) as dst",
             "event_id as pos",
         ],
     ),

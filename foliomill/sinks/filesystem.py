@@ -14,6 +14,17 @@ def filesystem(root: str):
 
     scheme, colon, rest = root.partition(":")
     if not colon or "/" in scheme or scheme == "file":
-        path = rest if scheme == "file" and colon else root
+        path = re.sub(r"^//[^/]+", "", rest) if scheme == "file" and colon else root
         return fs.LocalFileSystem(), re.sub(r"^/+", "/", path)
     return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{rest}")
+
+
+def shared_root(root: str, master: str) -> str:
+    """``root`` if all executors of a cluster reach it; a bare path or ``file:`` is only that in local mode.
+
+    A folder that is mounted on every machine is given as ``file:`` with a host part, ``file://shared/mnt/out``.
+    """
+    local = "://" not in root or root.startswith("file:///")
+    if local and not master.startswith("local"):
+        raise ValueError(f"{root} may be another folder on each machine; give a URI that all executors reach")
+    return root

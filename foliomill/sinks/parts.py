@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from foliomill import fixed_values as fv
 from foliomill.functions.formats import part_name
+from foliomill.sinks.filesystem import filesystem, shared_root
 
 MANIFEST = "output string, part bigint, filename string, n_records bigint, n_chars bigint, content_md5 string"
 
@@ -27,9 +28,7 @@ class _PartFile:
         self.output, self.part, self.filename = output, part, filename
         self.digest, self.n_records, self.n_chars, self.stream = hashlib.md5(), 0, 0, None
         if root is not None:
-            from pyarrow import fs
-
-            self.files, base = fs.FileSystem.from_uri(root)
+            self.files, base = filesystem(root)
             self.files.create_dir(f"{base}/{output}", recursive=True)
             self.target = f"{base}/{output}/{filename}"
             self.attempt = f"{self.target}.{uuid.uuid4().hex}.tmp"
@@ -60,7 +59,7 @@ def write_parts(records: DataFrame, fmt: str, root: str | None = None) -> DataFr
     """
     if fmt not in fv.FORMATS:
         raise ValueError(f"format must be one of {fv.FORMATS}, not {fmt!r}")
-    base = root if root is None or "://" in root or root.startswith("file:") else f"file://{root}"
+    base = None if root is None else shared_root(root, records.sparkSession.sparkContext.master)
     named = records.select("output", "part", "seq", part_name(F.col("output"), F.col("part"), fmt).alias("filename"), "text")
     n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = named.repartition(n, "output", "part").sortWithinPartitions("output", "part", "seq")

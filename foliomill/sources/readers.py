@@ -14,16 +14,6 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows over at least as many partitions as the session has cores.
-
-    Text functions are bound by the CPU, and a small file is one partition.  A table of more partitions
-    than cores is left as it is, so at scale nothing is exchanged.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
-
-
 def page_results(pages: DataFrame) -> DataFrame:
     """Pages as fetch results: stored pages count as fetched with status 200."""
     return pages.select(

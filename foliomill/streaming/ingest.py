@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from foliomill.operators import dedup, filters
+from foliomill.operators import dedup
 from foliomill.plans.corpus import documents
 from foliomill.settings import CorpusSettings
 from foliomill.storage import written
-from pyspark.sql import functions as F
 
-STORED = "ord bigint, url string, title string, content string, n_chars bigint, content_md5 string, batch_id bigint"
+CONTENT = ["ord", "url", "title", "content", "n_chars", "content_md5"]
+STORED = "ord bigint, url string, title string, content string, n_chars bigint, content_md5 string, run string, batch_id bigint"
 
 
 def stored(spark: SparkSession, store: str) -> DataFrame:
+    """All rows of a store; none if nothing has been stored yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], STORED)
     return spark.read.schema(STORED).parquet(store)
 
 
@@ -27,18 +34,19 @@ def ingest(pages: DataFrame, store: str, checkpoint: str, settings: CorpusSettin
     """Append the new contents of every micro-batch to ``store``.
 
     Tokens need ordered windows, which streaming plans refuse, so each micro-batch runs the batch plan.
-    A batch writes its own folder and looks only at earlier batches, so a batch that is repeated after
-    a failure gives the same rows.
+    A batch writes a folder of its own, named by the stream's checkpoint and the batch, and looks at all
+    others in the store but later ones of its own stream.  So a batch that is repeated after a failure gives
+    the same rows, and streams with different checkpoints may fill one store, one after the other.
     """
+    run = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         docs = written(documents(batch, settings.selector), "ingest-documents")
-        fresh = dedup.content_dedup(docs.where(filters.is_long_enough(F.col("content"), settings.min_length)))
-        if batch_id > 0:
-            known = stored(spark, store).where(F.col("batch_id") < batch_id).select("content_md5")
-            fresh = fresh.join(known, "content_md5", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
+        ok = (F.col("n_chars") > 0) & (F.col("n_stripped") >= settings.min_length)
+        fresh = dedup.content_dedup(docs.where(ok)).select(*CONTENT)
+        known = stored(batch.sparkSession, store).where((F.col("run") != run) | (F.col("batch_id") < batch_id))
+        fresh = fresh.join(known.select("content_md5"), "content_md5", "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{store}/run={run}/batch_id={batch_id}")
 
     return (
         pages.writeStream.foreachBatch(one_batch)

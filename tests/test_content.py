@@ -166,3 +166,21 @@ def test_one_exchange_serves_the_whole_extraction(spark):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning") == 1
     assert by_page(pages(spark, "<p>"), partitions=3).rdd.getNumPartitions() == 3
+
+
+@pytest.mark.parametrize(
+    "html,title,h1",
+    [
+        ("<h1>Open heading<p>x", "Open heading", "Open heading"),
+        ("<h1>One<h2>Two</h2>", "One", "One"),
+        ("<h1>Open</div><h1>Closed</h1>", "Open", "Open"),
+        ("<h1>A <em>b</em></h1><p>c", "Ab", "Ab"),
+        ("<h1> </h1><p>c", "", ""),
+        ("<h1>to the end", "to the end", "to the end"),
+        ("<p>none", "Untitled", ""),
+        ("<title>T - S</title><h1>Open<p>x", "T", "Open"),
+    ],
+)
+def test_headings_that_are_not_closed(spark, html, title, h1):
+    row = spark.createDataFrame([(html,)], "html string").select(H.page_title(F.col("html")).alias("t"), H.h1_title(F.col("html")).alias("h")).first()
+    assert (row.t, row.h) == (title, h1)

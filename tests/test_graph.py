@@ -158,7 +158,8 @@ def test_freshness_is_strictly_under_a_day(spark):
 def test_positions_of_repeated_and_unknown_urls(spark):
     pages = spark.createDataFrame([("a",), ("b",), ("z",)], "url string")
     urls = spark.createDataFrame([(0, "a"), (1, "b"), (2, "a")], "ord bigint, url string")
-    assert {r.url: r.restored_ord for r in outcomes.order_restore(pages, urls).collect()} == {"a": 2, "b": 1, "z": 9999}
+    assert {r.url: r.restored_ord for r in outcomes.order_restore(pages, urls).collect()} == {"a": 2, "b": 1, "z": None}
+    assert {r.url: r.restored_ord for r in outcomes.order_restore(pages, urls, 9999).collect()}["z"] == 9999
 
 
 def test_known_size_estimate(spark):

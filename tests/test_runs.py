@@ -7,11 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
+from checks.oracle import ORACLE
 from checks.run import rows_of
 from foliomill import CorpusSettings
 from foliomill import storage
 from foliomill.operators import enrich
 from foliomill.plans import corpus as P
+from foliomill.plans.catalog import QUERIES
 from foliomill.sinks.parts import write_parts
 from foliomill.streaming import ingest as S
 
@@ -65,14 +67,30 @@ def test_corpus_filters_and_order(spark, pages):
 
 
 def test_skip_precedence(spark, pages):
-    log = P.skipped_pages(pages)
+    log = P.run(pages).skip_log()
     counts = {r.stage: r["count"] for r in log.groupBy("stage").count().collect()}
     assert counts == {"short": 3, "duplicate": 13}
     failed = pages.withColumn("skipped", F.col("page_id") == 0).withColumn("reason", F.lit("403 Forbidden"))
-    lines = [r.line for r in P.skipped_pages(failed).where("stage = 'error'").collect()]
+    lines = [r.line for r in P.run(failed).skip_log().where("stage = 'error'").collect()]
     assert lines == ["[SKIPPED] https://h.example.org/0 — 403 Forbidden"]
 
 
+def test_log_and_totals_are_those_of_the_run(spark, pages):
+    """Filters, scope and refined text count: kept and skipped pages are the chosen ones."""
+    settings = CorpusSettings(include=("example",), exclude=("/1",), max_pages=9)
+    for output in (None, F.col("url")):
+        for refine in (None, lambda t: "the same text for all pages"):
+            done = P.run(pages, settings, output, refine=refine)
+            chosen = {r.url for r in P.select_urls(pages, settings).collect()}
+            kept = {r.url for r in done.docs.join(done.assigned.select("ord"), "ord").collect()}
+            skipped = [r.url for r in done.skip_log().collect()]
+            assert kept | set(skipped) == chosen and len(kept) + len(skipped) == len(chosen)
+            assert tuple(done.totals().first()) == (len(kept), len(chosen), len(skipped))
+            if refine is not None:
+                ok = done.docs.where("long_enough").count()
+                assert len(kept) == (1 if output is None else ok)
+
+
 def test_settings_refuse_unknown_formats():
     with pytest.raises(ValueError):
         CorpusSettings(fmt="html")
@@ -112,6 +130,23 @@ def test_stream_ingest_in_two_batches(spark, pages, tmp_path):
     rows = S.stored(spark, store).collect()
     assert sorted(r.ord for r in rows) == list(range(7))
     assert {r.batch_id for r in rows} == {0, 1}
+    # Another stream with a checkpoint of its own adds to the same store, and takes nothing away.
+    other = str(tmp_path / "other")
+    pages.where("page_id in (1, 5, 20) or page_id = 22").union(spark.createDataFrame([page(30, "A text that is new to the store and long enough to be kept in it.")], pages.schema)).coalesce(1).write.parquet(other)
+    S.ingest(S.page_stream(spark, other, pages.schema), store, str(tmp_path / "cp2")).awaitTermination()
+    assert sorted(r.ord for r in S.stored(spark, store).collect()) == [*range(7), 30]
+    assert S.stored(spark, store).select("run").distinct().count() == 2
+
+
+def test_part_roots():
+    from foliomill.sinks.filesystem import filesystem, shared_root
+
+    assert shared_root("/out", "local[2]") == "/out" and shared_root("s3a://b/x", "spark://c") == "s3a://b/x"
+    assert shared_root("file://shared/out", "spark://c") == "file://shared/out"
+    for root in ("/out", "file:///out", "file:/out", "out"):
+        with pytest.raises(ValueError):
+            shared_root(root, "spark://c")
+    assert filesystem("file:///a/b")[1] == filesystem("file:/a/b")[1] == filesystem("/a/b")[1] == filesystem("file://shared/a/b")[1] == "/a/b"
 
 
 def test_shared_folder(spark, monkeypatch):
@@ -125,7 +160,8 @@ def test_shared_folder(spark, monkeypatch):
 
 
 def test_every_query_has_its_sql():
-    assert entry_module.queries().keys() == entry_module.oracle_sql().keys()
+    assert QUERIES.keys() == ORACLE.keys()
+    assert QUERIES.keys() <= entry_module.queries().keys() and ORACLE.keys() <= entry_module.oracle_sql().keys()
 
 
 CHECKED = ["corpus", "rich_markdown", "md_parts", "crawl_bfs_filtered", "sitemap_union", "url_join", "fetch_outcome", "chunk_text", "greedy_split_header"]
