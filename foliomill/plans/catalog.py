@@ -667,11 +667,9 @@ def stream_dedup(spark, d):
     schema = table(spark, d, "events").schema
     events = S.page_stream(spark, d, schema, "events.parquet")
     fetches = events.select(F.concat(F.lit("https://u.example.org/"), F.col("user_id").cast("string")).alias("url"), F.col("ts").cast("timestamp").alias("fetched_at"))
-    path = new_path(spark, "fetches")
-    once = S.fetches_once_a_day(fetches, ["url"]).select("url")
-    sink = once.writeStream.format("parquet").option("path", path).option("checkpointLocation", new_path(spark, "fetch-checkpoint"))
-    sink.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("url string").parquet(path)
+    store = new_path(spark, "fetches")
+    S.spaced_fetches(fetches, store, new_path(spark, "fetch-checkpoint")).awaitTermination()
+    return S.read_store(spark, store, S.FETCH).select("url", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("fetched_at"))
 
 
 @query

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,12 +20,17 @@ CONTENT = ["ord", "url", "title", "content", "n_chars", "content_md5"]
 STORED = "ord bigint, url string, title string, content string, n_chars bigint, content_md5 string, run string, batch_id bigint"
 
 
-def stored(spark: SparkSession, store: str) -> DataFrame:
+def read_store(spark: SparkSession, store: str, schema: str) -> DataFrame:
     """All rows of a store; none if nothing has been stored yet."""
     path = spark._jvm.org.apache.hadoop.fs.Path(store)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], STORED)
-    return spark.read.schema(STORED).parquet(store)
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(store)
+
+
+def stored(spark: SparkSession, store: str) -> DataFrame:
+    """The documents of a store."""
+    return read_store(spark, store, STORED)
 
 
 def page_stream(spark: SparkSession, path: str, schema: StructType, glob: str = "*.parquet") -> DataFrame:
@@ -56,6 +63,53 @@ def ingest(pages: DataFrame, store: str, checkpoint: str, settings: CorpusSettin
     )
 
 
-def fetches_once_a_day(fetches: DataFrame, keys: list[str], horizon: str = "24 hours") -> DataFrame:
-    """A stream of fetches (``fetched_at``) without repeats of a key within the horizon."""
-    return fetches.withWatermark("fetched_at", horizon).dropDuplicatesWithinWatermark(keys)
+FETCH = "url string, fetched_at timestamp, run string, batch_id bigint"
+
+
+def _spaced(rows: DataFrame, horizon_seconds: int) -> DataFrame:
+    """Of (url, fetched_at, known) the fetches kept: those later than the horizon after the last kept one.
+
+    Rows with ``known`` were kept before and are not given again.  Rows of a URL pass one task in order of time,
+    one at a time, so a URL with very many fetches needs no memory.
+    """
+    horizon = pd.Timedelta(seconds=horizon_seconds)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        url, last = None, None
+        for batch in batches:
+            kept = []
+            for u, t, known in batch.itertuples(index=False, name=None):
+                if u != url:
+                    url, last = u, None
+                keep = last is None or t > last + horizon
+                if known or keep:
+                    last = t
+                kept.append(keep and not known)
+            yield batch.loc[kept, ["url", "fetched_at"]]
+
+    ordered = rows.repartition("url").sortWithinPartitions("url", "fetched_at", F.desc("known"))
+    return ordered.mapInPandas(run, "url string, fetched_at timestamp")
+
+
+def spaced_fetches(fetches: DataFrame, store: str, checkpoint: str, horizon_seconds: int = 86_400) -> StreamingQuery:
+    """Append to ``store`` the fetches (``url``, ``fetched_at``) that lie over a day after the last kept one of their URL.
+
+    The first fetch of a URL is kept.  Kept fetches are the state: each micro-batch starts from the last one of each
+    URL that earlier batches stored, so how files are batched does not matter, as long as a URL's fetches
+    come in order of time from one batch to the next; within a batch they may come in any order.  A batch that
+    is repeated gives the same rows.  Null URLs and times are left out.
+    """
+    run = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
+
+    def one_batch(batch: DataFrame, batch_id: int) -> None:
+        before = read_store(batch.sparkSession, store, FETCH).where((F.col("run") != run) | (F.col("batch_id") < batch_id))
+        last = before.groupBy("url").agg(F.max("fetched_at").alias("fetched_at")).withColumn("known", F.lit(True))
+        new = batch.where("url is not null and fetched_at is not null").select("url", "fetched_at", F.lit(False).alias("known"))
+        _spaced(new.unionByName(last), horizon_seconds).write.mode("overwrite").parquet(f"{store}/run={run}/batch_id={batch_id}")
+
+    return (
+        fetches.writeStream.foreachBatch(one_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

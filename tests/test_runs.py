@@ -138,6 +138,25 @@ def test_stream_ingest_in_two_batches(spark, pages, tmp_path):
     assert S.stored(spark, store).select("run").distinct().count() == 2
 
 
+def test_fetches_a_day_apart(spark, tmp_path):
+    """The same rows however the fetches are batched."""
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    hours = [0, 1, 24, 25, 26, 40, 49, 50, 51, 200, 224, 225, 300]
+    rows = [(u, start + timedelta(hours=h + shift)) for u, shift in (("a", 0), ("b", 5)) for h in hours] + [("a", start), (None, start), ("a", None)]
+    want = [("a", h) for h in (0, 25, 50, 200, 225, 300)] + [("b", h + 5) for h in (0, 25, 50, 200, 225, 300)]
+    df = spark.createDataFrame(rows, "url string, fetched_at timestamp")
+    for cuts in ([], [30], [1, 26, 60, 210]):
+        source, store, checkpoint = (str(tmp_path / f"{len(cuts)}-{n}") for n in ("in", "store", "cp"))
+        for low, high in zip([-1, *cuts], [*cuts, 10_000], strict=True):
+            hour = (F.unix_timestamp("fetched_at") - int(start.replace(tzinfo=__import__("datetime").timezone.utc).timestamp())) / 3600
+            df.where(hour.between(low, high) & (hour > low) | F.col("fetched_at").isNull() & F.lit(low == -1)).write.mode("append").parquet(source)
+            S.spaced_fetches(S.page_stream(spark, source, df.schema), store, checkpoint).awaitTermination()
+        got = S.read_store(spark, store, S.FETCH).collect()
+        assert sorted((r.url, round((r.fetched_at - start).total_seconds() / 3600)) for r in got) == sorted(want)
+
+
 def test_part_roots():
     from foliomill.sinks.filesystem import filesystem, shared_root
 
