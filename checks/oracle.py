@@ -241,8 +241,12 @@ NOISE_CLASS = "(" + " or ".join(
 ) + ")"
 
 
-def kept_cte(source: str, tags: bool, classes: bool, name: str = "kept") -> str:
-    conditions = ([NOISE_TAG] if tags else []) + ([NOISE_CLASS] if classes else [])
+_WORDS = "'(^|[^a-z0-9])(" + "|".join(fv.NOISE_WORDS) + ")($|[^a-z0-9])'"
+NOISE_WORD = f"(regexp_matches(lower({class_list('token')}), {_WORDS}) or regexp_matches(lower({attribute('token', 'id')}), {_WORDS}))"
+
+
+def kept_cte(source: str, tags: bool, classes: bool, name: str = "kept", noise: str = NOISE_CLASS) -> str:
+    conditions = ([NOISE_TAG] if tags else []) + ([noise] if classes else [])
     raw = f" and not ({NOISE_TAG} and kind = 'raw')" if tags else ""
     return f"""
     {name}_flag as (select *, kind = 'open' and ({' or '.join(conditions)}) as noisy from {source}),
@@ -340,26 +344,43 @@ def finish(x: str) -> str:
     return f"translate({x}, '{KS}{KN}{KT}', ' ' || chr(10) || chr(9))"
 
 
-def content_cte(pages: str) -> str:
-    return f"""{clean_cte(pages)}, {CONTEXT},
+LISTS = f"""
+    list_a as (
+      select *, sum(case when kind = 'open' and tag = 'li' and not in_table and not in_pre then 1 else 0 end) over (partition by page_id, depth order by pos) as items
+      from context_c
+    ),
+    list_b as (
+      select *, last_value(case when begins then tag end ignore nulls) over w as my_list, last_value(case when begins then items end ignore nulls) over w as list_items,
+        last_value(case when begins then coalesce(try_cast({attribute('token', 'start')} as int), 1) end ignore nulls) over w as list_start
+      from (select *, kind = 'open' and tag in ('ul', 'ol') and not in_table and not in_pre as begins from list_a)
+      window w as (partition by page_id, depth order by pos)
+    )"""
+_NUMBERED_ITEM = (
+    f"case when kind = 'open' and tag = 'li' and not in_table and not in_pre and my_list = 'ol' then '{LS}' || repeat('{KS}', 2 * greatest(depth - 1, 0)::int) "
+    f"|| (list_start + items - list_items - 1) || '. ' else {FRAGMENT} end"
+)
+
+
+def content_cte(pages: str, precise_min: int = 100) -> str:
+    return f"""{clean_cte(pages)}, {CONTEXT}, {LISTS},
     fragments as (
-      select page_id, pos, block, {FRAGMENT} as md, tag, kind, in_link,
+      select page_id, pos, block, {FRAGMENT} as md, {_NUMBERED_ITEM} as numbered, tag, kind, in_link,
         case when kind = 'text' then length(regexp_replace(token, '[ \\t\\r\\n\\f]+', '', 'g')) else 0 end as n
-      from context_c
+      from list_b
     ),
     block_rows as (
-      select page_id, block, string_agg(md, '' order by pos) as md,
+      select page_id, block, string_agg(md, '' order by pos) as md, string_agg(numbered, '' order by pos) as numbered,
         (sum(case when in_link then n else 0 end) * 3 <= sum(n) or bool_or(kind = 'open' and tag in {HEADINGS}))
           and not bool_or(kind = 'open' and tag = 'title') as precise
       from fragments group by page_id, block
     ),
     rendered as (
-      select page_id, {finish("coalesce(string_agg(md, '' order by block) filter (where precise), '')")} as precise, {finish("string_agg(md, '' order by block)")} as full_md
+      select page_id, {finish("coalesce(string_agg(md, '' order by block) filter (where precise), '')")} as precise, {finish("string_agg(numbered, '' order by block)")} as full_md
       from block_rows group by page_id
     ),
     content as (
       select page_id, tier, {clean_markdown("case tier when 1 then precise when 2 then full_md else '' end")} as content
-      from (select *, case when length({strip('precise')}) >= 100 then 1 when length({strip('full_md')}) >= 50 then 2 else 0 end::bigint as tier from rendered)
+      from (select *, case when length({strip('precise')}) >= {precise_min} then 1 when length({strip('full_md')}) >= 50 then 2 else 0 end::bigint as tier from rendered)
     )"""
 
 
@@ -695,9 +716,22 @@ ORACLE["selector_region"] = f"""with {tokens_cte(RICH)}, {spans_cte()},
     heads as (select page_id, pos, span_end from spans s where kind in ('open', 'void') and tag = 'h1'
       and exists (select 1 from articles b where b.page_id = s.page_id and b.pos < s.pos and b.span_end >= s.pos))
 select page_id, min(pos) as first_pos, min_by(span_end, pos) as last_pos from (select page_id from {RICH}) left join heads using (page_id) group by page_id"""
-for _name, _tags, _classes in (("noise_tags", True, False), ("noise_class", False, True)):
-    ORACLE[_name] = f"""with {tokens_cte(RICH)}, {spans_cte()}, {kept_cte('spans', _tags, _classes)}
-    select page_id, count(*) as n_runs, sum(pos)::bigint as pos_sum from kept where kind = 'text' group by page_id"""
+_SELECTED = [("blockquote", "true", "p"), ("div", has_class("content"), "h1"), ("section", "true", "ul")]
+_MATCHES = " union all ".join(
+    f"""select s.page_id, s.pos, s.span_end from spans s where kind in ('open', 'void') and tag = {q(inner)} and exists (
+      select 1 from outers o where o.page_id = s.page_id and o.kind = {i} and o.pos < s.pos and o.span_end >= s.pos)"""
+    for i, (_, _, inner) in enumerate(_SELECTED)
+)
+_OUTERS = " union all ".join(
+    f"select page_id, pos, span_end, {i} as kind from spans where kind = 'open' and tag = {q(outer)} and {test}" for i, (outer, test, _) in enumerate(_SELECTED)
+)
+ORACLE["selector_list"] = f"""with {tokens_cte(RICH)}, {spans_cte()}, outers as ({_OUTERS}), matches as ({_MATCHES})
+select page_id, min(pos) as first_pos, min_by(span_end, pos) as last_pos from (select page_id from {RICH}) left join matches using (page_id) group by page_id"""
+for _name, _tags, _classes, _noise in (
+    ("noise_tags", True, False, NOISE_CLASS), ("noise_class", False, True, NOISE_CLASS), ("noise_class_word", False, True, NOISE_WORD),
+):
+    ORACLE[_name] = f"""with {tokens_cte(RICH)}, {spans_cte()}, {kept_cte('spans', _tags, _classes, noise=_noise)}
+    select page_id, pos, kind, tag, token from kept"""
 ORACLE["clean_pages"] = clean_text("pages")
 ORACLE["clean_rich_pages"] = clean_text(RICH)
 _NO_TITLE = "regexp_replace(html, '<title>[^<]*</title>', '', 'g')"
@@ -714,6 +748,7 @@ select page_id, tier, length(content)::bigint as n_chars, md5(content) as conten
     select *, case when length({strip('precise')}) >= 100 then 1 when length({strip('whole')}) >= 50 then 2 else 0 end::bigint as tier
     from (select doc_id as page_id, split_part(text, {NL}, 1) as precise, text as whole from documents)))"""
 ORACLE["page_markdown"] = f"with {content_cte('pages')} select page_id, tier, content from content"
+ORACLE["full_markdown"] = f"with {content_cte(RICH, 2**31 - 1)} select page_id, tier, content from content"
 ORACLE["rich_markdown"] = f"with {content_cte(RICH)} select page_id, tier, content from content"
 ORACLE["code_language"] = f"select doc_id, {language(class_list('token'))} as language from {D('classes')}"
 ORACLE["entities"] = f"select doc_id, {decode_map('text')} as text from {D('entity_texts')}"

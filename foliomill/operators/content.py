@@ -69,7 +69,7 @@ def with_region(spans: DataFrame, selector: str | None = None, key: str = "page_
 
     Without a selector: the first kind of main element that occurs, and of that kind the first.  With
     one: its first match, or else the whole page; the heuristic is not tried then.  A selector may be
-    a chain of ancestors, ``"div#x ul li.y"``.
+    a chain of ancestors, ``"div#x ul li.y"``, or several of them separated by commas; of all matches the first counts.
     """
     if selector is None:
         rank = F.lit(None).cast("int")
@@ -77,14 +77,16 @@ def with_region(spans: DataFrame, selector: str | None = None, key: str = "page_
             rank = F.when(compound_condition(sel), i + 1).otherwise(rank)
         ranked = spans.withColumn("rank", rank)
     else:
-        *ancestors, last = selector.split()
         before = f"(partition by {key} order by pos rows between unbounded preceding and 1 preceding)"
-        ranked = spans.withColumn("inside", F.lit(True))
-        for ancestor in ancestors:
-            ranked = ranked.withColumn("hit", F.col("inside") & compound_condition(ancestor)).withColumn(
-                "inside", F.expr(f"coalesce(max(case when hit then end end) over {before} >= pos, false)")
-            )
-        ranked = ranked.withColumn("rank", F.when(F.col("inside") & compound_condition(last), 1)).drop("inside", "hit")
+        ranked = spans.withColumn("rank", F.lit(None).cast("int"))
+        for chain in selector.split(","):
+            *ancestors, last = chain.split() or [""]
+            ranked = ranked.withColumn("inside", F.lit(True))
+            for ancestor in ancestors:
+                ranked = ranked.withColumn("hit", F.col("inside") & compound_condition(ancestor)).withColumn(
+                    "inside", F.expr(f"coalesce(max(case when hit then end end) over {before} >= pos, false)")
+                )
+            ranked = ranked.withColumn("rank", F.when(F.col("inside") & compound_condition(last), 1).otherwise(F.col("rank"))).drop("inside", "hit")
     region = f"min(case when rank is not null then struct(rank, pos, end) end) over {_whole_page(key)}"
     return ranked.selectExpr(*spans.columns, f"{region} as region")
 
@@ -92,13 +94,23 @@ def with_region(spans: DataFrame, selector: str | None = None, key: str = "page_
 IN_REGION = "region is null or pos between region.pos and region.end"
 
 NOISE_TAG = tag_in(fv.NOISE_TAGS)
-# A class or id that contains one of the noise words anywhere.
-NOISE_CLASS = f"lower(concat(classes, '\n', ident)) rlike {X.quoted('|'.join(fv.NOISE_WORDS))}"
+_NOISE_WORD = "(?:" + "|".join(fv.NOISE_WORDS) + ")"
+# A class or id that contains one of the noise words anywhere, or as a word of its own.
+NOISE_CLASS = {
+    "substring": f"lower(concat(classes, '\n', ident)) rlike {X.quoted(_NOISE_WORD)}",
+    "word": f"lower(concat(classes, '\n', ident)) rlike {X.quoted(r'(?<![a-z0-9])' + _NOISE_WORD + r'(?![a-z0-9])')}",
+}
 
 
-def without_noise(tokens: DataFrame, tags: bool = True, classes: bool = True, key: str = "page_id") -> DataFrame:
-    """Drop page furniture with everything inside it.  Expects ``end`` and, if cut, only the region."""
-    noise = " or ".join(test for test, wanted in ((NOISE_TAG, tags), (NOISE_CLASS, classes)) if wanted)
+def without_noise(tokens: DataFrame, tags: bool = True, classes: bool = True, key: str = "page_id", match: str = "substring") -> DataFrame:
+    """Drop page furniture with everything inside it.  Expects ``end`` and, if cut, only the region.
+
+    ``match``: whether a noise word may be part of a longer word (``shadow`` has ``ad``) or must be a ``word``
+    between characters other than letters and digits.
+    """
+    if match not in NOISE_CLASS:
+        raise ValueError(f"match must be one of {sorted(NOISE_CLASS)}")
+    noise = " or ".join(test for test, wanted in ((NOISE_TAG, tags), (NOISE_CLASS[match], classes)) if wanted)
     marked = tokens.withColumn("noise", F.expr(covered_by(noise or "false", key)))
     shown = f"not noise and kind not in ('comment', 'decl') and not (kind = 'raw' and {NOISE_TAG if tags else 'false'})"
     return marked.where(shown).drop("noise")
@@ -202,7 +214,11 @@ def shown_text() -> Column:
 
 
 def blocks(tokens: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, block, md, n_text, n_link, has_heading, has_title): one row per block of a page."""
+    """(key, block, md, n_text, n_link, has_heading, has_title, ...): one row per block of a page.
+
+    Lists and their items each begin a block, so ``item``, ``list_tag``, ``list_level`` and ``list_start`` are
+    those of the token that begins it.
+    """
     shown = with_context(tokens, key).withColumn("shown", shown_text()).selectExpr(
         key,
         "pos",
@@ -211,6 +227,10 @@ def blocks(tokens: DataFrame, key: str = "page_id") -> DataFrame:
         "case when kind = 'text' then bigint(length(translate(token, ' \\t\\r\\n\\f', ''))) else 0L end as n_text",
         "in_link",
         f"kind = 'open' and {HEADING} as heading",
+        "kind = 'open' and tag = 'li' and not in_table and not in_pre as item",
+        "case when kind = 'open' and tag in ('ul', 'ol') and not in_table and not in_pre then tag end as list_tag",
+        "case when kind = 'open' and tag in ('ul', 'ol', 'li') and not in_table and not in_pre then list_depth end as list_level",
+        "token",
         "kind = 'open' and tag = 'title' as title",
     )
     return shown.groupBy(key, "block").agg(
@@ -218,6 +238,10 @@ def blocks(tokens: DataFrame, key: str = "page_id") -> DataFrame:
         F.sum("n_text").alias("n_text"),
         F.sum(F.when(F.col("in_link"), F.col("n_text")).otherwise(0)).alias("n_link"),
         F.max("heading").alias("has_heading"),
+        F.max("item").alias("item"),
+        F.max("list_tag").alias("list_tag"),
+        F.max("list_level").alias("list_level"),
+        F.max(F.when(F.col("list_tag") == "ol", H.attribute(F.col("token"), "start"))).alias("list_start"),
         F.max("title").alias("has_title"),
     )
 
@@ -244,10 +268,24 @@ def finish_page(md: Column) -> Column:
 
 
 def render(block_rows: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, precise, full): fragments of the precise blocks and of all blocks, not yet finished."""
-    rows = block_rows.withColumn("precise_md", F.when(is_precise_block(), F.col("md")))
+    """(key, precise, full): fragments of the precise blocks and of all blocks, not yet finished.
+
+    The full text numbers the items of ordered lists; the precise one marks all items alike.
+    """
+    in_level = f"(partition by {key}, list_level order by block rows between unbounded preceding and current row)"
+    counted = block_rows.withColumn("items", F.expr(f"sum(int(item)) over {in_level}"))
+    begun = "case when list_tag is not null then struct(list_tag, items, try_cast(list_start as int) as start) end"
+    counted = counted.withColumn("of_list", F.expr(f"last_value({begun}, true) over {in_level}"))
+    number = F.coalesce(F.col("of_list.start"), F.lit(1)) + F.col("items") - F.col("of_list.items") - 1
+    # An item's block begins with a line start, two kept spaces for each level above, and the mark.
+    indent = 1 + 2 * F.greatest(F.col("list_level") - 1, F.lit(0))
+    numbered = F.concat(
+        F.substring("md", F.lit(1), indent.cast("int")), number.cast("string"), F.lit(". "), F.substring(F.col("md"), (indent + 3).cast("int"), F.length("md"))
+    )
+    full_md = F.when(F.col("item") & (F.col("of_list.list_tag") == "ol"), numbered).otherwise(F.col("md"))
+    rows = counted.withColumn("precise_md", F.when(is_precise_block(), F.col("md"))).withColumn("full_md", full_md)
     return rows.groupBy(key).agg(
-        X.ordered_concat("block", "precise_md").alias("precise"), X.ordered_concat("block", "md").alias("full")
+        X.ordered_concat("block", "precise_md").alias("precise"), X.ordered_concat("block", "full_md").alias("full")
     )
 
 
@@ -273,6 +311,9 @@ def extract_tiers(
     return tiers.withColumn("content", F.when(F.col("tier") > 0, X.clean_markdown(F.col("content"))).otherwise(""))
 
 
-def page_content(pages: DataFrame, selector: str | None = None, key: str = "page_id") -> DataFrame:
+def page_content(
+    pages: DataFrame, selector: str | None = None, key: str = "page_id", precise_min: int = fv.PRECISE_MIN_CHARS
+) -> DataFrame:
     """(key, tier, content) for every page that has tokens left after cleaning; see :func:`clean_tokens`."""
-    return extract_tiers(render(blocks(clean_tokens(pages, selector, key), key), key), finish_page).select(key, "tier", "content")
+    rendered = render(blocks(clean_tokens(pages, selector, key), key), key)
+    return extract_tiers(rendered, finish_page, precise_min).select(key, "tier", "content")

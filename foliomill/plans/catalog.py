@@ -454,16 +454,28 @@ def selector_region(spark, d):
     return _region_rows(_spans(derived(spark, d, "rich_pages")), "div.content article h1")
 
 
+def _shown_tokens(kept: DataFrame) -> DataFrame:
+    return kept.select("page_id", "pos", "kind", "tag", "token")
+
+
 @query
 def noise_tags(spark, d):
-    kept = C.without_noise(_spans(derived(spark, d, "rich_pages")), tags=True, classes=False)
-    return kept.where("kind = 'text'").groupBy("page_id").agg(F.count(F.lit(1)).alias("n_runs"), F.sum("pos").alias("pos_sum"))
+    return _shown_tokens(C.without_noise(_spans(derived(spark, d, "rich_pages")), tags=True, classes=False))
 
 
 @query
 def noise_class(spark, d):
-    kept = C.without_noise(_spans(derived(spark, d, "rich_pages")), tags=False, classes=True)
-    return kept.where("kind = 'text'").groupBy("page_id").agg(F.count(F.lit(1)).alias("n_runs"), F.sum("pos").alias("pos_sum"))
+    return _shown_tokens(C.without_noise(_spans(derived(spark, d, "rich_pages")), tags=False, classes=True))
+
+
+@query
+def noise_class_word(spark, d):
+    return _shown_tokens(C.without_noise(_spans(derived(spark, d, "rich_pages")), tags=False, classes=True, match="word"))
+
+
+@query
+def selector_list(spark, d):
+    return _region_rows(_spans(derived(spark, d, "rich_pages")), "blockquote p, div.content h1, section ul")
 
 
 @query
@@ -513,6 +525,12 @@ def rich_markdown(spark, d):
     return C.page_content(by_page(derived(spark, d, "rich_pages")))
 
 
+@query
+def full_markdown(spark, d):
+    # No text is long enough for the precise tier.
+    return C.page_content(by_page(derived(spark, d, "rich_pages")), precise_min=2**31 - 1)
+
+
 @query
 def code_language(spark, d):
     return derived(spark, d, "classes").select("doc_id", H.code_language(H.class_list(F.col("token"))).alias("language"))

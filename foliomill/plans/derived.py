@@ -78,6 +78,7 @@ EXPRESSIONS: dict[str, tuple[str, list[str]]] = {
             "case when doc_id % 17 = 0 then 'shadow-sm' else 'page' end || '\"><header><nav><a href=\"/\">home</a></nav></header>' || "
             + _OPEN + " || '<h1>' || source || ' <em>no ' || doc_id || '</em></h1><!-- <h1>not this</h1> --><ul><li>' || "
             "replace(text, chr(10), '</li><li>') || '<ul><li>nested <a href=\"/x?a=1&amp;b=2\">linked words</a></ul></li></ul>"
+            "<ol start=3><li>third<li>fourth <ul><li>inner</ul></li><li>fifth</li></ol><ol><li>one <ol><li>deep</ol><li>two</ol>"
             "<table><thead><tr><th>lang</th><th>size</th></tr></thead><tr><td>' || lang || '</td><td><p>' || n_chars || "
             "'</p></td></tr></table><pre class=\"hl language-' || lang || '\"><code>' || text || '</code></pre><p><strong>' || "
             "source || '</strong> and <i>more</i> with <code>x &lt; y</code>.<br/>Next line<p>Unclosed <b>bold<p>"

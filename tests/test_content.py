@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from foliomill.functions import html as H
 from foliomill.operators import content as C
-from foliomill.operators.tokens import by_page, tokenize
+from foliomill.operators.tokens import by_page, page_tokens, tokenize
 
 
 def pages(spark, *htmls):
@@ -184,3 +184,30 @@ def test_one_exchange_serves_the_whole_extraction(spark):
 def test_headings_that_are_not_closed(spark, html, title, h1):
     row = spark.createDataFrame([(html,)], "html string").select(H.page_title(F.col("html")).alias("t"), H.h1_title(F.col("html")).alias("h")).first()
     assert (row.t, row.h) == (title, h1)
+
+
+def test_full_tier_numbers_ordered_lists(spark):
+    html = "<main><p>words before</p><ol start=4><li>four<li>five<ul><li>dot</ul><li>six</ol><ol><li>one<ol><li>deep</ol><li>two</ol></main>"
+    got = C.page_content(by_page(pages(spark, html)), precise_min=10**6).first()
+    assert (got.tier, got.content.split("\n")) == (
+        2, ["words before", "", "4. four", "5. five", "  - dot", "6. six", "", "1. one", "  1. deep", "2. two"]
+    )
+    dashes = C.page_content(by_page(pages(spark, html)), precise_min=1).first()
+    assert dashes.tier == 1 and "- five" in dashes.content
+
+
+def test_noise_words_and_selector_lists(spark):
+    html = "<div class='shadow-sm'><p>kept by word</p></div><div class='x ad'><p>gone</p></div><section><b>s</b></section><p id=q>q</p>"
+    spans = page_tokens(by_page(pages(spark, html)))
+
+    def words(**options):
+        return [r.token for r in C.without_noise(spans, **options).where("kind = 'text'").orderBy("pos").collect()]
+
+    assert words() == ["s", "q"] and words(match="word") == ["kept by word", "s", "q"]
+    with pytest.raises(ValueError):
+        words(match="other")
+    region = C.with_region(spans, "section b, p#q").first().region
+    token = {r.pos: r.token for r in spans.collect()}
+    assert token[region.pos] == "<b>"
+    with pytest.raises(ValueError):
+        C.with_region(spans, "p, ,b")
