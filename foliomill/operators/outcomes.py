@@ -82,7 +82,7 @@ def skip_log(statuses: DataFrame, min_length: int = fv.MIN_LENGTH) -> DataFrame:
     """(url, stage, reason, line) of every page left out, from (url, stage, reason, error_type).
 
     ``error_type`` is the class of an error that is none of the known outcomes, which makes its line an
-    error line.
+    error line.  A page with a ``hook_error`` has a further line of stage ``hook``; it need not be left out.
     """
     rows = statuses.where("stage is not null").select(
         "url", "stage",
@@ -91,7 +91,12 @@ def skip_log(statuses: DataFrame, min_length: int = fv.MIN_LENGTH) -> DataFrame:
     )
     skipped = F.concat(F.lit("[SKIPPED] "), "url", F.lit(" — "), "reason")
     error = F.concat(F.lit("[ERROR] "), "url", F.lit(" — "), "error_type", F.lit(": "), "reason")
-    return rows.select("url", "stage", "reason", F.coalesce(error, skipped).alias("line"))
+    log = rows.select("url", "stage", "reason", F.coalesce(error, skipped).alias("line"))
+    if "hook_error" not in statuses.columns:
+        return log
+    line = F.concat(F.lit("[ERROR] "), "url", F.lit(" — "), "hook_error")
+    hooks = statuses.where("hook_error is not null")
+    return log.unionByName(hooks.select("url", F.lit("hook").alias("stage"), F.col("hook_error").alias("reason"), line.alias("line")))
 
 
 def skip_counts(log: DataFrame) -> DataFrame:

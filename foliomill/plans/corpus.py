@@ -116,7 +116,8 @@ class CorpusRun:
     """One run: its documents, where each kept one goes, and what became of every chosen page.
 
     ``docs``: as :func:`run_documents` stores them; ``assigned``: (output, ord, part, seq) of kept ones;
-    ``statuses``: (page_id, url, stage, reason, error_type, kept), ``stage`` null for kept pages.
+    ``statuses``: (page_id, url, stage, reason, error_type, kept), ``stage`` null for kept pages, and ``hook_error`` of a
+    run with hooks.
     """
 
     docs: DataFrame
@@ -152,11 +153,13 @@ def run(
 
     none = F.lit(None).cast("string")
     fetched = chosen.select("page_id", "url", given("skipped", F.lit(False)), given("reason", none), given("error_type", none))
-    judged = docs.select(F.col("ord").alias("page_id"), "long_enough")
+    hooks = ["hook_error"] if "hook_error" in docs.columns else []
+    judged = docs.select(F.col("ord").alias("page_id"), "long_enough", *hooks)
     winners = assigned.select(F.col("ord").alias("page_id"), F.lit(True).alias("first_copy"))
     stage = outcomes.page_stage(F.col("skipped"), F.col("long_enough"), F.col("first_copy"))
     statuses = fetched.join(judged, "page_id", "left").join(winners, "page_id", "left").withColumn("stage", stage)
-    return CorpusRun(docs, assigned, statuses.select("page_id", "url", "stage", "reason", "error_type", F.col("stage").isNull().alias("kept")), settings)
+    columns = ["page_id", "url", "stage", "reason", "error_type", F.col("stage").isNull().alias("kept"), *hooks]
+    return CorpusRun(docs, assigned, statuses.select(*columns), settings)
 
 
 def corpus(

@@ -91,6 +91,20 @@ def test_log_and_totals_are_those_of_the_run(spark, pages):
                 assert len(kept) == (1 if output is None else ok)
 
 
+def test_errors_of_hooks_are_in_the_log(spark, pages):
+    def fn(text):
+        if "Number 3" in text:
+            raise ValueError("no answer")
+        return text
+
+    done = P.run(pages, summarize=fn, refine=fn)
+    hooks = done.skip_log().where("stage = 'hook'").collect()
+    assert sorted(r.url[-2:] for r in hooks) == ["/3", "10", "17"]
+    assert {r.reason for r in hooks} == {"summarize: ValueError: no answer; refine: ValueError: no answer"}
+    assert hooks[0].line == f"[ERROR] {hooks[0].url} — {hooks[0].reason}"
+    assert done.totals().first().total == 23
+
+
 def test_settings_refuse_unknown_formats():
     with pytest.raises(ValueError):
         CorpusSettings(fmt="html")
@@ -103,8 +117,9 @@ def test_refine_falls_back_per_page(spark):
         return text.upper()
 
     docs = spark.createDataFrame([(0, "aa\n\nbb"), (1, "aa\n\nbad"), (2, " \n "), (3, "")], "id int, content string")
-    got = [r.content for r in enrich.refine(docs, fn, 4).orderBy("id").collect()]
-    assert got == ["AA\n\nBB", "aa\n\nbad", " \n ", ""]
+    got = enrich.refine(docs, fn, 4).orderBy("id").collect()
+    assert [r.content for r in got] == ["AA\n\nBB", "aa\n\nbad", " \n ", ""]
+    assert [r.hook_error for r in got] == [None, "refine: RuntimeError: ", None, None]
 
 
 def test_summaries(spark):
