@@ -1,7 +1,8 @@
 """Part files.
 
 Records are brought together by (output, part) and sorted; each task then streams its records into
-files, one at a time, so memory does not depend on the size of a part or of a table of contents.
+files, one Arrow batch at a time (a batch is bounded in rows and bytes by Spark's settings), so memory does not
+depend on the size of a part or of a table of contents.
 """
 
 from __future__ import annotations
@@ -34,11 +35,13 @@ class _PartFile:
             self.attempt = f"{self.target}.{uuid.uuid4().hex}.tmp"
             self.stream = self.files.open_output_stream(self.attempt)
 
-    def write(self, text: str, is_record: bool) -> None:
-        data = text.encode("utf-8")
+    def write(self, texts: pd.Series, is_record: pd.Series) -> None:
+        """Records of this part that follow each other, in one piece."""
+        joined = "".join(texts)
+        data = joined.encode("utf-8")
         self.digest.update(data)
-        self.n_chars += len(text)
-        self.n_records += int(is_record)
+        self.n_chars += len(joined)
+        self.n_records += int(is_record.sum())
         if self.stream is not None:
             self.stream.write(data)
 
@@ -68,12 +71,14 @@ def write_parts(records: DataFrame, fmt: str, root: str | None = None) -> DataFr
         current: _PartFile | None = None
         for batch in batches:
             done = []
-            for output, part, seq, filename, text in batch.itertuples(index=False, name=None):
+            places = batch[["output", "part"]].ne(batch[["output", "part"]].shift()).any(axis=1).cumsum()
+            for _, rows in batch.groupby(places, sort=False):
+                output, part, filename = rows["output"].iloc[0], rows["part"].iloc[0], rows["filename"].iloc[0]
                 if current is None or (current.output, current.part) != (output, part):
                     if current is not None:
                         done.append(current.close())
-                    current = _PartFile(base, output, part, filename)
-                current.write(text, seq > 0)
+                    current = _PartFile(base, output, int(part), filename)
+                current.write(rows["text"], rows["seq"] > 0)
             yield pd.DataFrame(done, columns=[c.split()[0] for c in MANIFEST.split(", ")])
         if current is not None:
             yield pd.DataFrame([current.close()], columns=[c.split()[0] for c in MANIFEST.split(", ")])
