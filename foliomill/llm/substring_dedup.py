@@ -7,8 +7,10 @@ id, or earlier in the same.  Only strings that can be equal meet:
    the same place.  Windows in a row with one anchor make a segment; every window is in exactly one segment.
 2. Segments that are equal are settled by their first one, within the task that finds them before anything
    is exchanged, then over all tasks.  Only the first of each goes on, and only where its anchor has others.
-3. The bytes of those are fetched from their documents, and anchor by anchor put together into texts of bounded size.
-   Their suffix arrays (:mod:`foliomill.llm.suffix_array`) bring equal windows of different segments side by side.
+3. The bytes of those are fetched from their documents.  Each segment is halved by where its anchor lies in the window;
+   the windows of a half have a longer string in common, and only halves that agree on it meet.  Where they differ
+   beside it, they are put together into texts of bounded size, whose suffix arrays (:mod:`foliomill.llm.suffix_array`) bring equal windows of
+   different segments side by side.
 4. What goes is brought back to the documents.
 
 An anchor with very many different segments is not put into one text: its segments are taken apart into windows, each a
@@ -20,6 +22,8 @@ task beyond :data:`TASK_SEGMENTS` rows a task, or :data:`GROUP_SEGMENTS` in one
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -64,15 +68,15 @@ def _gram_hashes(octets: np.ndarray) -> np.ndarray:
     return h
 
 
-def segments(text: bytes, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(anchor hash, first window, window after the last)`` of each segment of a text, in order."""
+def segments(text: bytes, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(anchor hash, first window, window after the last, place of the anchor)`` of each segment of a text, in order."""
     found = [_segments(text[at : at + _LONG_TEXT + window - 1], window, at) for at in range(0, max(len(text) - window + 1, 0), _LONG_TEXT)]
     if not found:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def _segments(text: bytes, window: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _segments(text: bytes, window: int, base: int) -> tuple[np.ndarray, ...]:
     hashes = _gram_hashes(np.frombuffer(text, np.uint8))
     mask = np.uint64((1 << _PLACE_BITS) - 1)
     least = (hashes & ~mask) | np.arange(len(hashes), dtype=np.uint64)
@@ -84,7 +88,21 @@ def _segments(text: bytes, window: int, base: int) -> tuple[np.ndarray, np.ndarr
         least = np.minimum(least[: -(grams - width)], least[grams - width :])
     places = (least & mask).astype(np.int64)
     firsts = np.concatenate(([0], np.flatnonzero(places[1:] != places[:-1]) + 1))
-    return hashes[places[firsts]], firsts + base, np.append(firsts[1:], len(places)) + base
+    anchors = places[firsts]
+    return hashes[anchors], firsts + base, np.append(firsts[1:], len(places)) + base, anchors + base
+
+
+def _halves(text: bytes, key: int, first: int, stop: int, anchor: int, window: int) -> Iterator[tuple[int, int, int]]:
+    """``(key, first, stop)`` of the windows of a segment whose anchor lies early, and of those where it lies late.
+
+    All windows of a half have a longer string around the anchor in common; its hash is the key.
+    """
+    places = window - GRAM + 1
+    for low, high in ((0, places // 2 - 1), (places // 2, places - 1)):
+        begin, end = max(first, anchor - high), min(stop, anchor - low + 1)
+        if begin < end:
+            core = xxhash.xxh3_64_intdigest(text[anchor - low : anchor - high + window], low)
+            yield core ^ (key & 0xFFFFFFFFFFFFFFFF), begin, end
 
 
 def _ordered(columns: list[np.ndarray]) -> list[np.ndarray]:
@@ -192,7 +210,7 @@ def _find(window: int, task_segments: int):
                 text = value.as_py()
                 if len(text) < window:
                     continue
-                key, first, stop = segments(text, window)
+                key, first, stop, _ = segments(text, window)
                 ends = (stop + window - 1).tolist()
                 digest = np.array([xxhash.xxh3_64_intdigest(text[f:e]) for f, e in zip(first.tolist(), ends, strict=True)], np.uint64)
                 texts[len(texts)] = text
@@ -266,22 +284,32 @@ def _array(window: int):
             numbers = [c.to_numpy(zero_copy_only=False) for c in (kind, key, digest, doc, first, stop)]
             is_window = numbers[0] == _WINDOW
             windows.append([c[is_window].astype(np.int64) for c in numbers[1:]])
-            segs += [(key[i].as_py(), doc[i].as_py(), first[i].as_py(), text[i].as_py()) for i in np.flatnonzero(~is_window)]
+            segs += [(key[i].as_py(), text[i].as_py(), doc[i].as_py(), first[i].as_py()) for i in np.flatnonzero(~is_window)]
         if windows:
             columns = _ordered([np.concatenate(c) for c in zip(*windows, strict=True)])
             later = _later(columns, _firsts(columns[0], columns[1]))
             yield from _ranges(*[c[later] for c in columns[2:]])
-        segs.sort(key=lambda s: s[:3])
+        segs.sort()
         group: list[tuple] = []
-        size = 0
-        for i, s in enumerate(segs):
-            if size > TEXT_BYTES and s[0] != segs[i - 1][0]:
-                yield from _compare([g[3] for g in group], [g[1] for g in group], [g[2] for g in group], window)
+        size, equal = 0, []
+        for _, of_key in groupby(segs, key=itemgetter(0)):
+            distinct = []
+            for s in of_key:
+                if distinct and distinct[-1][1] == s[1]:
+                    if distinct[-1][2:] != s[2:]:
+                        equal.append((s[2], s[3], s[3] + len(s[1]) - window + 1))
+                else:
+                    distinct.append(s)
+            if len(distinct) > 1:
+                group += distinct
+                size += sum(len(s[1]) for s in distinct)
+            if size > TEXT_BYTES:
+                yield from _compare(*[[g[i] for g in group] for i in (1, 2, 3)], window)
                 group, size = [], 0
-            group.append(s)
-            size += len(s[3])
         if group:
-            yield from _compare([g[3] for g in group], [g[1] for g in group], [g[2] for g in group], window)
+            yield from _compare(*[[g[i] for g in group] for i in (1, 2, 3)], window)
+        if equal:
+            yield from _ranges(*[np.array(c, np.int64) for c in zip(*equal, strict=True)])
 
     return run
 
@@ -294,16 +322,19 @@ def _fetch(window: int):
             rows: list[tuple] = []
             for doc, value, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 text = value.as_py()
+                _, firsts, _, places = segments(text, window)
+                anchor = dict(zip(firsts.tolist(), places.tolist(), strict=True))
                 for w in wanted.as_py():
                     part = text[w["first"] : w["stop"] + window - 1]
-                    if len(part) < window + w["stop"] - w["first"] - 1:
+                    if w["first"] not in anchor:
                         continue  # another text of the same id
                     if w["digest"]:
                         columns = _window_rows([part], [w["key"]], [doc], [w["first"]], window)
                         key, digest, docs, first, stop = [c.view(np.int64).tolist() for c in columns]
                         rows += [(_WINDOW, k, g, d, f, s, None) for k, g, d, f, s in zip(key, digest, docs, first, stop, strict=True)]
                     else:
-                        rows.append((_SEGMENT, w["key"], 0, doc, w["first"], w["stop"], part))
+                        for key, first, stop in _halves(text, w["key"], w["first"], w["stop"], anchor[w["first"]], window):
+                            rows.append((_SEGMENT, key - (1 << 64) if key >> 63 else key, 0, doc, first, stop, text[first : stop + window - 1]))
             columns = list(zip(*rows, strict=True)) or [()] * 7
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [*_FOUND_ARROW, pa.binary()], strict=True)], names=[*_NAMES, "text"])
 
