@@ -26,15 +26,23 @@ from foliomill.sinks.parts import write_parts
 from foliomill.storage import written
 
 
+#: Ends the URL of a page in the string that is exchanged; a noncharacter, which no URL holds.
+_URL_END = "\ufdd4"
+
+
 def documents(pages: DataFrame, selector: str | None = None) -> DataFrame:
     """(ord, url, title, content, n_chars, content_md5) of every usable page, '' where nothing is left."""
-    usable = filters.usable(pages)
-    # Titles and contents read the same exchanged HTML (the plan reuses the exchange), and are joined
-    # where they are; only URLs, a narrow column, are exchanged besides.
-    html = by_page(usable)
-    titles = html.select("page_id", H.page_title(F.col("html")).alias("title"))
-    content = page_content(html, selector).select("page_id", "content")
-    docs = titles.join(content, "page_id", "left").join(usable.select("page_id", "url"), "page_id").select(
+    usable = filters.usable(pages).where("page_id is not null")
+    # Titles and contents read one exchange.  It carries URL and HTML as a single string, so that both readers
+    # ask for the same column and the plan reuses the scan and the exchange instead of repeating them.
+    packed = F.concat(F.coalesce("url", F.lit("")), F.lit(_URL_END), "html")
+    pages_by_id = by_page(usable.select("page_id", packed.alias("html")))
+    at = F.instr("html", F.lit(_URL_END))
+    html = F.substring(F.col("html"), (at + 1).cast("int"), F.length("html"))
+    url = F.nullif(F.substring(F.col("html"), F.lit(1), (at - 1).cast("int")), F.lit(""))
+    titles = pages_by_id.select("page_id", url.alias("url"), H.page_title(html).alias("title"))
+    content = page_content(pages_by_id.select("page_id", html.alias("html")), selector).select("page_id", "content")
+    docs = titles.join(content, "page_id", "left").select(
         F.col("page_id").alias("ord"), "url", "title", F.coalesce("content", F.lit("")).alias("content")
     )
     return with_sizes(docs)

@@ -60,6 +60,24 @@ def test_writing_again_gives_the_same_files(spark, tmp_path):
         write_parts(records, "pdf")
 
 
+def test_html_is_scanned_and_exchanged_once(spark, pages, tmp_path):
+    pages.write.parquet(str(tmp_path / "pages"))
+    docs = P.documents(spark.read.parquet(str(tmp_path / "pages")))
+    assert docs.count() > 0
+    docs.collect()
+    final = docs._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1 and final.count("+- Exchange hashpartitioning(page_id") == 1 and "ReusedExchange" in final, final
+    assert {r.url for r in docs.collect()} == {r.url for r in pages.where("html <> ''").collect()}
+
+
+def test_later_passes_are_narrow(spark, pages):
+    """Dedup and split read stored lengths, not contents."""
+    docs = P.run_documents(pages, CorpusSettings())
+    kept = docs.where("long_enough").select("output", "content_md5", "ord", "record_chars")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "content:string" not in plan and "record_chars:bigint" in plan
+
+
 def test_corpus_filters_and_order(spark, pages):
     rows = P.corpus(pages, CorpusSettings(include=("example",), exclude=("/1",), max_pages=9)).orderBy("seq").collect()
     assert [(r.ord, r.seq, r.title) for r in rows][:2] == [(0, 1, "Page 0"), (2, 2, "Page 2")]
