@@ -42,19 +42,26 @@ _MANIFEST = "part int, file string, n_docs long, n_ids long, n_bytes long"
 
 def to_planes(ids: np.ndarray, kind: str = "bit") -> list[bytes]:
     """The planes of a block, lowest bit or byte first; a plane of zeros is empty."""
-    octets = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
-    planes = np.packbits(np.unpackbits(octets, axis=1, bitorder="little").T, axis=1) if kind == "bit" else octets.T
-    return [p.tobytes() if p.any() else b"" for p in planes]
+    octets = np.ascontiguousarray(np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4).T)
+    if kind == "byte":
+        return [o.tobytes() if o.any() else b"" for o in octets]
+    planes = []
+    for octet in octets:
+        seen = int(np.bitwise_or.reduce(octet)) if len(octet) else 0
+        planes += [np.packbits(octet & np.uint8(1 << bit)).tobytes() if seen >> bit & 1 else b"" for bit in range(8)]
+    return planes
 
 
 def from_planes(planes: list[bytes], n: int, kind: str = "bit") -> np.ndarray:
-    width = -(-n // 8) if kind == "bit" else n
-    rows = np.zeros((PLANES[kind], width), np.uint8)
-    for row, plane in zip(rows, planes, strict=True):
-        if plane:
-            row[:] = np.frombuffer(plane, np.uint8)
-    octets = np.packbits(np.unpackbits(rows, axis=1, count=n).T, axis=1, bitorder="little") if kind == "bit" else rows.T
-    return np.ascontiguousarray(octets).view("<u4").ravel()
+    octets = np.zeros((4, n), np.uint8)
+    for at, plane in enumerate(planes):
+        if not plane:
+            continue
+        if kind == "byte":
+            octets[at] = np.frombuffer(plane, np.uint8)
+        else:
+            octets[at // 8] |= np.unpackbits(np.frombuffer(plane, np.uint8), count=n) << np.uint8(at % 8)
+    return np.ascontiguousarray(octets.T).view("<u4").ravel()
 
 
 class TokenFileWriter:
