@@ -2,57 +2,122 @@
 
 The pre-tokenizer of a byte-level vocabulary always cuts a text before a single space that follows and precedes
 something other than white space.  The pieces between such cuts encode independently, and most come again and
-again, so each Python worker remembers the ids of pieces (a bounded number) as bytes and the library encodes only
-new ones.  The ids are exactly those of encoding the whole text; tests compare them.
+again, so each Python worker remembers the ids of pieces (a bounded number) as bytes, and the library encodes only
+new ones: plain words by its model alone, as the pre-tokenizer leaves them whole, and others many as lines of one
+text.  The ids are exactly those of encoding the whole text; tests compare them.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import numpy as np  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-#: Pieces that one worker remembers, and the longest: some 60 MB at most.
-REMEMBERED = 400_000
+#: Pieces that one worker remembers, and the longest: some 120 MB at most.
+REMEMBERED = 600_000
 LONGEST = 40
-#: Where a cut is not sure: a space beside white space.
-_UNSURE = re.compile(r" (?=[\s᠎])|(?<=[\s᠎]) ")
+#: Where a cut is sure.  U+180E counts as white space in some versions of Unicode.
 _CUT = re.compile(r"(?<=[^\s᠎]) (?=[^\s᠎])")
 
 
+#: Letters below this are letters in every version of Unicode.
+_FIRST_OTHER = "\u0250"
+#: A single mark after a word is a piece of its own to the pre-tokenizer.
+_MARKS = ".,;:!?"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else one from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+def _sure(piece: str) -> bool:
+    """Whether there is a cut on both sides of a piece between spaces."""
+    return piece != "" and not (piece[0].isspace() or piece[-1].isspace() or piece[0] == "᠎" or piece[-1] == "᠎")
+
+
 class Encoder:
     """``ids(text)`` gives little-endian unsigned 32-bit ids as bytes.  ``path``: a byte-level tokenizers file."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        lines = self.tokenizer.encode("a\na", add_special_tokens=False).ids
+        self.line = lines[1] if len(lines) == 3 else None
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.space = self.letters[32]
+        self.marks = {m: self._encode([m])[0] for m in _MARKS}
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _lines(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that hold no line break, each after a space."""
+        if self.line is None or len(pieces) < 3:
+            return self._encode([f" {p}" for p in pieces])
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([f" {p}" for p in pieces])], add_special_tokens=False)[0].ids, "<u4")
+        ends = [*(4 * np.flatnonzero(ids == self.line)).tolist(), 4 * len(ids)]
+        data, at, out = ids.tobytes(), 0, []
+        for end in ends:
+            out.append(data[at:end])
+            at = end + 4
+        return out
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a plain word after a space."""
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(self.space + spelled)]).tobytes()
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of pieces, of which those of usual length are remembered."""
+        found, new = {}, []
+        for p in pieces:
+            value = self.older.get(p)
+            if value is None:
+                new.append(p)
+            else:
+                found[p] = value
+        plain, other = [], []
+        for p in new:
+            if p.isalpha() and (p.isascii() or max(p) < _FIRST_OTHER):
+                found[p] = self._word(p)
+            elif p[-1] in self.marks and (word := p[:-1]).isalpha() and (word.isascii() or max(word) < _FIRST_OTHER):
+                found[p] = (self.known.get(word) or self._word(word)) + self.marks[p[-1]]
+            else:
+                (other if "\n" in p else plain).append(p)
+        found |= zip(plain, self._lines(plain), strict=True)
+        found |= zip(other, self._encode([f" {p}" for p in other]), strict=True)
+        if len(self.known) + len(found) > REMEMBERED // 2:
+            self.older, self.known = self.known, {}
+        self.known.update((p, v) for p, v in found.items() if len(p) <= LONGEST)
+        return found
+
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        pieces = _CUT.split(text) if _UNSURE.search(text) else text.split(" ")
-        known, first = self.known, pieces.pop(0)
+        pieces = text.split(" ")
+        first = pieces.pop(0)
+        known = self.known
         new = [p for p in dict.fromkeys(pieces) if p not in known]
-        encoded = self._encode([first, *[f" {p}" for p in new]])
-        extra = dict(zip(new, encoded[1:], strict=True))
-        if len(known) + len(extra) > REMEMBERED:
-            extra |= {p: known[p] for p in dict.fromkeys(pieces) if p in known}
-            known.clear()
-        for p, value in extra.items():
-            if len(p) <= LONGEST:
-                known[p] = value
-        try:
-            return encoded[0] + b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            return encoded[0] + b"".join([known[p] if p in known else extra[p] for p in pieces])
+        if (first and not _sure(f".{first}")) or not all(map(_sure, new)):
+            # Beside other white space a space is no cut.
+            pieces = _CUT.split(text)
+            first = pieces.pop(0)
+            new = [p for p in dict.fromkeys(pieces) if p not in known]
+        head = self._encode([first])[0]
+        if not new:
+            return head + b"".join(map(known.__getitem__, pieces))
+        extra = self._learn(new)
+        return head + b"".join([known[p] if p in known else extra[p] for p in pieces])
 
 
 _encoders: dict[str, Encoder] = {}
