@@ -28,6 +28,7 @@ from foliomill.storage import written
 CELLS = 1 << 15
 #: Labelled texts a model is trained on, of each language at most.
 MAX_PER_LANGUAGE = 400
+MAX_LANGUAGES = 1_000
 #: Trigrams beyond which more text adds little.
 SATURATION = 100.0
 #: Documents that a host must have to weigh as much as its domain, and a domain as much as all documents.
@@ -72,8 +73,11 @@ def train(labelled: DataFrame, max_per_language: int = MAX_PER_LANGUAGE) -> tupl
     # smallest max_per_language hashes of a language only (Spark limits a window's groups for such a filter).
     edge = usable.select("lang", "hash").distinct()
     edge = edge.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("n") <= max_per_language)
-    last = edge.groupBy("lang").agg(F.max("hash").alias("last"))
-    sample = usable.join(last, "lang").where("hash <= last").withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= max_per_language)
+    last = written(edge.groupBy("lang").agg(F.max("hash").alias("last")), "language-samples")
+    if last.count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labels: these are no languages")
+    # One row per language, counted: broadcast, so that texts outside the sample stay where they are.
+    sample = usable.join(F.broadcast(last), "lang").where("hash <= last").withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= max_per_language)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
