@@ -21,9 +21,12 @@ from pyspark.sql import functions as F
 from foliomill.storage import written
 
 RUN = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}+={0,2}"
-#: Words beside a candidate that speak for and against a secret.
+#: Words beside a candidate that speak for a secret.
 SECRET_WORD = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api_?-?key|access_?-?key|private_?-?key|auth|credential)"
-PLAIN_WORD = r"(?i)(sha\d*|md5|commit|checksum|digest|uuid|hash|revision|etag|isbn|phone|tel|card|iban|number)"
+#: Whole words of the name a candidate is assigned to that speak against one.
+PLAIN_WORD = r"(?i)(?<![a-z])(sha\d*|md5|commit|checksum|digest|uuid|hash|revision|etag|isbn|phone|tel|card|iban|number)(?![a-z])"
+#: The name that a candidate is assigned to, at the end of the text before it.
+NAME = r"([\w.\-]+)[\"'`]?\]?\s{0,8}[=:]{1,2}>?\s{0,8}[\"'`]?$"
 TEST_PATH = r"(?i)(^|[/_.\-])(test|tests|example|examples|sample|samples|fixture|fixtures|mock|docs?)([/_.\-]|$)"
 PLACEHOLDER = "[SECRET]"
 
@@ -39,9 +42,10 @@ FEATURES = [
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """``(doc_id, text_key, nth, start, candidate, before, after, path)``, one row per candidate of each row.
+    """``(doc_id, text_key, nth, start, candidate, before, after, name, path)``, one row per candidate of each row.
 
     ``nth`` and ``start`` (in characters) count from 0 within the text; ``text_key`` tells texts of one id apart.
+    ``name`` is what the candidate is assigned to, empty if it is not; a long name is a run, so a candidate, itself.
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text")
@@ -50,18 +54,24 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id", "path", F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("text_key"),
         F.regexp_extract_all("text", F.lit(RUN), 0).alias("found"), F.split("text", RUN).alias("gaps"),
     )
+
+    def before(i: Column, n: int) -> Column:
+        return F.right(F.concat(F.coalesce(F.get("found", i - 1), F.lit("")), F.get("gaps", i)), F.lit(n))
+
     one = F.transform(
         "found",
         lambda x, i: F.struct(
             i.alias("nth"), x.alias("candidate"), F.length(F.get("gaps", i)).alias("gap"),
-            F.right(F.get("gaps", i), F.lit(40)).alias("before"), F.left(F.get("gaps", i + 1), F.lit(20)).alias("after"),
+            before(i, 40).alias("before"), F.left(F.get("gaps", i + 1), F.lit(20)).alias("after"),
+            F.regexp_extract(before(i, 120), NAME, 1).alias("name"),
         ),
     )
     each = parts.select("doc_id", "path", "row", "text_key", F.explode(one).alias("c")).select("doc_id", "path", "row", "text_key", "c.*")
     so_far = Window.partitionBy("row").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("gap") + F.length("candidate")).over(so_far)
     return each.select(
-        "doc_id", "text_key", "nth", (end - F.length("candidate")).cast("long").alias("start"), "candidate", "before", "after", "path"
+        "doc_id", "text_key", "nth", (end - F.length("candidate")).cast("long").alias("start"), "candidate", "before", "after",
+        "name", "path",
     )
 
 
@@ -132,10 +142,10 @@ def features(found: DataFrame, words: DataFrame, dictionary_words: int = DICTION
     beside = F.concat_ws(" ", "before", "after")
     return found.join(measured, "candidate").select(
         *found.columns, *[f for f in FEATURES if f in measured.columns],
-        F.col("before").rlike(r"[=:]\s*[\"'`]?$").cast("double").alias("f_assigned"),
+        (F.col("name") != "").cast("double").alias("f_assigned"),
         F.col("before").rlike("[\"'`]$").cast("double").alias("f_quoted"),
         beside.rlike(SECRET_WORD).cast("double").alias("f_secret_word"),
-        beside.rlike(PLAIN_WORD).cast("double").alias("f_plain_word"),
+        F.regexp_replace("name", "([a-z0-9])([A-Z])", "$1_$2").rlike(PLAIN_WORD).cast("double").alias("f_plain_word"),
         F.coalesce(F.col("path").rlike(TEST_PATH), F.lit(False)).cast("double").alias("f_test_path"),
     )
 
@@ -144,11 +154,12 @@ def assigned_findings(measured: DataFrame) -> DataFrame:
     """Labelled findings where none are given: rows of ``measured`` with ``label``.
 
     A candidate of letters and digits assigned to a name with a word for secrets is a finding (1); one of digits only, of
-    letters only, or beside a word for something plain is none (0).  All others are not labelled.
+    letters only, or assigned to a name with a word for something plain and none for secrets is none (0).  All others
+    are not labelled; what else stands near a candidate labels nothing.
     """
     mixed = F.col("candidate").rlike("[0-9]") & F.col("candidate").rlike("[A-Za-z]")
-    named = (F.col("f_assigned") > 0) & F.col("before").rlike(SECRET_WORD + r"[\w\-]{0,20}[\"'`]?\s*[=:]\s*[\"'`]?$")
-    label = F.when(mixed & named & (F.col("f_plain_word") == 0), 1.0).when(~mixed | (F.col("f_plain_word") > 0), 0.0)
+    named, plain = F.col("name").rlike(SECRET_WORD), F.col("f_plain_word") > 0
+    label = F.when(mixed & named & ~plain, 1.0).when(~mixed | (plain & ~named), 0.0)
     return measured.withColumn("label", label).where("label is not null")
 
 

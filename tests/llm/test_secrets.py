@@ -76,3 +76,19 @@ def test_nothing_to_learn_from(spark, odd, empty):
 def test_the_only_label(spark):
     docs = spark.createDataFrame([(1, 'password: "abc123abc123abc123def"', None)], "doc_id long, text string, source string")
     assert [r.is_secret for r in ss.findings(docs).collect()] == [True]
+
+
+def test_prose_beside_a_secret_teaches_nothing(spark):
+    """Words such as "shall" and "hotel" hold "sha" and "tel"; whole words count in the assigned name alone."""
+    value = lambda i: f"{7**60 + 11**i:x}"[:40]
+    lines = [
+        'it shall token = "{}" in the hotel', 'discard a card number password: {} edshat', 'thousands shall, aws_secret_access_key={} hotel',
+        'commit_sha = "{}"', "cardNumber: '{}'", 'marshall = "{}"', 'password_hash = "{}"', "a commit {} here",
+    ]
+    docs = spark.createDataFrame([(i, x.format(value(i)), "s") for i, x in enumerate(lines)], "doc_id long, text string, source string")
+    found = ss.candidates(docs).where(F.col("candidate").rlike("^[0-9a-f]{40}$"))
+    measured = ss.features(found, ss.vocabulary(docs))
+    assert {r.doc_id: r.name for r in found.collect()} == dict(
+        enumerate(["token", "password", "aws_secret_access_key", "commit_sha", "cardNumber", "marshall", "password_hash", ""])
+    )
+    assert {r.doc_id: r.label for r in ss.assigned_findings(measured).collect()} == {0: 1.0, 1: 1.0, 2: 1.0, 3: 0.0, 4: 0.0}
