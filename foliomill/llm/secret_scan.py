@@ -1,6 +1,7 @@
 """Secrets: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of 16 or more characters of encoded keys.  Its features are its length, its make-up, how likely
+A candidate is a run of 16 or more characters of encoded keys, or whatever is assigned to a name with a word for
+secrets, of any length and alphabet.  Its features are its length, its make-up, how likely
 its character transitions are in the corpus' own words, how much of it is made of frequent words, and what stands
 before it, after it and in the document's path.  The forest is trained on labelled findings.
 
@@ -22,11 +23,24 @@ from foliomill.storage import written
 
 RUN = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}+={0,2}"
 #: Words beside a candidate that speak for a secret.
-SECRET_WORD = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api_?-?key|access_?-?key|private_?-?key|auth|credential)"
+SECRET_WORD = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api_?-?key|access_?-?key|private_?-?key|auth(?!or(?!i[sz]))|credential)"
 #: Whole words of the name a candidate is assigned to that speak against one.
 PLAIN_WORD = r"(?i)(?<![a-z])(sha\d*|md5|commit|checksum|digest|uuid|hash|revision|etag|isbn|phone|tel|card|iban|number)(?![a-z])"
+#: What stands between a name and its value; ``Bearer`` and ``Basic`` come before a value.
+ASSIGN = r"[\"'`]?\]?\s{0,8}[=:]{1,2}>?\s{0,8}[\"'`]?((?i:bearer|basic)\s{1,4})?"
 #: The name that a candidate is assigned to, at the end of the text before it.
-NAME = r"([\w.\-]+)[\"'`]?\]?\s{0,8}[=:]{1,2}>?\s{0,8}[\"'`]?$"
+NAME = rf"([\w.\-]+){ASSIGN}$"
+#: Values: to the closing quote, or to white space, a quote, the next assignment, or punctuation that ends a clause.
+_QUOTED = [rf"(?<={q})(?:\\.|[^{q}\\\n])++(?={q})" for q in "\"'`"]
+_BARE = r"(?:(?![&,;]\w{1,40}[=:])(?![.,;:?)\]}>]{0,8}+(?:[\s\"'`]|\z))[^\s\"'`])++"
+#: All lookbehinds but the last are there to leave most places at once.
+NAMED = (
+    r"(?<=[=:>\s\"'`])((?<![\w,.;][ \t])|(?<=(?i:bearer|basic)[ \t]))" + rf"(?<=(?i:{SECRET_WORD[4:]})[\w.\-]{{0,20}}{ASSIGN})(?!(?i:bearer|basic)\s)"
+    + f"(?:{'|'.join([*_QUOTED, _BARE])})"
+)
+FOUND = f"(?:{NAMED}|{RUN})"
+#: Assigned values that are shorter are judged, but teach nothing.
+MIN_LABELLED = 8
 TEST_PATH = r"(?i)(^|[/_.\-])(test|tests|example|examples|sample|samples|fixture|fixtures|mock|docs?)([/_.\-]|$)"
 PLACEHOLDER = "[SECRET]"
 
@@ -49,10 +63,10 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text")
-    ).where(F.col("text").rlike(RUN))
+    ).where(F.col("text").rlike(FOUND))
     parts = rows.select(
         "doc_id", "path", F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("text_key"),
-        F.regexp_extract_all("text", F.lit(RUN), 0).alias("found"), F.split("text", RUN).alias("gaps"),
+        F.regexp_extract_all("text", F.lit(FOUND), 0).alias("found"), F.split("text", FOUND).alias("gaps"),
     )
 
     def before(i: Column, n: int) -> Column:
@@ -153,13 +167,16 @@ def features(found: DataFrame, words: DataFrame, dictionary_words: int = DICTION
 def assigned_findings(measured: DataFrame) -> DataFrame:
     """Labelled findings where none are given: rows of ``measured`` with ``label``.
 
-    A candidate of letters and digits assigned to a name with a word for secrets is a finding (1); one of digits only, of
-    letters only, or assigned to a name with a word for something plain and none for secrets is none (0).  All others
-    are not labelled; what else stands near a candidate labels nothing.
+    A candidate of ``MIN_LABELLED`` or more characters, letters and digits among them, assigned to a name with a word for
+    secrets is a finding (1).  None (0) is one without letters or without digits that is not assigned to such a name, or
+    that is and is a known word or a number of up to 5 digits; and one assigned to a name with a word for something plain
+    and none for secrets.  All others are not labelled; what else stands near a candidate labels nothing.
     """
-    mixed = F.col("candidate").rlike("[0-9]") & F.col("candidate").rlike("[A-Za-z]")
+    c = F.col("candidate")
+    mixed = c.rlike("[0-9]") & c.rlike("[A-Za-z]")
     named, plain = F.col("name").rlike(SECRET_WORD), F.col("f_plain_word") > 0
-    label = F.when(mixed & named & ~plain, 1.0).when(~mixed | (plain & ~named), 0.0)
+    known = (c.rlike("^[A-Za-z]+$") & (F.col("f_covered") == 1)) | c.rlike("^[0-9]{1,5}$")
+    label = F.when(mixed & named & ~plain & (F.length(c) >= MIN_LABELLED), 1.0).when(F.when(named, known).otherwise(~mixed | plain), 0.0)
     return measured.withColumn("label", label).where("label is not null")
 
 
@@ -219,10 +236,10 @@ def redacted(
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     text, key = F.col("row").getField(text_col), F.col("row").getField(id_col).cast("long")
     joined = rows.join(hits, key.eqNullSafe(F.col("hit_doc")) & F.xxhash64(text).eqNullSafe(F.col("hit_key")), "left")
-    gaps = F.split(text, RUN)
+    gaps = F.split(text, FOUND)
     rebuilt = F.array_join(
         F.transform(
-            F.regexp_extract_all(text, F.lit(RUN), 0),
+            F.regexp_extract_all(text, F.lit(FOUND), 0),
             lambda x, i: F.concat(F.get(gaps, i), F.when(F.array_contains("hit_nth", i), F.lit(placeholder)).otherwise(x)),
         ),
         "",

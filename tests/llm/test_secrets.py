@@ -92,3 +92,26 @@ def test_prose_beside_a_secret_teaches_nothing(spark):
         enumerate(["token", "password", "aws_secret_access_key", "commit_sha", "cardNumber", "marshall", "password_hash", ""])
     )
     assert {r.doc_id: r.label for r in ss.assigned_findings(measured).collect()} == {0: 1.0, 1: 1.0, 2: 1.0, 3: 0.0, 4: 0.0}
+
+
+SHORT = {
+    'password = "S3cret!pw9"': "S3cret!pw9", "secret: 'p@ss.word'": "p@ss.word", 'auth="user:pass@host"': "user:pass@host",
+    "api_key=ab1.cd2.ef3, then": "ab1.cd2.ef3", "see x?token=q7&user=bob": "q7", "Authorization: Bearer a1b.c2d.e3f": "a1b.c2d.e3f",
+    'pwd := "two words 1"': "two words 1", 'config["password"] = `x9`': "x9", '"secret": "a\\"b1",': 'a\\"b1', "passwd: geheim\u00df7.": "geheim\u00df7",
+}
+
+
+def test_assigned_values_of_any_length_are_candidates(spark):
+    docs = spark.createDataFrame([(i, f"it is {x}", "s") for i, x in enumerate(SHORT)], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.candidate, r.start) for r in ss.candidates(docs).collect()}
+    assert got == {i: (v, len("it is ") + x.rindex(v)) for i, (x, v) in enumerate(SHORT.items())}
+    none = [("the author: john1 says token and password, then", "s"), ('password = ""', "s"), ("secret =", "s")]
+    assert ss.candidates(spark.createDataFrame([(i, *r) for i, r in enumerate(none)], "doc_id long, text string, source string")).count() == 0
+
+
+def test_short_secrets_are_blanked_out(spark):
+    docs, _ = corpus(spark)
+    more = [(1000 + i, f"on the thin {x} there", "s1") for i, x in enumerate(SHORT)]
+    clean = {r.doc_id: r.text for r in ss.redacted(docs.union(spark.createDataFrame(more, docs.schema))).collect()}
+    for (i, text, _), value in zip(more[:4], SHORT.values()):
+        assert clean[i] == text.replace(value, ss.PLACEHOLDER)
