@@ -58,4 +58,22 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from measured left join bad using (source)
 """
 
-ORACLE: dict[str, str] = {"op1_decontaminate": _OP1, "op3_quality_rules": _OP3}
+_OP13 = r"""
+with doc as (select doc_id, coalesce(text, '') as t, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+cut as (
+  select doc_id, t, u, cast(len(u) as bigint) as n, cast('0x' || h[1:8] as bigint) % (len(u) + 1) as r1, cast('0x' || h[9:16] as bigint) % (len(u) + 1) as r2,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or cast('0x' || h[17:24] as bigint) % 100 >= 50 then 'plain'
+      when cast('0x' || h[25:32] as bigint) % 100 < 80 then 'spm' else 'psm' end as form
+  from (select *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u from doc)),
+three as (
+  select doc_id, t, n, form, array_to_string(u[1 : least(r1, r2)], '') as p,
+    array_to_string(u[least(r1, r2) + 1 : greatest(r1, r2)], '') as m, array_to_string(u[greatest(r1, r2) + 1 : n], '') as s
+  from cut)
+select doc_id, n, form, case when form <> 'plain' then cast(length(p) as bigint) end as prefix_chars,
+  case when form <> 'plain' then cast(length(m) as bigint) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(t) as restored_sha256
+from three
+"""
+
+ORACLE: dict[str, str] = {"op1_decontaminate": _OP1, "op3_quality_rules": _OP3, "op13_fill_in_middle": _OP13}
