@@ -821,6 +821,12 @@ ORACLE["stream_dedup"] = """with recursive kept as (
     union all select e.user_id, min(e.ts) from kept k join events e on e.user_id = k.user_id and e.ts > k.ts + interval 24 hour group by e.user_id, k.ts
 )
 select 'https://u.example.org/' || user_id as url, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as fetched_at from kept"""
+ORACLE["stream_dedup_late"] = """with recursive fetched as (select case when event_id % 3 = 0 then 7 else user_id end as user_id, ts from events),
+kept as (
+    select user_id, min(ts) as ts from fetched group by user_id
+    union all select e.user_id, min(e.ts) from kept k join fetched e on e.user_id = k.user_id and e.ts > k.ts + interval 24 hour group by e.user_id, k.ts
+)
+select 'https://u.example.org/' || user_id as url, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as fetched_at from kept"""
 
 ORACLE["corpus"] = f"""with recursive {docs_cte('pages')}, {_kept_cte(page_block('title', 'url', 'content'), "'corpus'")},
     records as (select output, ord, length(block)::bigint as n, (select length({toc_text()}) from (select page_no as seq, title, url from winners))::bigint as header from winners),

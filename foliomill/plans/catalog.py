@@ -687,7 +687,21 @@ def stream_dedup(spark, d):
     fetches = events.select(F.concat(F.lit("https://u.example.org/"), F.col("user_id").cast("string")).alias("url"), F.col("ts").cast("timestamp").alias("fetched_at"))
     store = new_path(spark, "fetches")
     S.spaced_fetches(fetches, store, new_path(spark, "fetch-checkpoint")).awaitTermination()
-    return S.read_store(spark, store, S.FETCH).select("url", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("fetched_at"))
+    return S.kept_fetches(spark, store).select("url", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("fetched_at"))
+
+
+@query
+def stream_dedup_late(spark, d):
+    """The same fetches, in three batches that each span all days; a few users have most of them."""
+    user = F.when(F.col("event_id") % 3 == 0, F.lit(7)).otherwise(F.col("user_id"))
+    events = table(spark, d, "events").select(
+        F.concat(F.lit("https://u.example.org/"), user.cast("string")).alias("url"), F.col("ts").cast("timestamp").alias("fetched_at"), "event_id"
+    )
+    source, store = new_path(spark, "late-fetches"), new_path(spark, "fetches")
+    events.repartition(3, F.pmod("event_id", F.lit(3))).drop("event_id").write.parquet(source)
+    fetches = spark.readStream.schema("url string, fetched_at timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+    S.spaced_fetches(fetches, store, new_path(spark, "fetch-checkpoint")).awaitTermination()
+    return S.kept_fetches(spark, store).select("url", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("fetched_at"))
 
 
 @query

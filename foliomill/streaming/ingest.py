@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from foliomill.operators import dedup
+from foliomill.operators.spacing import spaced
 from foliomill.plans.corpus import documents
 from foliomill.settings import CorpusSettings
 from foliomill.storage import written
@@ -64,48 +63,67 @@ def ingest(pages: DataFrame, store: str, checkpoint: str, settings: CorpusSettin
 
 
 FETCH = "url string, fetched_at timestamp, run string, batch_id bigint"
+#: What batches say of fetches: kept from now on (1), or no longer (-1); and the fetches they have seen.
+_CHANGES = "url string, t bigint, fetched_at timestamp, change int, run string, batch_id bigint, day bigint"
+_SEEN = "url string, t bigint, run string, batch_id bigint, day bigint"
+_DAY = 86_400_000_000
 
 
-def _spaced(rows: DataFrame, horizon_seconds: int) -> DataFrame:
-    """Of (url, fetched_at, known) the fetches kept: those later than the horizon after the last kept one.
+def _day(t: str) -> Column:
+    return F.call_function("div", F.col(t) - F.pmod(F.col(t), F.lit(_DAY)), F.lit(_DAY))
 
-    Rows with ``known`` were kept before and are not given again.  Rows of a URL pass one task in order of time,
-    one at a time, so a URL with very many fetches needs no memory.
-    """
-    horizon = pd.Timedelta(seconds=horizon_seconds)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        url, last = None, None
-        for batch in batches:
-            kept = []
-            for u, t, known in batch.itertuples(index=False, name=None):
-                if u != url:
-                    url, last = u, None
-                keep = last is None or t > last + horizon
-                if known or keep:
-                    last = t
-                kept.append(keep and not known)
-            yield batch.loc[kept, ["url", "fetched_at"]]
+def _net(changes: DataFrame) -> DataFrame:
+    return changes.groupBy("url", "t").agg(F.sum("change").alias("n")).where("n > 0").drop("n")
+
 
-    ordered = rows.repartition("url").sortWithinPartitions("url", "fetched_at", F.desc("known"))
-    return ordered.mapInPandas(run, "url string, fetched_at timestamp")
+def kept_fetches(spark: SparkSession, store: str) -> DataFrame:
+    """``(url, fetched_at)``: the fetches that :func:`spaced_fetches` keeps in a store, as of its last batch."""
+    return _net(read_store(spark, store, _CHANGES)).select("url", F.timestamp_micros("t").alias("fetched_at"))
 
 
 def spaced_fetches(fetches: DataFrame, store: str, checkpoint: str, horizon_seconds: int = 86_400) -> StreamingQuery:
-    """Append to ``store`` the fetches (``url``, ``fetched_at``) that lie over a day after the last kept one of their URL.
+    """Keep in ``store`` the fetches (``url``, ``fetched_at``) that lie over a day after the last kept one of their URL.
+
+    The first fetch of a URL is kept.  Fetches may come late and in any order: after each batch the kept ones are
+    those of all fetches so far, as if they had come at once.  A late fetch can change what was kept after it,
+    so a batch appends changes (kept, or no longer), and :func:`kept_fetches` adds them up.
 
-    The first fetch of a URL is kept.  Kept fetches are the state: each micro-batch starts from the last one of each
-    URL that earlier batches stored, so how files are batched does not matter, as long as a URL's fetches
-    come in order of time from one batch to the next; within a batch they may come in any order.  A batch that
-    is repeated gives the same rows.  Null URLs and times are left out.
+    What was kept before the earliest new fetch of a URL stands, as a fetch depends on earlier ones only.  So a
+    batch reads the fetches of its URLs from there on, and of what was kept one horizon more; both are stored by day, and
+    days before are not opened.  In a stream that comes in order these are today's.  How the kept ones are found
+    is in :mod:`foliomill.operators.spacing`; no URL passes a single task.  A batch that is repeated gives the same
+    rows.  Null URLs and times are left out.
     """
     run = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
+    horizon = horizon_seconds * 1_000_000
+    seen = f"{store.rstrip('/')}/_seen"
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        before = read_store(batch.sparkSession, store, FETCH).where((F.col("run") != run) | (F.col("batch_id") < batch_id))
-        last = before.groupBy("url").agg(F.max("fetched_at").alias("fetched_at")).withColumn("known", F.lit(True))
-        new = batch.where("url is not null and fetched_at is not null").select("url", "fetched_at", F.lit(False).alias("known"))
-        _spaced(new.unionByName(last), horizon_seconds).write.mode("overwrite").parquet(f"{store}/run={run}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        earlier = (F.col("run") != run) | (F.col("batch_id") < batch_id)
+        named = batch.where("url is not null and fetched_at is not null").select("url", F.unix_micros("fetched_at").alias("t"))
+        new = written(named.distinct(), "fetches")
+        since = written(new.groupBy("url").agg(F.min("t").alias("since")), "fetches-since")
+        low = since.agg(F.min("since")).first()[0]
+        if low is None:
+            return
+
+        def known(path: str, schema: str, start: int) -> DataFrame:
+            """Rows of the batch's URLs, of days from ``start`` on."""
+            rows = read_store(spark, path, schema).where(earlier & (F.col("day") >= start // _DAY))
+            return rows.join(since, "url")
+
+        kept = written(_net(known(store, _CHANGES, low - horizon)), "fetches-kept").join(since, "url")
+        last = kept.where("t < since").groupBy("url").agg(F.max("t").alias("t"))
+        times = new.unionByName(known(seen, _SEEN, low).where("t >= since").select("url", "t")).unionByName(last)
+        now = spaced(times.withColumnRenamed("url", "key"), horizon).withColumnRenamed("key", "url")
+        now = now.join(since, "url").where("t >= since").select("url", "t", F.lit(1).alias("change"))
+        then = kept.where("t >= since").select("url", "t", F.lit(-1).alias("change"))
+        changes = now.unionByName(then).groupBy("url", "t").agg(F.sum("change").cast("int").alias("change")).where("change <> 0")
+        changes = changes.withColumn("fetched_at", F.timestamp_micros("t"))
+        for rows, path in ((new, seen), (changes, store)):
+            rows.withColumn("day", _day("t")).write.mode("overwrite").partitionBy("day").parquet(f"{path}/run={run}/batch_id={batch_id}")
 
     return (
         fetches.writeStream.foreachBatch(one_batch)
