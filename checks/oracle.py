@@ -727,6 +727,51 @@ _OUTERS = " union all ".join(
 )
 ORACLE["selector_list"] = f"""with {tokens_cte(RICH)}, {spans_cte()}, outers as ({_OUTERS}), matches as ({_MATCHES})
 select page_id, min(pos) as first_pos, min_by(span_end, pos) as last_pos from (select page_id from {RICH}) left join matches using (page_id) group by page_id"""
+# The tree of spans, element by element: an element that is not closed ends with its parent.
+_TREE = f"""
+    element as (select *, row_number() over (partition by page_id order by pos) as i from spans where kind in ('open', 'void', 'raw')),
+    walk as (
+      select page_id, i, pos, null::bigint as parent, case when kind = 'open' then [{{'p': pos, 'e': span_end}}] else [] end as stack from element where i = 1
+      union all
+      select e.page_id, e.i, e.pos, x.alive[-1].p, case when e.kind = 'open' then list_append(x.alive, {{'p': e.pos, 'e': least(e.span_end, coalesce(x.alive[-1].e, e.span_end))}}) else x.alive end
+      from (select w.page_id, w.i + 1 as i, list_filter(w.stack, lambda f: f.e >= n.pos) as alive from walk w join element n on n.page_id = w.page_id and n.i = w.i + 1) x
+      join element e on e.page_id = x.page_id and e.i = x.i
+    ),
+    node as (
+      select e.*, w.parent, row_number() over (partition by e.page_id, w.parent order by e.pos) as nth,
+        row_number() over (partition by e.page_id, w.parent, e.tag order by e.pos) as nth_type,
+        lag(e.pos) over (partition by e.page_id, w.parent order by e.pos) as prev
+      from element e join walk w on w.page_id = e.page_id and w.pos = e.pos
+    ),
+    el as (select * from node where kind in ('open', 'void'))"""
+
+
+def _first_of(matches: str) -> str:
+    return f"""with recursive {tokens_cte(RICH)}, {spans_cte()}, {_TREE}, matches as ({matches})
+select page_id, min(pos) as first_pos, min_by(span_end, pos) as last_pos from (select page_id from {RICH}) left join matches using (page_id) group by page_id"""
+
+
+ORACLE["selector_child"] = _first_of("""
+  select l.page_id, l.pos, l.span_end from el l join el o on o.page_id = l.page_id and o.pos = l.parent join el d on d.page_id = l.page_id and d.pos = o.parent
+    join el b on b.page_id = l.page_id and b.pos = d.parent
+  where l.tag = 'li' and l.nth = 1 and o.tag = 'ol' and o.nth_type = 2 and d.tag = 'div' and b.tag = 'body'
+  union all
+  select l.page_id, l.pos, l.span_end from el l join el u on u.page_id = l.page_id and u.pos = l.parent join el a on a.page_id = l.page_id and a.pos = u.parent
+    join el b on b.page_id = l.page_id and b.pos = a.parent
+  where l.tag = 'li' and l.nth = 3 and u.tag = 'ul' and a.tag = 'article' and b.tag = 'body'""")
+ORACLE["selector_position"] = _first_of(f"""
+  select d.page_id, d.pos, d.span_end from el d join el m on m.page_id = d.page_id and m.pos = d.parent
+  where d.tag = 'div' and m.tag = 'main' and exists (
+    select 1 from el p where p.page_id = d.page_id and p.parent = d.parent and p.pos < d.pos and p.tag = 'p' and p.nth_type % 2 = 1)
+  union all
+  select l.page_id, l.pos, l.span_end from el l where l.tag = 'li' and l.nth % 2 = 0 and exists (
+    with recursive up as (
+      select u.pos, u.parent, u.tag, u.prev from el u where u.page_id = l.page_id and u.pos = l.parent
+      union all select a.pos, a.parent, a.tag, a.prev from up join el a on a.page_id = l.page_id and a.pos = up.parent)
+    select 1 from up join el h on h.page_id = l.page_id and h.pos = up.prev join el s on s.page_id = l.page_id and s.pos = h.parent
+    where up.tag = 'ul' and h.tag = 'h1' and h.nth = 1 and s.tag = 'section')
+  union all
+  select c.page_id, c.pos, c.span_end from el c join el d on d.page_id = c.page_id and d.pos = c.parent where c.nth = 4 and {has_class('content').replace('token', 'd.token')}""")
 for _name, _tags, _classes, _noise in (
     ("noise_tags", True, False, NOISE_CLASS), ("noise_class", False, True, NOISE_CLASS), ("noise_class_word", False, True, NOISE_WORD),
 ):

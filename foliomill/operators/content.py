@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from foliomill import fixed_values as fv
 from foliomill.functions import html as H
 from foliomill.functions import text as X
+from foliomill.operators.selectors import first_matches, is_structural
 from foliomill.operators.tokens import page_tokens, tag_in
 
 LINK_DENSITY_LIMIT = 3  # a block is boilerplate when more than 1/3 of its text is link text
@@ -70,7 +71,11 @@ def with_region(spans: DataFrame, selector: str | None = None, key: str = "page_
     Without a selector: the first kind of main element that occurs, and of that kind the first.  With
     one: its first match, or else the whole page; the heuristic is not tried then.  A selector may be
     a chain of ancestors, ``"div#x ul li.y"``, or several of them separated by commas; of all matches the first counts.
+    Chains may have children (``>``), siblings (``+``, ``~``) and positions among them (``:nth-child(2)``,
+    ``:nth-of-type(2n+1)``, ``:first-child``); then see :mod:`foliomill.operators.selectors`.
     """
+    if selector is not None and is_structural(selector):
+        return spans.join(first_matches(spans, selector, key, compound_condition), key, "left")
     if selector is None:
         rank = F.lit(None).cast("int")
         for i, sel in reversed(list(enumerate(fv.REGION_SELECTORS))):

@@ -454,6 +454,16 @@ def selector_region(spark, d):
     return _region_rows(_spans(derived(spark, d, "rich_pages")), "div.content article h1")
 
 
+@query
+def selector_child(spark, d):
+    return _region_rows(_spans(derived(spark, d, "rich_pages")), "body > div > ol:nth-of-type(2) > li:nth-child(1), body > article > ul > li:nth-child(3)")
+
+
+@query
+def selector_position(spark, d):
+    return _region_rows(_spans(derived(spark, d, "rich_pages")), "main > p:nth-of-type(2n+1) ~ div, body section > h1:first-child + ul li:nth-child(even), .content > :nth-child(4)")
+
+
 def _shown_tokens(kept: DataFrame) -> DataFrame:
     return kept.select("page_id", "pos", "kind", "tag", "token")
 
