@@ -661,6 +661,20 @@ CRAWL = f"""
 ORACLE["crawl_bfs"] = f"with recursive {CRAWL} select base, url, min(depth) as depth from reach group by base, url"
 ORACLE["crawl_bfs_filtered"] = f"with recursive {CRAWL} select base, url, min(depth) as depth from reach where contains(url, '/doc/') group by base, url"
 
+_HUB = "'https://g.example.org/doc/hub'"
+ORACLE["crawl_hub"] = f"""with recursive
+    link as (
+      select src, dst from {D('event_links')} union select src, {_HUB} from {D('event_links')} union select {_HUB}, dst from {D('event_links')} where pos % 3 = 0),
+    edges as (
+      select distinct src, dst from link
+      where contains(dst, '/doc/') and not {skippable('dst')} and {netloc('dst')} = {netloc('src')}),
+    reach as (
+      select src as base, src as url, 0::bigint as depth from {D('event_links')} where contains(src, '/misc/') and not {skippable('src')}
+      union
+      select r.base, e.dst, r.depth + 1 from reach r join edges e on e.src = r.url where r.depth < 3
+    )
+select base, url, min(depth) as depth from reach group by base, url"""
+
 ORACLE["order_restore"] = f"""
 select page_id, p.url, u.last_ord::bigint as restored_ord
 from (select ord as page_id, url || case when ord % 10 = 0 then 'x' else '' end as url from {D('repeated_urls')}) p

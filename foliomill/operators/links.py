@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliomill.functions import html as H
@@ -36,6 +37,31 @@ def _passes(url: Column, include: Sequence[str], exclude: Sequence[str]) -> Colu
     return ok
 
 
+#: Bases of a lane: as many bits as a row has for them.
+WORD, WORDS = 64, 8
+LANE = WORD * WORDS
+#: So many bases at most are broadcast when the bits are read.
+BROADCAST_BASES = 50_000
+_BITS = [f"w{i}" for i in range(WORDS)]
+
+
+def numbered(bases: DataFrame) -> DataFrame:
+    """``(base, lane, bit)`` of distinct bases; the bases of a lane are of one site, :data:`LANE` at most.
+
+    A site with more bases deals them into groups of about a lane by hash, so that no task numbers them all.
+    """
+    named = bases.withColumn("site", U.netloc(F.col("base")))
+    groups = named.groupBy("site").agg(F.ceil(F.count("*") / LANE).alias("groups"))
+    dealt = named.join(groups, "site").withColumn("group", F.pmod(F.xxhash64("base"), F.col("groups")))
+    nth = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("site", "group").orderBy("base")) - 1)
+    lane = F.concat_ws("\n", "site", "group", F.floor(F.col("nth") / LANE))
+    return nth.select("base", lane.alias("lane"), (F.col("nth") % LANE).alias("bit"))
+
+
+def _merged(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.groupBy("url", "lane").agg(*[F.bit_or(c).alias(c) for c in columns])
+
+
 def crawl(
     links: DataFrame,
     bases: DataFrame,
@@ -45,28 +71,42 @@ def crawl(
 ) -> DataFrame:
     """(base, url, depth): URLs reachable from each base, with their smallest depth.
 
-    One join per hop; a URL that fails a filter is neither kept nor expanded, and the include filter is
-    waived for the base.  Links are filtered and made distinct once, each hop's frontier is written to
-    the shared folder, and the loop ends early when a frontier is empty.  The distinct URLs of a frontier
-    meet the links, so a page that holds very many links is one join key with a single partner; only what
-    they lead to is then told to each base that came by.  The result has a row for every base and URL it
-    reaches, so bases that share a hub each have the hub's links: choose few bases, or a small depth.
+    A search from all bases at once.  The bases of a site are numbered, and a URL has one row for each lane of 512 of
+    them, with a bit for each base that has come by; so a hub that all bases of a site reach passes its links on
+    once for 512 of them, and bits that meet on the way are merged before they are exchanged.  Only the
+    result has a row for each base and URL.  One join per hop; a URL that fails a filter is neither kept nor
+    expanded, and the include filter is waived for the base.  Links are filtered and made distinct once, each hop's
+    frontier is written to the shared folder, and the loop ends early when a frontier is empty.  Null bases and URLs
+    are left out.
     """
-    url = F.col("url")
+    start = written(bases.select("base").distinct().where(_passes(F.col("base"), (), exclude)), "crawl-bases")
+    depth_of = F.lit(0).cast("bigint").alias("depth")
+    if max_depth < 1:
+        return start.select("base", F.col("base").alias("url"), depth_of)
     edges = links.select("src", "dst").where(_passes(F.col("dst"), include, exclude))
-    edges = edges.where(U.same_domain(F.col("dst"), F.col("src"))).distinct()
-    edges = written(edges, "crawl-edges") if max_depth > 0 else edges
-    start = bases.select(F.col("base"), F.col("base").alias("url"), F.lit(0).cast("bigint").alias("depth")).distinct()
-    frontier = visited = written(start.where(_passes(url, (), exclude)), "crawl-0")
+    edges = written(edges.where(U.same_domain(F.col("dst"), F.col("src"))).distinct(), "crawl-edges")
+    names = written(numbered(start), "crawl-lanes")
+    own = [F.when(F.floor(F.col("bit") / WORD) == i, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit") % WORD)).otherwise(0).alias(c) for i, c in enumerate(_BITS)]
+    frontier = names.select(F.col("base").alias("url"), "lane", *own)
+    found = frontier.withColumn("depth", F.lit(0).cast("bigint"))
+    seen = [F.col(c).alias(f"seen_{c}") for c in _BITS]
+    nothing = [F.lit(0).cast("bigint").alias(f"seen_{c}") for c in _BITS]
     for depth in range(1, max_depth + 1):
-        ahead = frontier.select("url").distinct().join(edges, url == F.col("src")).select("src", "dst")
-        reached = frontier.join(ahead, url == F.col("src")).select("base", F.col("dst").alias("url")).distinct()
-        new = reached.join(visited.select("base", "url"), ["base", "url"], "left_anti")
-        frontier = written(new.withColumn("depth", F.lit(depth).cast("bigint")), f"crawl-{depth}")
+        reached = frontier.join(edges, F.col("url") == F.col("src")).select(F.col("dst").alias("url"), "lane", *_BITS, *nothing)
+        before = found.select("url", "lane", *[F.lit(0).cast("bigint").alias(c) for c in _BITS], *seen)
+        both = _merged(reached.unionByName(before), [*_BITS, *[f"seen_{c}" for c in _BITS]])
+        new = both.select("url", "lane", *[F.col(c).bitwiseAND(F.bitwise_not(F.col(f"seen_{c}"))).alias(c) for c in _BITS])
+        any_bit = reduce(lambda x, y: x | y, [F.col(c) != 0 for c in _BITS])
+        frontier = written(new.where(any_bit), f"crawl-{depth}")
         if frontier.isEmpty():
             break
-        visited = visited.unionByName(frontier)
-    return visited
+        found = found.unionByName(frontier.withColumn("depth", F.lit(depth).cast("bigint")))
+    # Words to bits to bases.
+    words = found.select("url", "lane", "depth", F.posexplode(F.array(*_BITS)).alias("nth", "word")).where("word <> 0")
+    bits = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.getbit("word", i) == 1)
+    single = words.select("url", "lane", "depth", "nth", F.explode(bits).alias("at")).withColumn("bit", F.col("nth") * WORD + F.col("at"))
+    few = names.count() <= BROADCAST_BASES
+    return single.join(F.broadcast(names) if few else names, ["lane", "bit"]).select("base", "url", "depth")
 
 
 def crawl_filtered(links: DataFrame, bases: DataFrame, max_depth: int, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:

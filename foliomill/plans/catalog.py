@@ -317,6 +317,16 @@ def crawl_bfs_filtered(spark, d):
     return links.crawl_filtered(graph, bases, 2, ["/doc/"], ["/private/", "9"])
 
 
+@query
+def crawl_hub(spark, d):
+    """Every page links to one hub, and the hub to the pages that many link to."""
+    graph, bases = _crawl_input(spark, d)
+    hub = F.lit("https://g.example.org/doc/hub")
+    to_hub = graph.select("src", hub.alias("dst"))
+    from_hub = graph.where("pos % 3 = 0").select(hub.alias("src"), "dst")
+    return links.crawl(graph.select("src", "dst").unionByName(to_hub).unionByName(from_hub), bases, 3, ["/doc/"])
+
+
 @query
 def order_restore(spark, d):
     pages = derived(spark, d, "repeated_urls").select(F.col("ord").alias("page_id"), F.concat("url", F.when(F.col("ord") % 10 == 0, "x").otherwise("")).alias("url"))

@@ -176,3 +176,41 @@ def test_file_readers(spark, tmp_path):
     assert sitemaps.locations(read_sitemaps(spark, str(tmp_path / "m.xml"))).first().url == "http://a/1"
     (tmp_path / "robots.txt").write_text("Sitemap: http://a/m.xml\n", encoding="utf-8")
     assert sitemaps.robots_sitemaps(read_robots(spark, str(tmp_path / "robots.txt"))).first().sitemap_url == "http://a/m.xml"
+
+
+def test_a_hub_passes_its_links_on_once_for_many_bases(spark, monkeypatch):
+    """1,100 bases of one site and some of another; all reach a hub with many links."""
+    rng = random.Random(8)
+    other = "https://o.example.org/"
+    bases = [f"{H}b{i}" for i in range(1100)] + [f"{other}b{i}" for i in range(3)] + [f"{H}b5"]
+    edges = [(b, f"{H if b.startswith(H) else other}hub") for b in bases] + [(f"{H}hub", f"{H}x{i}") for i in range(60)] + [(f"{other}hub", f"{other}y"), (f"{H}hub", f"{other}y")]
+    edges += [(f"{H}b{rng.randrange(1100)}", f"{H}{rng.choice(['x', 'b', 'z'])}{rng.randrange(60)}") for _ in range(300)] + [(f"{H}x1", f"{H}deep"), (f"{H}x2", f"{H}deep")]
+    ahead = {}
+    for a, b in edges:
+        if a.split("/")[2] == b.split("/")[2]:
+            ahead.setdefault(a, set()).add(b)
+    want = set()
+    for base in set(bases):
+        depth, queue = {base: 0}, deque([base])
+        while queue:
+            at = queue.popleft()
+            for b in ahead.get(at, ()):
+                if b not in depth and depth[at] < 3:
+                    depth[b] = depth[at] + 1
+                    queue.append(b)
+        want |= {(base, url, n) for url, n in depth.items()}
+    sizes = {}
+    stored = links.written
+
+    def counted(df, name):
+        out = stored(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(links, "written", counted)
+    graph = spark.createDataFrame([(a, b) for a, b in edges] + [(None, H), (H, None)], "src string, dst string")
+    got = links.crawl(graph, spark.createDataFrame([(b,) for b in bases] + [(None,)], "base string"), 3).collect()
+    assert len(got) == len(want) and {(r.base, r.url, r.depth) for r in got} == want
+    # 1,100 bases and 60 links: a row per link and lane, not per link and base.
+    lanes = 1 + -(-1100 // links.LANE) + 3
+    assert sizes["crawl-2"] < lanes * 200 and sizes["crawl-3"] < lanes * 200
