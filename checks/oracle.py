@@ -590,6 +590,9 @@ ORACLE["skippable"] = f"select ord, url from {D('varied_urls')} where not {skipp
 _INCLUDE = "(contains(url, '/en/') or contains(url, 'blog.'))"
 ORACLE["include_filter"] = f"select ord, url from {D('urls')} where {_INCLUDE}"
 ORACLE["exclude_filter"] = f"select ord, url from {D('urls')} where {_INCLUDE} and not contains(url, 'utm_') and not contains(url, 'spam')"
+ORACLE["include_patterns"] = f"select ord, url from {D('urls')} where exists (select 1 from {D('url_patterns')} p where contains(url, p.pattern))"
+ORACLE["exclude_patterns"] = f"""select ord, url from {D('urls')} where not exists (
+  select 1 from (select pattern from {D('url_patterns')} union select lower(substr(title, 2, 1)) || '/1' from {DOCS}) p where contains(url, p.pattern))"""
 ORACLE["same_domain"] = f"select ord, url, not contains({netloc('url')}, 'www.') as same from {D('urls')}"
 ORACLE["min_length"] = f"select ord, n_chars from {DOCS} where {long_enough('content')}"
 ORACLE["usable_pages"] = f"select page_id, url from {D('page_results')} where not skipped and html <> ''"

@@ -253,6 +253,17 @@ def exclude_filter(spark, d):
     return filters.exclude(filters.include(derived(spark, d, "urls"), ["/en/", "blog."]), ["utm_", "spam"])
 
 
+@query
+def include_patterns(spark, d):
+    return filters.include_table(derived(spark, d, "urls"), derived(spark, d, "url_patterns"))
+
+
+@query
+def exclude_patterns(spark, d):
+    short = derived(spark, d, "docs").select(F.concat(F.lower(F.substr("title", F.lit(2), F.lit(1))), F.lit("/1")).alias("pattern"))
+    return filters.exclude_table(derived(spark, d, "urls"), derived(spark, d, "url_patterns").unionByName(short))
+
+
 @query
 def same_domain(spark, d):
     u = derived(spark, d, "urls")

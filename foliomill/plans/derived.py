@@ -147,6 +147,14 @@ EXPRESSIONS: dict[str, tuple[str, list[str]]] = {
             "event_id as pos",
         ],
     ),
+    # As many patterns as documents; most are in no URL, some in several, a few are short.
+    "url_patterns": (
+        "documents",
+        [
+            "case doc_id % 5 when 0 then '/' || lang || '/' || doc_id || '?' when 1 then lang || '/' || doc_id when 2 then '/' || (doc_id * 7) "
+            "|| source when 3 then substr(source, 1, 9) || '/none/' || doc_id else 'zz' || substr(lang, 1, 1) || '~' end as pattern",
+        ],
+    ),
     "chunk_turns": ("conversations", ["conv_id", "turn", "text"]),
 }
 

@@ -1,9 +1,12 @@
+import random
 from urllib.parse import urljoin, urlparse
 
+import pytest
 from pyspark.sql import functions as F
 
 from foliomill import fixed_values as fv
 from foliomill.functions import urls as U
+from foliomill.operators import filters
 
 
 def apply(spark, values, fn):
@@ -75,3 +78,22 @@ def test_same_domain_counts_the_port_and_the_case(spark):
 def test_slugs(spark):
     urls = ["https://docs.example.org/3/", "https://h:80/a b/ü", "/", "https://h/_x_-y"]
     assert apply(spark, urls, U.site_slug) == ["docs_example_org_3", "h_80_a_b", "default_scrape", "h_x_-y"]
+
+
+@pytest.mark.parametrize("broadcast", [8 << 20, 0])
+def test_pattern_tables(spark, monkeypatch, broadcast):
+    """Thousands of patterns, against every URL with every pattern."""
+    monkeypatch.setattr(filters, "BROADCAST_BYTES", broadcast)
+    rng = random.Random(4)
+    urls = ["https://x.org/" + "".join(rng.choice("abcé/.") for _ in range(rng.randrange(12))) for _ in range(300)] + ["", "a", None, "https://x.org/a"] * 2
+    patterns = ["".join(rng.choice("abcé/.d") for _ in range(rng.randrange(3, 8))) for _ in range(2000)] + ["éé", "xyz", None, "https://x.org/ab", "a/b/c/d/e/f/g/h/i"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "ord int, url string")
+    table = spark.createDataFrame([(p,) for p in patterns], "pattern string")
+    hit = {i for i, u in enumerate(urls) if u is not None and any(p in u for p in patterns if p is not None)}
+    plan = filters.include_table(rows, table)
+    assert sorted(r.ord for r in plan.collect()) == sorted(hit)
+    assert "NestedLoop" not in plan._jdf.queryExecution().toString() and "Cartesian" not in plan._jdf.queryExecution().toString()
+    assert sorted(r.ord for r in filters.exclude_table(rows, table).collect()) == sorted(i for i, u in enumerate(urls) if u is not None and i not in hit)
+    for odd, kept in (([], len(urls)), ([None], len(urls)), (["", "q"], len(urls) - 2), (["q"], 0), (["x", "https://x"], sum("x" in (u or "") for u in urls)), (["/."], sum("/." in (u or "") for u in urls))):
+        few = spark.createDataFrame([(p,) for p in odd], "pattern string")
+        assert filters.include_table(rows, few).count() == kept, odd
