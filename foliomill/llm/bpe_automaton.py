@@ -7,15 +7,16 @@ after u, v can come no more (Berglund, Martens and van der Merwe, "Constructing
 state is named by the token that leads to it, so the automaton is one table of bits: may token t follow state s.
 States that allow the same tokens, and tokens that the same states allow, share a row or column of it.
 
-A word is encoded from left to right.  Every prefix of it has one accepted sequence, so its last token is its state: from
-each place the arcs of the state there are followed through a tree of the tokens' symbols, and the place where an
-allowed token ends gets that token's state.  Time is linear in the word, however long.  Decoding emits the arcs' labels.
+A word is encoded from left to right: from each state the arcs are looked up in a tree of the tokens' symbols, and the
+longest is taken that the table allows.  Every prefix of a word has one accepted sequence, so a place that leads nowhere
+is left once and for all: time is linear in the word, however long.  Decoding emits the arcs' labels.
 
 The automaton is compiled once on the driver (some seconds) and broadcast: its size depends on the vocabulary alone.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 from array import array
@@ -29,8 +30,10 @@ from pyspark.sql import DataFrame  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-#: Pieces between spaces that one worker remembers, and the longest: some 150 MB at most.
-REMEMBERED = 500_000
+from foliomill.llm.tokens import _FIRST_OTHER, _MARKS, _byte_letters  # noqa: E402
+
+#: Pieces between spaces that one worker remembers, and the longest: some 100 MB at most.
+REMEMBERED = 300_000
 LONGEST = 40
 #: Bytes of ids in one batch of results.
 _BATCH = 8 << 20
@@ -77,7 +80,6 @@ class Automaton:
         self.start, self.row_of = int(row_class[0]), row_of.tolist()
         self.byte_of, self.mask_of = (column_of >> 3).tolist(), (1 << (column_of & 7)).tolist()
         self.tree: dict = {}
-        self.length_of = [0] * size
         for token in order.tolist():
             self._plant(token)
 
@@ -117,33 +119,42 @@ class Automaton:
         for symbol in symbols:
             node = node.setdefault(symbol, {})
         node[""] = token
-        self.length_of[token] = len(symbols)
 
     def encode(self, word: str) -> list[int]:
         """The ids of one pre-split word.  Symbols outside the vocabulary are an error."""
         symbols = self.symbols(word)
         n = len(symbols)
-        states, last = [-1] * n + [0], [-1] * (n + 1)
-        states[0] = self.start
         rows, byte_of, mask_of, row_of, tree = self.rows, self.byte_of, self.mask_of, self.row_of, self.tree
-        for i in range(n):
-            if states[i] < 0:
-                raise ValueError(f"a symbol of {word!r} is not in the vocabulary")
-            node, row = tree, rows[states[i]]
+        ids: list[int] = []
+        back: list[tuple] = []
+        dead: set[int] = set()
+        i, row = 0, rows[self.start]
+        while i < n:
+            arcs, node = [], tree
             for j in range(i, n):
                 node = node.get(symbols[j])
                 if node is None:
                     break
-                token = node.get("")
-                if token is not None and last[j + 1] < 0 and row[byte_of[token]] & mask_of[token]:
-                    last[j + 1], states[j + 1] = token, row_of[token]
-        ids, i = [], n
-        while i > 0:
-            if last[i] < 0:
-                raise ValueError(f"a symbol of {word!r} is not in the vocabulary")
-            ids.append(last[i])
-            i -= self.length_of[last[i]]
-        return ids[::-1]
+                if "" in node:
+                    arcs.append((node[""], j + 1))
+            while True:
+                while arcs:
+                    token, j = arcs.pop()
+                    if row[byte_of[token]] & mask_of[token] and j not in dead:
+                        break
+                else:
+                    # The accepted path does not come by this place.
+                    dead.add(i)
+                    if not ids:
+                        raise ValueError(f"a symbol of {word!r} is not in the vocabulary")
+                    ids.pop()
+                    i, row, arcs = back.pop()
+                    continue
+                break
+            ids.append(token)
+            back.append((i, row, arcs))
+            i, row = j, rows[row_of[token]]
+        return ids
 
 
 class Codec:
@@ -151,7 +162,8 @@ class Codec:
 
     The library's own normalizer and pre-tokenizer cut a text into words; the automaton encodes the words.  Words hold no
     white space and no rule of normalising looks across a space, so texts are cut at spaces and line breaks
-    first, and each worker remembers the ids of a bounded number of the pieces.
+    first, and each worker remembers the ids of a bounded number of the pieces.  A piece of plain letters, alone or before
+    one mark, is a word as it is but for its case, and does not need the library; words are remembered too.
     """
 
     def __init__(self, data: str, automaton: Automaton) -> None:
@@ -159,13 +171,36 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in json.loads(data)["added_tokens"]}
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+        self.marks = {m: self._other(m) for m in _MARKS}
 
     def words(self, text: str) -> list[str]:
         """The words of a text without special tokens, spelled in the vocabulary's letters."""
         pre = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))
         return [w for w, _ in pre if w]
 
+    def _word(self, word: str) -> bytes:
+        ids = self.plain.get(word)
+        if ids is None:
+            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", self.automaton.encode(spelled)).tobytes()
+            if len(word) <= LONGEST:
+                if len(self.plain) > REMEMBERED // 2:
+                    self.plain = {}
+                self.plain[word] = ids
+        return ids
+
     def _piece(self, piece: str) -> bytes:
+        if max(piece) < _FIRST_OTHER:
+            lower = piece.lower()
+            if lower.isalpha():
+                return self._word(lower)
+            if piece[-1] in self.marks and lower[:-1].isalpha():
+                return self._word(lower[:-1]) + self.marks[piece[-1]]
+        return self._other(piece)
+
+    def _other(self, piece: str) -> bytes:
         ids: list[int] = []
         rest = piece
         while True:
@@ -243,6 +278,7 @@ _codecs: dict[str, Codec] = {}
 def _codec(data: str, automaton: Automaton) -> Codec:
     if data not in _codecs:
         _codecs[data] = Codec(data, automaton)
+        gc.freeze()  # the tree stays; the collector need not walk through it
     return _codecs[data]
 
 
