@@ -878,6 +878,7 @@ select ord, case when {strip('content')} = '' or not contains(content[1:3000], '
 
 ORACLE["stream_ingest"] = f"""with {docs_cte('pages')}
 select ord, url, title, n_chars, content_md5 from (select *, row_number() over (partition by content_md5 order by ord) as rn from page_docs where {long_enough('content')}) where rn = 1"""
+ORACLE["stream_ingest_batches"] = ORACLE["stream_ingest"]
 ORACLE["stream_dedup"] = """with recursive kept as (
     select user_id, min(ts) as ts from events group by user_id
     union all select e.user_id, min(e.ts) from kept k join events e on e.user_id = k.user_id and e.ts > k.ts + interval 24 hour group by e.user_id, k.ts

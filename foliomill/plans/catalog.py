@@ -711,6 +711,19 @@ def stream_ingest(spark, d):
     return S.stored(spark, store).select("ord", "url", "title", "n_chars", "content_md5")
 
 
+@query
+def stream_ingest_batches(spark, d):
+    """The same pages in three batches, by their position."""
+    pages, source, store = _pages(spark, d), new_path(spark, "pages"), new_path(spark, "store")
+    checkpoint = new_path(spark, "ingest-checkpoint")
+    bounds = pages.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).first()
+    third = F.floor((F.col("page_id") - bounds["low"]) * 3 / (bounds["high"] - bounds["low"] + 1))
+    for i in range(3):
+        pages.where(third == i).write.mode("append").parquet(source)
+        S.ingest(S.page_stream(spark, source, pages.schema), store, checkpoint).awaitTermination()
+    return S.stored(spark, store).select("ord", "url", "title", "n_chars", "content_md5")
+
+
 @query
 def stream_dedup(spark, d):
     schema = table(spark, d, "events").schema

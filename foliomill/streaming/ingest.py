@@ -13,7 +13,8 @@ from foliomill.operators import dedup
 from foliomill.operators.spacing import spaced
 from foliomill.plans.corpus import documents
 from foliomill.settings import CorpusSettings
-from foliomill.storage import written
+from foliomill.storage import exists, written
+from foliomill.streaming.seen import remember, unseen
 
 CONTENT = ["ord", "url", "title", "content", "n_chars", "content_md5"]
 STORED = "ord bigint, url string, title string, content string, n_chars bigint, content_md5 string, run string, batch_id bigint"
@@ -21,8 +22,7 @@ STORED = "ord bigint, url string, title string, content string, n_chars bigint,
 
 def read_store(spark: SparkSession, store: str, schema: str) -> DataFrame:
     """All rows of a store; none if nothing has been stored yet."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(store)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    if not exists(spark, store):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(store)
 
@@ -43,6 +43,9 @@ def ingest(pages: DataFrame, store: str, checkpoint: str, settings: CorpusSettin
     A batch writes a folder of its own, named by the stream's checkpoint and the batch, and looks at all
     others in the store but later ones of its own stream.  So a batch that is repeated after a failure gives
     the same rows, and streams with different checkpoints may fill one store, one after the other.
+
+    Stored documents are not read: hashes and their filters lie beside them, see :mod:`foliomill.streaming.seen`, and a
+    batch opens only the hashes that may be among its own.  :func:`index_store` makes them for a store that has none.
     """
     run = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
 
@@ -50,9 +53,10 @@ def ingest(pages: DataFrame, store: str, checkpoint: str, settings: CorpusSettin
         docs = written(documents(batch, settings.selector), "ingest-documents")
         ok = (F.col("n_chars") > 0) & (F.col("n_stripped") >= settings.min_length)
         fresh = dedup.content_dedup(docs.where(ok)).select(*CONTENT)
-        known = stored(batch.sparkSession, store).where((F.col("run") != run) | (F.col("batch_id") < batch_id))
-        fresh = fresh.join(known.select("content_md5"), "content_md5", "left_anti")
+        earlier = (F.col("run") != run) | (F.col("batch_id") < batch_id)
+        fresh = written(unseen(fresh, store.rstrip("/"), earlier), "ingest-fresh")
         fresh.write.mode("overwrite").parquet(f"{store}/run={run}/batch_id={batch_id}")
+        remember(fresh.select(F.col("content_md5").alias("hash")), store.rstrip("/"), f"run={run}/batch_id={batch_id}")
 
     return (
         pages.writeStream.foreachBatch(one_batch)
@@ -62,6 +66,11 @@ def ingest(pages: DataFrame, store: str, checkpoint: str, settings: CorpusSettin
     )
 
 
+def index_store(spark: SparkSession, store: str) -> None:
+    """Hashes and filters for a store of documents that was written without them."""
+    remember(stored(spark, store).select(F.col("content_md5").alias("hash")).distinct(), store.rstrip("/"), "run=indexed/batch_id=0")
+
+
 FETCH = "url string, fetched_at timestamp, run string, batch_id bigint"
 #: What batches say of fetches: kept from now on (1), or no longer (-1); and the fetches they have seen.
 _CHANGES = "url string, t bigint, fetched_at timestamp, change int, run string, batch_id bigint, day bigint"
