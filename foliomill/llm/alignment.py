@@ -10,7 +10,9 @@ documents by a digest of the text; texts that over one in 256 documents hold (so
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 from collections.abc import Iterator
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -20,12 +22,15 @@ import pyarrow as pa  # noqa: E402
 from pyspark import TaskContext  # noqa: E402
 from pyspark.sql import DataFrame, Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
+from tokenizers import Tokenizer  # noqa: E402
 
-from foliomill.llm.tokens import Encoder, _byte_letters  # noqa: E402
+from foliomill.llm.tokens import _CUT, _byte_letters  # noqa: E402
 from foliomill.storage import written  # noqa: E402
 
 #: Characters aligned in one go, and in one part.
 BLOCK, PART = 1 << 20, 8 << 20
+#: Pieces that one worker remembers, and the longest: some 150 MB at most.
+REMEMBERED, LONGEST = 300_000, 40
 #: A text that more than one in so many documents hold is joined by broadcast.
 HOT_SHARE = 256
 
@@ -42,85 +47,146 @@ def _table(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.array([len(e) for e in entries], np.int64)
 
 
+#: Tokens aligned: their numbers on both sides, of groups, the groups as text, and the linked pairs, a number for each link.
+Aligned = tuple[int, int, int, str, bytes]
+
+
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in one array, and how many each text has."""
+    n = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(n.sum())), n
+
+
 class Tokenizers:
-    """Two tokenizers: ids of texts, and the bytes that each id stands for."""
+    """Two tokenizers: ids of texts, and the bytes that each id stands for.
+
+    Neither has a token across a single space between other characters, so what lies between such spaces is encoded and
+    aligned on its own, and the alignment of a text is theirs put together.  A bounded number of these pieces is
+    remembered.
+    """
 
     def __init__(self, byte_path: str, piece_path: str) -> None:
         import sentencepiece
 
-        self.encoder = Encoder(byte_path)
+        self.first = Tokenizer.from_file(byte_path)
         # The strings of special tokens inside texts are plain text.
-        self.encoder.tokenizer.encode_special_tokens = True
-        self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
+        self.first.encode_special_tokens = True
+        self.second = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         byte_of = {letter: byte for byte, letter in _byte_letters().items()}
-        vocabulary = self.encoder.tokenizer.get_vocab(with_added_tokens=False)
+        vocabulary = self.first.get_vocab(with_added_tokens=False)
         spelled = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             if all(c in byte_of for c in token):
                 spelled[i] = bytes(byte_of[c] for c in token)
         self.bytes_a, self.width_a = _table(spelled)
-        n = self.pieces.get_piece_size()
-        spelled = [self.pieces.id_to_piece(i) for i in range(n)]
+        n = self.second.get_piece_size()
+        names = [self.second.id_to_piece(i) for i in range(n)]
         self.bytes_b, self.width_b = _table(
-            [bytes([int(p[3:5], 16)]) if self.pieces.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(spelled)]
+            [bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
         )
+        self.cuts = not any(re.search("[^▁]▁", p) for p in names)
         # An id and what comes after it: the next of its side, or the end of its side of a group.
         self.shown = np.array([f"{i}{c}" for i in range(len(self.bytes_a)) for c in ",|"] + [f"{i}{c}" for i in range(n) for c in ",;"], object)
+        self.known: dict[str, Aligned] = {}
+        self.older: dict[str, Aligned] = {}
+
+    def pieces(self, text: str) -> list[str]:
+        """A text cut at the spaces that no token crosses; each piece stands for a space and itself."""
+        if not self.cuts:
+            return [text]
+        first, *others = _CUT.split(f" {text}")
+        return [first[1:], *others]
 
-    def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """The ids of both, or nothing where the bytes of either are not those of the text after a space."""
-        whole = f" {text}".encode()
-        a = np.frombuffer(self.encoder.ids(f" {text}"), "<u4").astype(np.int64)
-        if a.max(initial=0) >= len(self.bytes_a) or b"".join(self.bytes_a[a].tolist()) != whole:
-            return None
-        b = np.array(self.pieces.encode(text), np.int64)
-        return (a, b) if b"".join(self.bytes_b[b].tolist()) == whole else None
+    def _spelled(self, ids: list[list[int]], entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
+        flat, n = _flat(ids)
+        return flat, n, b"".join(entries[flat].tolist())
 
-    def align(self, texts: list[str]) -> list[dict]:
-        """Of each text the numbers of tokens, groups and links, the groups as text, and the distinct linked pairs.
+    def align(self, pieces: list[str]) -> list[Aligned | None]:
+        """Each piece aligned; nothing where the bytes of either side are not those of the piece after a space.
 
-        Ends of tokens are byte offsets over all texts put together.  A stretch between two neighbouring ends, of either
+        Ends of tokens are byte offsets over all pieces put together.  A stretch between two neighbouring ends, of either
         side, lies in one token of each: the links are these stretches, and a group ends where both have an end.
         """
-        ids = [self.ids(t) for t in texts]
-        found = [x for x in ids if x is not None]
-        none = {"n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups": None, "a": [], "b": [], "links": []}
-        if not found:
-            return [none for _ in texts]
-        n = len(found)
-        a, b = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-        n_a, n_b = np.array([len(x) for x, _ in found]), np.array([len(x) for _, x in found])
+        wholes = [f" {p}" for p in pieces]
+        ids_a = [e.ids for e in self.first.encode_batch_fast(wholes, add_special_tokens=False)]
+        ids_b = self.second.encode(pieces, num_threads=1)
+        good = [True] * len(pieces)
+        (a, n_a, said_a), (b, n_b, said_b) = self._spelled(ids_a, self.bytes_a), self._spelled(ids_b, self.bytes_b)
+        if not said_a == said_b == "".join(wholes).encode():
+            for i, whole in enumerate(wholes):
+                data = whole.encode()
+                good[i] = self._spelled(ids_a[i : i + 1], self.bytes_a)[2] == data == self._spelled(ids_b[i : i + 1], self.bytes_b)[2]
+            (a, n_a), (b, n_b) = (_flat([x for x, g in zip(ids, good, strict=True) if g]) for ids in (ids_a, ids_b))
+        if not len(a):
+            return [None] * len(pieces)
         ends_a, ends_b = np.cumsum(self.width_a[a]), np.cumsum(self.width_b[b])
-        text_ends = ends_a[np.cumsum(n_a) - 1]
-        ends = np.union1d(ends_a, ends_b)
-        in_a, in_b, text_of = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends), np.searchsorted(text_ends, ends)
-        shared = ends[(ends_a[in_a] == ends) & (ends_b[in_b] == ends)]
-        n_groups = np.bincount(np.searchsorted(text_ends, shared), minlength=n)
-        n_links = np.bincount(text_of, minlength=n)
+        is_end = np.zeros((2, int(ends_a[-1]) + 1), bool)
+        is_end[0, ends_a] = is_end[1, ends_b] = True
+        ends = np.flatnonzero(is_end[0] | is_end[1])
+        # How many tokens end before each end is which token it lies in.
+        in_a, in_b = (np.cumsum(is_end[side])[ends] - is_end[side, ends] for side in (0, 1))
+        both = is_end[0, ends] & is_end[1, ends]
+        last_a, last_b = is_end[1, ends_a], is_end[0, ends_b]
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        # Each group is its tokens of one side and then those of the other.
+        shown = np.empty(len(a) + len(b), object)
+        a_until, b_until = np.cumsum(np.bincount(group_a)), np.cumsum(np.bincount(group_b))
+        b_before = np.append(0, b_until)[:-1]
+        shown[np.arange(len(a)) + b_before[group_a]] = self.shown[2 * a + last_a]
+        shown[np.arange(len(b)) + a_until[group_b]] = self.shown[2 * len(self.bytes_a) + 2 * b + last_b]
 
+        shown = shown.tolist()
+        pairs = (a[in_a] * len(self.bytes_b) + b[in_b]).tobytes()
+        text_ends = ends_a[np.cumsum(n_a) - 1]
+        links_until = np.searchsorted(ends, text_ends, "right")
+        groups_until = np.append(0, np.cumsum(both))[links_until]
+        rows, token, link, group = [], 0, 0, 0
+        for x, y, links, groups in zip(n_a.tolist(), n_b.tolist(), links_until.tolist(), groups_until.tolist(), strict=True):
+            rows.append((x, y, groups - group, "".join(shown[token : token + x + y])[:-1], pairs[8 * link : 8 * links]))
+            token, link, group = token + x + y, links, groups
+        found = iter(rows)
+        return [next(found) if g else None for g in good]
+
+    def texts(self, texts: list[str]) -> list[list[Aligned] | None]:
+        """The aligned pieces of each text; nothing for texts that one side does not keep byte by byte."""
+        cut = [self.pieces(t) for t in texts]
+        new = [p for p in dict.fromkeys(p for pieces in cut for p in pieces) if p not in self.known]
+        found: dict[str, Aligned | None] = {p: self.older[p] for p in new if p in self.older}
+        learnt = [p for p in new if p not in found]
+        found |= zip(learnt, self.align(learnt), strict=True)
+        lost = {p for p, x in found.items() if x is None}
+        out: list[list[Aligned] | None] = []
+        for text, pieces in zip(texts, cut, strict=True):
+            rows = [self.known.get(p) or found[p] for p in pieces]
+            if lost and None in rows:
+                # The pieces of such a text could make up for each other: judge it as a whole.
+                whole = self.align([text])[0]
+                rows = None if whole is None else [whole]
+            out.append(rows)
+        if len(self.known) + len(found) > REMEMBERED // 2:
+            self.older, self.known = self.known, {}
+        self.known.update((p, x) for p, x in found.items() if x is not None and len(p) <= LONGEST)
+        return out
+
+    def measured(self, texts: list[str]) -> list[dict]:
+        """Of each text the numbers of tokens, groups and links, the groups as text, and the distinct linked pairs."""
+        found = self.texts(texts)
+        none = {"n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups": None, "a": [], "b": [], "links": []}
+        data = [b"" if rows is None else b"".join([x[4] for x in rows]) for rows in found]
+        n_links = np.array([len(d) // 8 for d in data])
         wide = len(self.bytes_b)
         span = len(self.bytes_a) * wide
-        pairs, times = np.unique(text_of * span + a[in_a] * wide + b[in_b], return_counts=True)
-        cut = np.searchsorted(pairs, np.arange(n + 1) * span)
-        pair_a, pair_b = (pairs % span // wide).astype(np.int32), (pairs % wide).astype(np.int32)
-
-        # Each group is its tokens of one side and then those of the other.
-        group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
-        shown = np.empty(len(a) + len(b), object)
-        last_a, last_b = np.append(group_a[1:] != group_a[:-1], True), np.append(group_b[1:] != group_b[:-1], True)
-        shown[np.arange(len(a)) + np.searchsorted(group_b, group_a, "left")] = self.shown[2 * a + last_a]
-        shown[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = self.shown[2 * len(self.bytes_a) + 2 * b + last_b]
-        at = np.concatenate(([0], np.cumsum(n_a + n_b)))
-
-        rows = iter(
-            {
-                "n_a": int(n_a[i]), "n_b": int(n_b[i]), "n_groups": int(n_groups[i]), "n_links": int(n_links[i]),
-                "groups": "".join(shown[at[i] : at[i + 1]].tolist())[:-1],
-                "a": pair_a[cut[i] : cut[i + 1]], "b": pair_b[cut[i] : cut[i + 1]], "links": times[cut[i] : cut[i + 1]].astype(np.int32),
+        keys, times = np.unique(np.repeat(np.arange(len(texts)) * span, n_links) + np.frombuffer(b"".join(data), np.int64), return_counts=True)
+        cut = np.searchsorted(keys, np.arange(len(texts) + 1) * span)
+        a, b, links = (keys % span // wide).astype(np.int32), (keys % wide).astype(np.int32), times.astype(np.int32)
+        return [
+            none if rows is None else {
+                "n_a": sum([x[0] for x in rows]), "n_b": sum([x[1] for x in rows]), "n_groups": sum([x[2] for x in rows]), "n_links": int(n_links[i]),
+                "groups": ";".join([x[3] for x in rows]),
+                "a": a[cut[i] : cut[i + 1]], "b": b[cut[i] : cut[i + 1]], "links": links[cut[i] : cut[i + 1]],
             }
-            for i in range(n)
-        )
-        return [none if x is None else next(rows) for x in ids]
+            for i, rows in enumerate(found)
+        ]
 
 
 _loaded: dict[tuple[str, str], Tokenizers] = {}
@@ -159,7 +225,7 @@ def aligned(texts: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
                 size += len(text.as_py())
                 if size >= BLOCK or i + 1 == batch.num_rows:
                     block = batch.slice(begin, i + 1 - begin)
-                    found = both.align(block.column(2).to_pylist())
+                    found = both.measured(block.column(2).to_pylist())
                     columns = [pa.array([task << 32 | seen // PART] * len(found), pa.int64()), *block.columns[:2]]
                     columns += [pa.array([r[k] for r in found], pa.int64()) for k in ("n_a", "n_b", "n_groups", "n_links")]
                     columns.append(pa.array([r["groups"] for r in found], pa.large_string()))
