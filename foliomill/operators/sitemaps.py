@@ -57,39 +57,81 @@ def children(sitemaps: DataFrame) -> DataFrame:
     return with_loc.select("parent", F.col("pos").cast("bigint").alias("pos"), child.alias("child"))
 
 
+def _start(root: str) -> Column:
+    """The node where reading a root begins; the root itself may be read once more, as an entry."""
+    return F.concat(F.lit("\n"), F.col(root))
+
+
+def _hung(edges: DataFrame, joints: DataFrame) -> DataFrame:
+    """``(node, up, path)``: nodes with a single parent, each with the nearest joint above it and the way from there.
+
+    Ways are put together from both ends, so they double with each round, and a round writes only the nodes that
+    have not met their joint yet.
+    """
+    single = edges.join(joints, F.col("child") == F.col("joint"), "left_anti")
+    ways = single.select(F.col("child").alias("node"), F.col("parent").alias("up"), F.array("pos").alias("path"))
+
+    def parted(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        met = rows.join(joints.withColumn("met", F.lit(True)), F.col("up") == F.col("joint"), "left")
+        stored = written(met.select("node", "up", "path", F.coalesce("met", F.lit(False)).alias("met")), name)
+        return stored.where("met").drop("met"), stored.where("not met").drop("met")
+
+    done, open_ways = parted(ways, "sitemap-ways")
+    for _ in range(ways.count().bit_length()):
+        if open_ways.isEmpty():
+            break
+        above = done.unionByName(open_ways).select(F.col("node").alias("up"), F.col("up").alias("higher"), F.col("path").alias("before"))
+        longer = open_ways.join(above, "up").select("node", F.col("higher").alias("up"), F.concat("before", "path").alias("path"))
+        more, open_ways = parted(longer, "sitemap-ways")
+        done = done.unionByName(more)
+    return done  # what is left are rings that nothing leads to
+
+
 def sitemap_tree(roots: DataFrame, sitemaps: DataFrame) -> DataFrame:
     """(root, sitemap_url, path): every sitemap below each root, at its first place in reading order.
 
-    Depth-first reading with a set of seen sitemaps visits each of them at its smallest simple path of
-    entry positions.  The loop relaxes those paths over the index entries until none gets smaller; on a
-    tree that is one round per level.  A child that is not in the table contributes nothing.
+    Depth-first reading with a set of seen sitemaps visits each of them at its smallest simple path of entry
+    positions.  A sitemap that only one index names has its path from there, so chains of these are put
+    together first, in a logarithmic number of rounds.  Between the others, the joints, the smallest paths
+    are relaxed: a round joins and writes only what the round before has made smaller; in a tree there is nothing
+    to relax.  A child that is not in the table contributes nothing.
     """
-    edges = written(children(sitemaps), "sitemap-edges")
-    best = roots.select("root").distinct().join(edges, F.col("root") == F.col("parent")).select(
-        "root", F.col("child").alias("sitemap_url"), F.array("pos").alias("path"), F.array("child").alias("trail"), F.lit(1).alias("fresh")
-    )
-    place = F.struct("path", "fresh", "trail")
-    best = best.groupBy("root", "sitemap_url").agg(F.min(place).alias("p")).select("root", "sitemap_url", "p.*")
-    best = written(best, "sitemap-tree")
+    named = children(sitemaps).groupBy("parent", "child").agg(F.min("pos").alias("pos"))
+    named = written(named, "sitemap-edges")
+    starts = written(roots.select("root").where("root is not null").distinct(), "sitemap-roots")
+    # A root that no index names is only read from its start.
+    never = starts.join(named, F.col("root") == F.col("child"), "left_anti").select(F.col("root").alias("parent"))
+    begun = starts.join(named, F.col("root") == F.col("parent")).select(_start("root").alias("parent"), "child", "pos")
+    edges = written(named.join(never, "parent", "left_anti").unionByName(begun), "sitemap-edges")
+    several = edges.groupBy("child").agg(F.count("*").alias("n")).where("n > 1").select(F.col("child").alias("joint"))
+    joints = written(several.unionByName(starts.select(_start("root").alias("joint"))), "sitemap-joints")
+    hung = _hung(edges, joints)
+
+    into = edges.join(joints, F.col("child") == F.col("joint"), "left_semi")
+    direct = into.join(joints, F.col("parent") == F.col("joint"), "left_semi").select("parent", "child", F.array("pos").alias("path"))
+    through = into.join(hung, F.col("parent") == F.col("node")).select(F.col("up").alias("parent"), "child", F.concat("path", F.array("pos")).alias("path"))
+    between = direct.unionByName(through).groupBy("parent", "child").agg(F.min("path").alias("step"))
+    between = written(between, "sitemap-between")
+
+    none = F.array().cast("array<bigint>")
+    changed = written(starts.select("root", _start("root").alias("node"), none.alias("path"), F.array().cast("array<string>").alias("trail")), "sitemap-tree")
+    places = changed
     while True:
-        changed = best.where(F.col("fresh") == 1)
+        ahead = changed.join(between, F.col("node") == F.col("parent")).where(~F.array_contains("trail", F.col("child")))
+        ahead = ahead.select("root", F.col("child").alias("node"), F.concat("path", "step").alias("path"), F.concat("trail", F.array("child")).alias("trail"))
+        ahead = ahead.groupBy("root", "node").agg(F.min(F.struct("path", "trail")).alias("p")).select("root", "node", "p.*")
+        best = places.groupBy("root", "node").agg(F.min("path").alias("best"))
+        smaller = ahead.join(best, ["root", "node"], "left").where(F.col("best").isNull() | (F.col("path") < F.col("best"))).drop("best")
+        changed = written(smaller, "sitemap-tree")
         if changed.isEmpty():
-            return best.select("root", "sitemap_url", "path").join(
-                sitemaps.select("sitemap_url").distinct(), "sitemap_url", "left_semi"
-            )
-        longer = changed.join(edges, F.col("sitemap_url") == F.col("parent")).where(
-            ~F.array_contains("trail", F.col("child"))
-        )
-        longer = longer.select(
-            "root",
-            F.col("child").alias("sitemap_url"),
-            F.concat("path", F.array("pos")).alias("path"),
-            F.concat("trail", F.array("child")).alias("trail"),
-            F.lit(1).alias("fresh"),
-        )
-        merged = best.withColumn("fresh", F.lit(0)).unionByName(longer)
-        best = merged.groupBy("root", "sitemap_url").agg(F.min(place).alias("p")).select("root", "sitemap_url", "p.*")
-        best = written(best, "sitemap-tree")
+            break
+        places = places.unionByName(changed)
+    best = written(places.groupBy("root", "node").agg(F.min("path").alias("path")), "sitemap-places")
+    below = best.withColumnRenamed("path", "before").withColumnRenamed("node", "up").join(hung, "up")
+    found = best.unionByName(below.select("root", "node", F.concat("before", "path").alias("path")))
+    return found.withColumnRenamed("node", "sitemap_url").join(sitemaps.select("sitemap_url").distinct(), "sitemap_url", "left_semi").select(
+        "root", "sitemap_url", "path"
+    )
 
 
 def tree_urls(roots: DataFrame, sitemaps: DataFrame) -> DataFrame:

@@ -109,6 +109,33 @@ def test_trees_are_read_depth_first(spark):
     assert sitemaps.tree_urls(spark.createDataFrame([("r",)], "root string"), lone).count() == 2
 
 
+def test_a_deep_tree_takes_few_rounds_and_writes_what_changed(spark, monkeypatch):
+    depth = 1000
+    files = {"r": sm("x", "0")} | {str(i): sm(*["leaf"] * (i == 700), str(i + 1)) for i in range(depth)} | {str(depth): us("http://x/1"), "leaf": us("http://x/2"), "x": us()}
+    files |= {"ring": sm("ring2"), "ring2": sm("ring"), "r2": sm("500", "r2")}
+    sizes = []
+    stored = sitemaps.written
+
+    def counted(df, name):
+        out = stored(df, name)
+        sizes.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(sitemaps, "written", counted)
+    df = spark.createDataFrame(list(files.items()), "sitemap_url string, xml string")
+    got = sitemaps.sitemap_tree(spark.createDataFrame([("r",)], "root string"), df).collect()
+    paths = {r.sitemap_url: list(r.path) for r in got}
+    assert len(got) == len(paths) == depth + 3
+    assert paths[str(depth)] == [1] + [0] * 700 + [1] + [0] * 299 and paths["leaf"] == [1] + [0] * 700 + [0] and paths["x"] == [0]
+    rounds = [n for name, n in sizes if name == "sitemap-ways"]
+    assert len(rounds) <= 12 and sum(rounds) <= 12 * depth and [n for name, n in sizes if name == "sitemap-tree"] == [1, 1, 0]
+    sizes.clear()
+    two = sitemaps.sitemap_tree(spark.createDataFrame([("r",), ("r2",)], "root string"), df).collect()
+    assert sorted(r.sitemap_url for r in two if r.root == "r2") == sorted(["r2", "leaf", *map(str, range(500, depth + 1))])
+    # A joint or two: their rows alone are written again.
+    assert sum(n for name, n in sizes if name == "sitemap-tree") < 20
+
+
 def test_robots(spark):
     txt = "User-agent: *\nSitemap: http://a/1 \nSITEMAP:http://a/2\r\n  sitemap: http://no\nsitemap:   \nxsitemap: http://no\rsitemap:\thttp://a/3"
     df = spark.createDataFrame([("s", 200, txt), ("t", 404, txt)], "site string, status int, txt string")
