@@ -491,6 +491,7 @@ TREE = """
 
 _PATH = "coalesce(array_to_string(path, '.'), '')"
 
+ORACLE["sitemap_entries"] = f"with {_sitemap_files()}, {LOCATIONS} select distinct url from locs"
 ORACLE["sitemap_urls"] = f"with {_sitemap_files()}, {LOCATIONS} select sitemap_url, pos, url from locs"
 
 ORACLE["sitemap_tree"] = f"""

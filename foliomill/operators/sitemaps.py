@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliomill import fixed_values as fv
@@ -45,6 +45,54 @@ def locations(sitemaps: DataFrame) -> DataFrame:
     return first_positions(kept, ["sitemap_url", "url"], "pos").select("sitemap_url", "pos", "url")
 
 
+_CDATA = r"(?s)<!\[CDATA\[.*?\]\]>"
+
+
+def placed_entries(entries: DataFrame) -> DataFrame:
+    """(sitemap_url, pos, entry, locs) of :func:`foliomill.sources.readers.read_entries`, in the order of each file.
+
+    ``entry`` is without comments, also those that begin in an earlier entry: after any piece of text a comment is open
+    if its last mark opens one, so a task needs only the last mark before its block.  ``locs`` are the contents of its
+    locations, and ``pos`` counts those before it.  Windows see one block, or one row per block of a file.
+    """
+    stored = written(entries, "sitemap-entries")
+    bare = F.regexp_replace("entry", _CDATA, "")
+    # How far the last mark of each kind is from the end; the nearer one counts.
+    opening, closing = (F.locate(mark, F.reverse(bare)) for mark in ("--!<", ">--"))
+    mark = F.when((opening > 0) & ((closing == 0) | (opening < closing)), True).when(closing > 0, False)
+    marked = stored.withColumn("mark", mark)
+    in_block = Window.partitionBy("sitemap_url", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    in_file = Window.partitionBy("sitemap_url").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    last = marked.groupBy("sitemap_url", "block").agg(F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("id"))).alias("mark"))
+    begun = last.select("sitemap_url", "block", F.last("mark", ignorenulls=True).over(in_file).alias("begun"))
+    state = marked.withColumn("state", F.last("mark", ignorenulls=True).over(in_block)).join(begun, ["sitemap_url", "block"])
+    inside = F.coalesce("state", "begun", F.lit(False))
+    after = F.when(F.contains("entry", F.lit("-->")), F.substr("entry", F.locate("-->", F.col("entry")) + 3)).otherwise("")
+    text = F.regexp_replace(without_comments(F.when(inside, after).otherwise(F.col("entry"))), r"(?s)(<!\[CDATA\[.*?\]\]>)|<!--.*", "$1")
+    clean = state.select("sitemap_url", "block", "id", text.alias("entry"))
+    clean = written(clean.withColumn("locs", F.regexp_extract_all("entry", F.lit(LOC_PATTERN), F.lit(1))), "sitemap-clean")
+    sizes = clean.groupBy("sitemap_url", "block").agg(F.sum(F.size("locs")).alias("n"))
+    first = sizes.select("sitemap_url", "block", F.coalesce(F.sum("n").over(in_file), F.lit(0)).alias("first"))
+    counted = clean.withColumn("before", F.coalesce(F.sum(F.size("locs")).over(in_block), F.lit(0))).join(first, ["sitemap_url", "block"])
+    return counted.select("sitemap_url", (F.col("first") + F.col("before")).alias("pos"), "entry", "locs")
+
+
+def entry_locations(placed: DataFrame) -> DataFrame:
+    """(sitemap_url, pos, url): what :func:`locations` gives, of files read entry by entry."""
+    index = placed.where(is_index(F.col("entry"))).select("sitemap_url").distinct()
+    found = placed.join(index, "sitemap_url", "left_anti").select("sitemap_url", "pos", F.posexplode("locs").alias("nth", "inner"))
+    urls = found.select("sitemap_url", (F.col("pos") + F.col("nth")).alias("pos"), location_text(F.col("inner")).alias("url"))
+    kept = urls.where((F.col("url") != "") & ~U.is_skippable(F.col("url")))
+    return first_positions(kept, ["sitemap_url", "url"], "pos").select("sitemap_url", "pos", "url")
+
+
+def malformed_entries(placed: DataFrame, tag: str = "url") -> DataFrame:
+    """(sitemap_url, reason, n): entries that do not open just once, or have no location.  The end of a file is none."""
+    opened = F.size(F.regexp_extract_all("entry", F.lit(rf"<{tag}[\s>/]"), F.lit(0)))
+    reason = F.when(opened > 1, "not closed").when((opened == 1) & (F.size("locs") == 0), "no location").when((opened == 0) & (F.size("locs") > 0), "not opened")
+    return placed.select("sitemap_url", reason.alias("reason")).where("reason is not null").groupBy("sitemap_url", "reason").agg(F.count("*").alias("n"))
+
+
 def children(sitemaps: DataFrame) -> DataFrame:
     """(parent, pos, child): the first location of each entry of a sitemap index."""
     sitemaps = sitemaps.select("sitemap_url", without_comments(F.col("xml")).alias("xml"))

@@ -23,7 +23,7 @@ from foliomill.plans import corpus as P
 from foliomill.plans.derived import derived, table
 from foliomill.settings import CorpusSettings
 from foliomill.sinks.parts import write_parts, write_skip_log
-from foliomill.sources.readers import page_results, read_pages, url_list
+from foliomill.sources.readers import page_results, read_entries, read_pages, url_list
 from foliomill.storage import new_path, written
 from foliomill.streaming import ingest as S
 
@@ -124,6 +124,15 @@ def sitemap_urls(spark, d):
     return sitemaps.locations(sitemap_files(spark, d))
 
 
+@query
+def sitemap_entries(spark, d):
+    """Plain sitemaps put together in large files, read entry by entry."""
+    path = new_path(spark, "sitemap-text")
+    sitemap_files(spark, d).where(~sitemaps.is_index(sitemaps.without_comments(F.col("xml")))).select("xml").write.text(path)
+    found = sitemaps.entry_locations(sitemaps.placed_entries(read_entries(spark, path)))
+    return found.select("url").distinct()
+
+
 @query
 def sitemap_tree(spark, d):
     files = _sitemap_files(spark, d)

@@ -44,6 +44,19 @@ def read_sitemaps(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_entries(spark: SparkSession, path: str, tag: str = "url") -> DataFrame:
+    """Sitemap files of any size, cut after each closing tag: (sitemap_url, block, id, entry).
+
+    Files are split, so a large one is read by many tasks.  ``block`` is where a split of the file begins, and ``id``
+    orders the entries of a block.
+    """
+    rows = spark.read.text(path, lineSep=f"</{tag}>")
+    return rows.select(
+        F.col("_metadata.file_path").alias("sitemap_url"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"), F.col("value").alias("entry"),
+    )
+
+
 def read_robots(spark: SparkSession, path: str) -> DataFrame:
     """Whole robots files as (site, status, txt); the file's location stands for its site."""
     return spark.read.text(path, wholetext=True).select(

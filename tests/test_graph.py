@@ -241,3 +241,36 @@ def test_a_hub_passes_its_links_on_once_for_many_bases(spark, monkeypatch):
     # 1,100 bases and 60 links: a row per link and lane, not per link and base.
     lanes = 1 + -(-1100 // links.LANE) + 3
     assert sizes["crawl-2"] < lanes * 200 and sizes["crawl-3"] < lanes * 200
+
+
+def test_large_sitemaps_are_read_in_pieces(spark, tmp_path):
+    """The same as whole files, with comments over several entries and files that are cut."""
+    from foliomill.sources.readers import read_entries
+
+    rng = random.Random(2)
+    head = '<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\n<!-- <url><loc>http://no/1</loc></url> -->'
+    entries = []
+    for i in range(3000):
+        entries.append(f"<url>\n <loc> http://a/p{rng.randrange(2000)}{rng.choice(['', '.pdf', '?x=1&amp;y=2'])} </loc><lastmod>2020</lastmod></url>\n")
+        if i % 300 == 50:
+            entries.append("<!-- a comment <url><loc>http://no/2</loc></url>\n" + "".join(f"<url><loc>http://no/{k}</loc></url>" for k in range(40)) + "-->")
+        if i % 300 == 150:
+            entries.append("<url><loc><![CDATA[http://a/?c&d <!-- e]]></loc></url><url><lastmod>1</lastmod></url><loc>http://a/alone</loc></url>")
+    (tmp_path / "a.xml").write_text(head + "".join(entries) + "</urlset>")
+    (tmp_path / "b.xml").write_text(head + "".join(entries[:500]) + "<url><loc>http://a/z</loc></url><url><loc>http://cut")
+    (tmp_path / "c.xml").write_text(sm("http://a/child") + "<url><loc>http://a/ignored</loc></url>")
+    (tmp_path / "d.xml").write_text("")
+    (tmp_path / "e.xml").write_text("<urlset><url><loc>http://a/1</loc></url><!-- open <url><loc>http://no</loc></url><url><loc>http://no</loc></url>")
+    whole = sitemaps.locations(read_sitemaps(spark, str(tmp_path / "*.xml"))).collect()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        cut = read_entries(spark, str(tmp_path / "*.xml"))
+        assert cut.where(F.endswith("sitemap_url", F.lit("a.xml"))).select("block").distinct().count() > 5
+        placed = sitemaps.placed_entries(cut)
+        got = sitemaps.entry_locations(placed).collect()
+        assert sorted(r.url for r in got if "e.xml" in r.sitemap_url) == ["http://a/1"]
+        assert sorted(map(tuple, (r for r in got if "e.xml" not in r.sitemap_url))) == sorted(map(tuple, (r for r in whole if "e.xml" not in r.sitemap_url)))
+        bad = {(r.sitemap_url[-5:], r.reason): r.n for r in sitemaps.malformed_entries(placed).collect()}
+        assert bad[("a.xml", "no location")] == 10 and bad[("a.xml", "not opened")] == 10 and bad[("b.xml", "no location")] == 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
