@@ -37,21 +37,26 @@ def quoted(text: str) -> str:
 ENTITY_TEXT = {**{n: chr(c) for n, c in sorted(name2codepoint.items())}, "apos": "'"}
 ENTITY_PIECES = r"&#[xX][0-9a-fA-F]{1,6};?|&#[0-9]{1,7};?|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&"
 
-_HEX, _DECIMAL, _NAME = r"^&#[xX]([0-9a-fA-F]+)", r"^&#([0-9]+)", r"^&([A-Za-z0-9]+);$"
-_CODE = (
-    f"cast(case when p rlike {quoted(_HEX)} then conv(regexp_extract(p, {quoted(_HEX)}, 1), 16, 10) "
-    f"else regexp_extract(p, {quoted(_DECIMAL)}, 1) end as int)"
-)
-# The names are two literals that planning folds into one constant map.
+def _names_by_letter() -> str:
+    """An array of maps, one for each first letter from A to z, that planning folds into a constant."""
+    maps = []
+    for letter in map(chr, range(ord("A"), ord("z") + 1)):
+        pairs = [f"{quoted(n)}, {quoted(t)}" for n, t in ENTITY_TEXT.items() if n[0] == letter]
+        maps.append(f"map({', '.join(pairs)})" if pairs else "cast(map() as map<string, string>)")
+    return f"array({', '.join(maps)})"
+
+
+# What a piece is follows from its second character; a number is read once.  The empty piece cannot be.
 _DECODE_PIECE = f"""
 p -> case
-  when not startswith(p, '&') or p = '&#' then p
-  when startswith(p, '&#') then case
-    when {_CODE} between 1 and 55295 or {_CODE} between 57344 and 1114111 then decode(unhex(lpad(hex({_CODE}), 8, '0')), 'UTF-32')
-    else '' end
-  else coalesce(element_at(
-    map_from_arrays(split({quoted(" ".join(ENTITY_TEXT))}, ' '), split({quoted("|".join(ENTITY_TEXT.values()))}, '[|]')),
-    regexp_extract(p, {quoted(_NAME)}, 1)), p)
+  when not startswith(p, '&') or length(p) = 1 then p
+  when substr(p, 2, 1) = '#' then element_at(transform(
+    array(cast(case when substr(p, 3, 1) in ('x', 'X') then conv(rtrim(';', substr(p, 4)), 16, 10) else rtrim(';', substr(p, 3)) end as int)),
+    c -> case
+      when c between 1 and 255 then chr(c)
+      when c between 256 and 55295 or c between 57344 and 1114111 then decode(unhex(lpad(hex(c), 8, '0')), 'UTF-32')
+      else '' end), 1)
+  else coalesce(element_at(element_at({_names_by_letter()}, ascii(substr(p, 2, 1)) - {ord("A") - 1}), substr(p, 2, length(p) - 2)), p)
 end"""
 
 
@@ -78,24 +83,20 @@ def each_line(text: Column, change: Callable[[Column], Column]) -> Column:
 
 
 def unix_lines(text: Column) -> Column:
-    """All line breaks as newlines; texts without rare ones are only searched."""
-    rare = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in fv.LINE_BREAKS if c != "\n"])
-    return F.when(rare, F.regexp_replace(text, rf"\r\n|[{fv.LINE_BREAK_CLASS}]", "\n")).otherwise(text)
+    """All line breaks as newlines.  Searches for one character at a time are cheaper than a pattern of all."""
+    return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("\n")), ["\r\n", *fv.LINE_BREAKS.replace("\n", "")], text)
 
 
 def clean_markdown(col: Column) -> Column:
     """Right-strip lines, drop lines of only pipes, squeeze blank lines, set fences apart, strip."""
 
-    def without_pipe_lines(text: Column) -> Column:
-        only_pipes = lambda s: F.contains(s, F.lit("|")) & (F.btrim(s, F.lit(fv.WHITE_SPACE + "|")) == "")
-        return F.array_join(F.filter(F.split(text, "\n"), lambda s: ~only_pipes(s)), "\n")
-
     def fences_apart(text: Column) -> Column:
         text = F.regexp_replace(text, r"([^\n])\n(```)", "$1\n\n$2")
         return F.regexp_replace(text, r"(```)\n([^\n])", "$1\n\n$2")
 
-    text = each_line(unix_lines(col), lambda s: F.rtrim(s, F.lit(fv.WHITE_SPACE)))
-    text = where_contains(text, "|", without_pipe_lines)
+    lines = F.transform(F.split(unix_lines(col), "\n"), lambda s: F.rtrim(s, F.lit(fv.WHITE_SPACE)))
+    only_pipes = lambda s: F.endswith(s, F.lit("|")) & (F.btrim(s, F.lit(fv.WHITE_SPACE + "|")) == "")
+    text = F.array_join(F.filter(lines, lambda s: ~only_pipes(s)), "\n")
     text = where_contains(text, "\n\n\n", lambda t: F.regexp_replace(t, r"\n{3,}", "\n\n"))
     return strip(where_contains(text, "```", fences_apart))
 
