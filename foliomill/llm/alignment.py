@@ -28,9 +28,9 @@ from foliomill.llm.tokens import _CUT, _byte_letters  # noqa: E402
 from foliomill.storage import written  # noqa: E402
 
 #: Characters aligned in one go, and in one part.
-BLOCK, PART = 1 << 20, 8 << 20
-#: Pieces that one worker remembers, and the longest: some 150 MB at most.
-REMEMBERED, LONGEST = 300_000, 40
+BLOCK, PART = 1 << 19, 8 << 20
+#: Pieces that one worker remembers, and the longest: some 100 MB at most.
+REMEMBERED, LONGEST = 200_000, 40
 #: A text that more than one in so many documents hold is joined by broadcast.
 HOT_SHARE = 256
 

@@ -9,6 +9,7 @@ text.  The ids are exactly those of encoding the whole text; tests compare them.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -18,8 +19,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 import numpy as np  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-#: Pieces that one worker remembers, and the longest: some 120 MB at most.
-REMEMBERED = 600_000
+#: Pieces that one worker remembers, and the longest: some 250 MB at most.
+REMEMBERED = 1_200_000
 LONGEST = 40
 #: Where a cut is sure.  U+180E counts as white space in some versions of Unicode.
 _CUT = re.compile(r"(?<=[^\s᠎]) (?=[^\s᠎])")
@@ -108,7 +109,8 @@ class Encoder:
         first = pieces.pop(0)
         known = self.known
         new = [p for p in dict.fromkeys(pieces) if p not in known]
-        if (first and not _sure(f".{first}")) or not all(map(_sure, new)):
+        # White space at an end of a piece is not printable; few pieces need a closer look.
+        if (first and not _sure(f".{first}")) or not all(new) or not all([_sure(p) for p in new if not p.isprintable()]):
             # Beside other white space a space is no cut.
             pieces = _CUT.split(text)
             first = pieces.pop(0)
@@ -117,7 +119,8 @@ class Encoder:
         if not new:
             return head + b"".join(map(known.__getitem__, pieces))
         extra = self._learn(new)
-        return head + b"".join([known[p] if p in known else extra[p] for p in pieces])
+        get = known.get
+        return head + b"".join([get(p) or extra[p] for p in pieces])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -127,4 +130,6 @@ def encoder(path: str) -> Encoder:
     """The encoder of this Python worker for a vocabulary file."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+        # Very many small objects and hardly a cycle: the collector need not look so often.
+        gc.set_threshold(200_000)
     return _encoders[path]
