@@ -185,6 +185,14 @@ def contamination(
     )
 
 
+def _free_name(docs: DataFrame, name: str) -> str:
+    """A name that no column has, whatever its case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def clean_documents(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, words_per_hit: int = 20,
     max_pattern_bytes: int = MAX_PATTERN_BYTES, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
@@ -195,9 +203,10 @@ def clean_documents(
     """
     blocks = _blocks(benchmark, window, max_pattern_bytes, item_col, item_text_col)
     if len(blocks) > 1:
-        rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-        found = contamination(rows, benchmark, window, words_per_hit, max_pattern_bytes, "_row", text_col, item_col, item_text_col)
-        return rows.join(found.where("contaminated").select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+        row = _free_name(docs, "row")
+        rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+        found = contamination(rows, benchmark, window, words_per_hit, max_pattern_bytes, row, text_col, item_col, item_text_col)
+        return rows.join(found.where("contaminated").select(F.col("doc_id").alias(row)), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     shared, width = blocks[0], len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,4 +219,4 @@ def clean_documents(
                 clean.append(not (n_hit > 0 and words_per_hit * n_hit >= n_words))
             yield batch.select(list(range(width))).filter(pa.array(clean, pa.bool_()))
 
-    return docs.withColumn("_scanned", F.col(f"`{text_col}`").cast("binary")).mapInArrow(run, docs.schema)
+    return docs.withColumn(_free_name(docs, "scanned"), F.col(f"`{text_col}`").cast("binary")).mapInArrow(run, docs.schema)

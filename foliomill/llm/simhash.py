@@ -134,12 +134,42 @@ def near_duplicates(
     An empty table gives an empty result.
     """
     rows = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
-    label = labels(links(distinct.select("fp"), max_bits))
-    joined = written(distinct.join(label, distinct.fp == label.v).select("fp", "least_id", "label"), "labelled")
-    least = joined.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    moved = joined.join(least, "label").where(~F.col("least_id").eqNullSafe(F.col("component_id"))).select("fp", "component_id")
-    of_fp = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
+    of_fp = _least(rows.withColumnRenamed("doc_id", "place"), max_bits)
     return rows.join(of_fp, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id")
     )
+
+
+def _least(rows: DataFrame, max_bits: int) -> DataFrame:
+    """``(fp, least)``: the smallest ``place`` in the component of each fingerprint, of rows ``(fp, place)``."""
+    distinct = written(rows.groupBy("fp").agg(F.min("place").alias("own")), "distinct-fingerprints")
+    label = labels(links(distinct.select("fp"), max_bits))
+    joined = written(distinct.join(label, distinct.fp == label.v).select("fp", "own", "label"), "labelled")
+    least = joined.groupBy("label").agg(F.min("own").alias("least"))
+    moved = joined.join(least, "label").where(~F.col("own").eqNullSafe(F.col("least"))).select("fp", "least")
+    return distinct.join(moved, "fp", "left").select("fp", F.coalesce("least", "own").alias("least"))
+
+
+def without_near_duplicates(
+    docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row of ``docs`` of each component, with its columns: the one with the smallest id.
+
+    Rows are judged, not ids: rows that repeat an id with different texts are in components of their own.  Among rows of
+    one id the one with the smallest digest of all its columns stays, rows without an id come last, and of equal
+    rows one stays.  An empty table gives an empty result.
+    """
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    digest = F.unhex(F.sha2(F.to_json(every, {"ignoreNullFields": "false"}).cast("binary"), 256))
+    place = F.struct(F.col(f"`{id_col}`").isNull().alias("last"), F.col(f"`{id_col}`").cast("long").alias("id"), digest.alias("digest"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
+            yield pa.record_batch([batch.column(0), pa.array(fps)], names=["place", "fp"])
+
+    placed = docs.select(place.alias("place"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    rows = written(placed.mapInArrow(run, "place struct<last: boolean, id: long, digest: binary>, fp long"), "fingerprints")
+    kept = _least(rows, max_bits).select(F.col("least.digest").alias("digest")).distinct()
+    whole = docs.select(every.alias("row"), digest.alias("digest"))
+    return whole.join(kept, "digest", "left_semi").dropDuplicates(["digest"]).select("row.*")

@@ -84,9 +84,28 @@ def test_odd_documents(spark, odd, empty, sf_dir, tmp_path):
         assert (docs.count() > 0) == (start is odd)
 
 
+def test_rows_of_one_id_are_judged_one_by_one(spark):
+    rng = random.Random(4)
+    a, b, c = (" ".join(f"w{rng.randrange(900)}" for _ in range(80)) for _ in range(3))
+    rows = [(1, a, 1), (5, a, 2), (5, b, 3), (5, b, 3), (5, b, 4), (None, a, 5), (None, c, 6), (None, c, 6), (7, c + " ", 7), (None, "only here " + b[::-1], 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _kept int")
+    for name in ("row", "_row", "scanned", "_scanned", "digest", "place", "fp"):
+        docs = docs.withColumn(name, docs["_kept"] * 10)
+    got = corpus_pipeline.simhash_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = sorted((r.doc_id or 0, r.text, r._kept, r._row, r.digest) for r in got.collect())
+    assert [(i, t) for i, t, *_ in kept] == sorted([(1, a), (5, b), (7, c + " "), (0, "only here " + b[::-1])])
+    assert all(k * 10 == row == digest for _, _, k, row, digest in kept)
+    quiz = spark.createDataFrame([(1, a)], "item_id long, text string")
+    clean = corpus_pipeline.decontaminate.clean_documents(docs, quiz)
+    assert clean.columns == docs.columns and {r._kept for r in clean.collect()} == {3, 4, 6, 7, 8}
+    blocks = corpus_pipeline.decontaminate.clean_documents(docs, quiz.union(spark.createDataFrame([(2, "x " + a)], quiz.schema)), max_pattern_bytes=5000)
+    assert blocks.columns == docs.columns and {(r._kept, r._row, r.row) for r in blocks.collect()} == {(k, 10 * k, 10 * k) for k in (3, 4, 6, 7, 8)}
+
+
 def test_queries_are_registered():
     names = __spark_entry__.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names and set(queries.QUERIES) <= set(names)
 
