@@ -7,7 +7,6 @@ contaminated by benchmark passages go; secrets are blanked out; what is left is
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from foliomill.llm import decontaminate, packing, quality, secret_scan, simhash
 from foliomill.llm.queries import vocabulary_file
@@ -22,13 +21,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest id.
 
-    Rows that repeat an id are the same document, so one of them stays.  Rows without an id cannot be named by a
-    group; all of them stay.
+    Rows are judged one by one: texts that share an id and are not alike all stay, and so do rows without an id that are
+    like no other.
     """
-    found = simhash.near_duplicates(docs)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-    kept = docs.join(keep, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    return simhash.without_near_duplicates(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
