@@ -644,11 +644,33 @@ from (select ord, url, unnest([{', '.join(q(h) for h in _HREFS)}]) as href, unne
 
 
 def _links(pages: str, same_site: bool) -> str:
+    """Each distinct reference of a page is resolved once, step by step."""
     keyed = f"(select url as src, html from {pages})"
     where = f"where {netloc('dst')} = {netloc('src')}" if same_site else ""
     return f"""with {tokens_cte(keyed, key='src')},
-    anchors as (select src, pos, {attribute('token', 'href')} as href from tokens where tag = 'a' and kind in ('open', 'void') and regexp_matches(token, {q(r'''(?i)\shref(\s*=|[\s>/])''')}))
-    select src, dst, pos from (select src, pos, {resolved('src', 'href')} as dst from anchors) {where}"""
+    anchors as (select src, pos, {attribute('token', 'href')} as href from tokens where tag = 'a' and kind in ('open', 'void') and regexp_matches(token, {q(r'''(?i)\shref(\s*=|[\s>/])''')})),
+    refs as (
+      select src, href, split_part({strip('href')}, '#', 1) as ref, {scheme('src')} as bs, {netloc('src')} as bn, regexp_extract(src, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) as bp
+      from (select distinct src, href from anchors)),
+    owned as (select *, lower(regexp_extract(ref, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) as own from refs),
+    cut as (select *, case when own <> '' then ref[length(own) + 2:] else ref end as rest from owned),
+    pathed as (select *, regexp_extract(rest, '^[^?]*') as rp from cut),
+    whole as (
+      select *, case when rp[1] = '/' then rp else coalesce(nullif(regexp_extract(bp, '^.*/'), ''), '/') || rp end as path, rest[length(rp) + 1:] as query from pathed),
+    folded as (
+      select *, regexp_matches(path, '//|/\\.\\.?(/|$)') as dotted, case when regexp_matches(path, '//|/\\.\\.?(/|$)') then list_reduce(
+          list_filter(list_prepend('', string_split(path, '/')), lambda x, i: i = 1 or (x <> '' and x <> '.')),
+          lambda acc, x: case when x = '..' then regexp_replace(acc, '/[^/]*$', '') else acc || '/' || x end) end as parts from whole),
+    target as (
+      select src, href, case
+          when own <> '' and own <> bs then ref
+          when rest[1:2] = '//' then bs || ':' || rest
+          when rest = '' then split_part(src, '#', 1)
+          when rest[1] = '?' then bs || '://' || bn || bp || rest
+          when dotted then bs || '://' || bn || parts || (case when regexp_matches(path, '(/|/\\.|/\\.\\.)$') then '/' else '' end) || query
+          else bs || '://' || bn || path || query end as dst
+      from folded)
+    select a.src, t.dst, a.pos from anchors a join target t on t.src = a.src and t.href = a.href {where.replace("dst", "t.dst").replace("src", "a.src")}"""
 
 
 ORACLE["page_links"] = _links("pages", True)
