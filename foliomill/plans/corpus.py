@@ -1,7 +1,7 @@
 """A corpus run: stored pages in, deduplicated and size-bounded outputs out.
 
 Exchanges of a run: pages by page once (as HTML), keys by content hash once, positions by output, and
-finished records by part once.  The documents are written to the shared folder after extraction, with all
+finished records by part once; contents are exchanged by part only.  The documents are written to the shared folder after extraction, with all
 lengths that later steps ask for, so length rule, dedup and split read narrow columns of them, and a lost
 executor never repeats the extraction.  Outputs, skip log and totals come from the same stored run.
 """
@@ -23,7 +23,7 @@ from foliomill.operators.content import page_content
 from foliomill.operators.tokens import by_page
 from foliomill.settings import CorpusSettings
 from foliomill.sinks.parts import write_parts
-from foliomill.storage import written
+from foliomill.storage import written, written_by
 
 
 #: Ends the URL of a page in the string that is exchanged; a noncharacter, which no URL holds.
@@ -88,15 +88,17 @@ def run_documents(
     docs = docs.withColumn("output", F.lit("corpus") if output is None else output).withColumn(
         "long_enough", (F.col("n_chars") > 0) & (F.col("n_stripped") >= settings.min_length)
     )
-    if summarize is not None or refine is not None:
+    hooked = summarize is not None or refine is not None
+    if hooked:
         # Stored first: the hooks must not repeat the extraction.
         docs = written(docs, "documents")
         if summarize is not None:
             docs = enrich.summarize(docs, summarize)
         if refine is not None:
             docs = with_sizes(enrich.refine(docs, refine).drop("n_chars", "content_md5", "n_stripped"))
-    length = F.length(_record(docs, settings)).cast("bigint")
-    return written(docs.withColumn("record_chars", length), "documents")
+    sized = docs.withColumn("record_chars", F.length(_record(docs, settings)).cast("bigint"))
+    # Without hooks the rows are still where the extraction put them, by page: stored so, they join their parts in place.
+    return written(sized, "documents") if hooked else written_by(sized, "documents", "ord")
 
 
 def _record(docs: DataFrame, settings: CorpusSettings) -> Column:

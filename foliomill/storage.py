@@ -40,6 +40,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Spark's own limit.
+MAX_BUCKETS = 100_000
+
+
+def written_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """:func:`written`, in as many buckets of ``key`` as a shuffle has partitions: joins on ``key`` do not exchange it again.
+
+    ``df`` should be partitioned by ``key`` already; then each task writes one bucket.  The catalogue, which alone
+    can describe buckets, knows the table only until it has been opened.
+    """
+    spark = df.sparkSession
+    table = f"foliomill_{uuid.uuid4().hex}"
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS)
+    df.write.format("parquet").bucketBy(n, key).sortBy(key).option("path", new_path(spark, name)).saveAsTable(table)
+    stored = spark.table(table)
+    spark.sql(f"drop table {table}")  # not its files, as their place was given
+    return stored
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in whatever file system it names."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

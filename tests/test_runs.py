@@ -227,3 +227,26 @@ def test_queries_agree_with_their_sql(spark, sf_dir, name):
     df = entry_module.queries()[name](spark, sf_dir)
     result = con.execute(entry_module.oracle_sql()[name])
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of([c[0] for c in result.description], result.fetchall())
+
+
+def test_contents_are_exchanged_by_part_only(spark, sf_dir):
+    """Documents are stored in buckets: they meet their parts where they are, and only records for files move."""
+    from foliomill.plans import corpus as P
+    from foliomill.storage import written_by
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = P.run(spark.read.parquet(f"{sf_dir}/pages.parquet"), CorpusSettings())
+        records = P.part_records(done.docs, done.assigned, done.settings)
+        plan = records._jdf.queryExecution().executedPlan().toString()
+        assert "SelectedBucketsCount" in plan and "SortMergeJoin" in plan
+        for part in plan.split("Exchange ")[1:]:
+            # What an exchange reads: the subtree under it begins with its scan.
+            assert "content#" not in part.split("Exchange ")[0].split("FileScan parquet")[-1], part
+        assert records.count() > 50
+        rows = spark.range(50).selectExpr("id", "id * 2 as twice")
+        stored = written_by(rows.repartition(4, "id"), "buckets", "id")
+        assert sorted(r.twice for r in stored.collect()) == [2 * i for i in range(50)]
+        assert len(stored.inputFiles()) == 4 and not [t for t in spark.catalog.listTables() if t.name.startswith("foliomill_")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
