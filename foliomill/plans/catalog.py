@@ -674,7 +674,7 @@ def rejoin_chunks(spark, d):
 
 
 def _tidy(text: str) -> str:
-    """A stand-in for a user's refiner: fails on digits-only chunks, else drops a character."""
+    """A stand-in for a user's refiner: fails on chunks with an exclamation mark, else drops a character."""
     if "!" in text:
         raise ValueError("refused")
     return text.replace("a", "")
