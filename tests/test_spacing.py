@@ -23,7 +23,7 @@ def table(spark, rows):
     return spark.createDataFrame(rows, "key string, t long")
 
 
-@pytest.mark.parametrize("horizon,span,n", [(64, 3000, 400), (1024, 40_000, 600), (1, 60, 100), (6, 5, 30), (2048, 10**7, 300), (96, 10_000, 900)])
+@pytest.mark.parametrize("horizon,span,n", [(64, 3000, 400), (1, 60, 100), (6, 5, 30), (2048, 10**7, 300)])
 def test_kept_times_are_those_of_the_rule(spark, horizon, span, n):
     rng = random.Random(horizon + span)
     # One key has a third of all rows; some have long gaps, dense stretches, or times just at the horizon.
@@ -72,7 +72,7 @@ def stream(spark, tmp_path, batches, hours=24):
 def test_late_and_unordered_batches(spark, tmp_path):
     rng = random.Random(9)
     rows = [("hot" if rng.random() < 0.34 else f"u{rng.randrange(9)}", rng.randrange(0, 400)) for _ in range(240)]
-    batches = [rows[i::5] for i in range(5)] + [[("hot", -30), ("u1", -3), (None, 4), ("u2", None)], [("new", 1)], [("hot", -30)]]
+    batches = [rows[i::3] for i in range(3)] + [[("hot", -30), ("u1", -3), (None, 4), ("u2", None)], [("new", 1), ("hot", -30)]]
     got, store, source, _ = stream(spark, tmp_path, batches)
     assert got == [(k, float(t)) for k, t in one_by_one([r for b in batches for r in b], 24)]
     # Late fetches took some back.
