@@ -161,8 +161,10 @@ def identify(
 ) -> DataFrame:
     """``(doc_id, lang, probability, text_lang, host)``, one row per row of ``docs``.
 
-    ``evidence`` is ``(doc_id, host, domain, markup, path)``, one row per id at most; a document without such a row has
-    its ``host_col`` as host and no domain.  ``label_col`` is the known language where there is one: it trains the text model
+    ``evidence`` is ``(doc_id, host, domain, markup, path)``, any number of rows per id, such as its pages; a document without
+    such a row has its ``host_col`` as host and no domain.  Every row of evidence counts for its host and for the reliability
+    of what it declares; the log likelihoods of a document's rows are averaged, as they are of one document, and the
+    first of its hosts by spelling is reported.  ``label_col`` is the known language where there is one: it trains the text model
     and the reliability of declarations, and is not looked at for the document's own verdict beyond that.
 
     A null or empty text is judged by the other evidence; a null host has no counts, so its prior is that of all
@@ -187,17 +189,27 @@ def identify(
         F.col("doc_id").alias("_id"), F.col("host").alias("page_host"), "domain", code(F.col("markup")).alias("markup"),
         suffix_language(F.col("host"), F.col("path"), languages).alias("suffix"),
     )
-    scored = written(text_scores(rows, table), "language-scores")
+    scored = written(text_scores(rows.withColumn("row", F.monotonically_increasing_id()), table), "language-scores")
+    # One row for each document and row of evidence.
     scored = written(
         scored.join(seen, F.col("doc_id") == F.col("_id"), "left")
-        .select("doc_id", F.coalesce("page_host", "own_host").alias("host"), "domain", "label", "markup", "suffix", "score"),
+        .select("row", "doc_id", F.coalesce("page_host", "own_host").alias("host"), "domain", "label", "markup", "suffix", "score"),
         "language-evidence",
     )
+
+    def averaged(by: DataFrame, value: str) -> DataFrame:
+        """``(row, <value>)`` averaged over the evidence of a document."""
+        parts = by.groupBy("row").agg(*[F.avg(F.get(value, F.lit(i))).alias(f"x{i}") for i in range(size)])
+        return parts.select("row", F.array(*[f"x{i}" for i in range(size)]).alias(value))
+
     declared = _plus(
         _lookup("markup", _declared(scored, "markup", languages), size), _lookup("suffix", _declared(scored, "suffix", languages), size)
     )
-    first = scored.select("doc_id", "host", "domain", _best(F.col("score")).alias("by_text"), _plus(F.col("score"), declared).alias("score"))
-    first = first.withColumn("guess", _best(F.col("score")))
+    by_text = scored.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.min("host").alias("first_host"), F.first("score").alias("score"))
+    fused = by_text.join(averaged(scored.select("row", declared.alias("declared")), "declared"), "row")
+    fused = fused.select("row", "doc_id", "first_host", _best(F.col("score")).alias("by_text"), _plus(F.col("score"), F.col("declared")).alias("score"))
+    fused = written(fused.withColumn("guess", _best(F.col("score"))), "language-guesses")
+    first = scored.select("row", "host", "domain").join(fused.select("row", "guess"), "row")
 
     def counts(name: str) -> Column:
         return F.array(*[F.sum((F.col("guess") == i).cast("double")) for i in range(size)]).alias(name)
@@ -221,7 +233,10 @@ def identify(
         return F.when(n.isNull(), towards).otherwise(F.zip_with(others, towards, lambda x, t: (x + weight * t) / (all_n + weight)))
 
     prior = smoothed(F.col("host_n"), HOST_WEIGHT, smoothed(F.col("domain_n"), DOMAIN_WEIGHT, share))
-    final = joined.select("doc_id", "host", "by_text", _plus(F.col("score"), F.transform(prior, lambda p: F.log(p))).alias("score"))
+    priors = averaged(joined.select("row", F.transform(prior, lambda p: F.log(p)).alias("prior")), "prior")
+    final = fused.join(priors, "row").select(
+        "doc_id", F.col("first_host").alias("host"), "by_text", _plus(F.col("score"), F.col("prior")).alias("score")
+    )
     best = final.withColumn("at", _best(F.col("score")))
     odds = F.aggregate(F.transform("score", lambda x: F.exp(x - F.array_max("score"))), F.lit(0.0), lambda a, x: a + x)
     return best.select(

@@ -90,14 +90,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the pages of a document say of its language; of several pages the one with the smallest id."""
+    """What the pages of documents say of their language, one row per page."""
     url = F.col("url")
     pages = _table(spark, sf_dir, "pages").select(
-        "page_id", F.regexp_extract("url", PAGE_DOCUMENT, 1).try_cast("long").alias("doc_id"), url_filter.host_of(url).alias("host"),
+        F.regexp_extract("url", PAGE_DOCUMENT, 1).try_cast("long").alias("doc_id"), url_filter.host_of(url).alias("host"),
         url_filter.path_of(url).alias("path"), language_id.markup_language(F.col("html")).alias("markup"),
     )
-    one = pages.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct("host", "path", "markup"), "page_id").alias("page"))
-    return one.select("doc_id", "page.*", F.regexp_extract("page.host", r"[^.]+\.[^.]+$", 0).alias("domain"))
+    return pages.where("doc_id is not null").withColumn("domain", F.regexp_extract("host", r"[^.]+\.[^.]+$", 0))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,20 @@ def test_other_evidence_decides_where_text_does_not(spark):
     assert (by_id[1000], by_id[1001], by_id[1002]) == ("de", "fr", "fr") and by_id[1003] in SYLLABLES
 
 
+def test_all_pages_of_a_document_count(spark):
+    rows, pages = corpus(spark)
+    # No text: two of three pages, and a host that only later pages of other documents make known.
+    rows += [(2000, None, None, None), (2001, None, None, None)] + [(2100 + i, rows[3 * i + 2][1], "fr", None) for i in range(30)]
+    pages += [(2000, "a.com", "a.com", "en", "/"), (2000, "b.com", "b.com", "de", "/"), (2000, "c.com", "c.com", "de", "/")]
+    pages += [(2001, "z.later.org", "later.org", None, "/")] + [(2100 + i, host, host, None, "/") for i in range(30) for host in ("a.first.org", "z.later.org")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = li.identify(docs, spark.createDataFrame(pages, EVIDENCE)).collect()
+    assert len(got) == len(rows)
+    by_id = {r.doc_id: r for r in got}
+    assert by_id[2000].lang == "de" and by_id[2000].host == "a.com"
+    assert by_id[2001].lang == "fr"
+
+
 def test_declarations(spark):
     rows = [('<!DOCTYPE html><HTML class=x LANG="De-at">',), ("<html lang=fr>",), ("<html>",), (None,), ("<p lang='es'>",)]
     got = spark.createDataFrame(rows, "h string").select(li.markup_language(F.col("h")).alias("x"))
