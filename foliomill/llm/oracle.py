@@ -45,13 +45,15 @@ measured as (
     coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
   from doc left join lines using (doc_id) left join repeats using (doc_id)),
 rule as (
-  select *, unnest([1, 2, 3, 4]) as r,
-    unnest([n_words < 10, 100 * n_repeat_words > 20 * n_words, 10 * n_symbols > word_chars, 3 * n_dup_lines > n_words]) as failed
+  select *, unnest([1, 2, 3, 4, 5]) as r,
+    unnest([n_words < 10, 100 * n_repeat_words > 20 * n_words, 10 * n_symbols > word_chars, 3 * n_dup_lines > n_words,
+      n_words < 10 or 100 * n_repeat_words > 20 * n_words or 10 * n_symbols > word_chars or 3 * n_dup_lines > n_words]) as failed
   from measured where source is not null),
 host as (select source, r, count(*) as n, sum(cast(failed as bigint)) as k from rule group by source, r),
-moment as (select r, sum(k) / sum(n) as m, greatest(sum(k * k / n) / sum(n) - (sum(k) / sum(n)) ** 2, 0) as v from host group by r),
-prior as (select r, m, case when v > 0 then least(greatest(m * (1 - m) / v - 1, 1), 1000) else 1000 end as s from moment),
-bad as (select distinct source from host join prior using (r) where (k + m * s) / (n + s) > 0.6)
+moment as (select r, count(*) as h, sum(n) as n, sum(k) / sum(n) as m, sum(k * k / n) as q from host group by r),
+alike as (select r, m, case when m > 0 and m < 1 and n > h then ((q - n * m * m) / (m * (1 - m)) - h) / (n - h) else 0 end as rho from moment),
+prior as (select r, m, case when rho > 0 then least(greatest(1 / rho - 1, 1), 1000) else 1000 end as s from alike),
+bad as (select distinct source from host join prior using (r) where (k + m * s) / (n + s) > case when r = 5 then 0.75 else 0.6 end)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
   not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and bad.source is null as kept

@@ -20,7 +20,7 @@ from foliomill.storage import written
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Rules that are counted by host: share of failing documents beyond which the host is rejected.
-HOST_LIMITS = {"short": 0.6, "repetitive": 0.6, "symbols": 0.6, "dup_lines": 0.6}
+HOST_LIMITS = {"short": 0.6, "repetitive": 0.6, "symbols": 0.6, "dup_lines": 0.6, "any": 0.75}
 MIN_WORDS = 10
 WINDOW = 5
 
@@ -95,22 +95,25 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 
 
 def failures() -> dict[str, Column]:
-    """The rules that are counted by host, over the columns of :func:`measures`."""
-    return {
+    """The rules that are counted by host, over the columns of :func:`measures`; the last is failing any of the others."""
+    rules = {
         "short": F.col("n_words") < MIN_WORDS,
         "repetitive": 100 * F.col("n_repeat_words") > 20 * F.col("n_words"),
         "symbols": 10 * F.col("n_symbols") > F.col("word_chars"),
         "dup_lines": 3 * F.col("n_dup_lines") > F.col("n_words"),
     }
+    return rules | {"any": reduce(lambda a, b: a | b, rules.values())}
 
 
 def host_rates(measured: DataFrame, limits: dict[str, float] = HOST_LIMITS) -> DataFrame:
     """``(host, n_docs, <rule>_rate ..., host_rejected)``, one row per non-null host.
 
-    With p_i = k_i / n_i the failure rate of host i, m the rate over all documents with a host and v the variance of
-    the p_i weighted by n_i, the prior is Beta(m s, (1 - m) s) with s = m (1 - m) / v - 1, held within 1 and 1,000
-    documents (no variance gives the latter).  A host's shrunk rate is (k_i + m s) / (n_i + s); the host is rejected
-    if the rate of any rule is over its limit.  Only sums over all hosts come to the driver.
+    Of h hosts with n documents, k_i of n_i failing at host i, m = k / n.  The prior is Beta(m s, (1 - m) s), fitted by
+    moments: under it the sum of n_i (k_i / n_i - m)^2 is expected to be m (1 - m) (h + (n - h) / (s + 1)), where the
+    first part is what single documents scatter anyhow, however alike the hosts.  s is held within 1 and 1,000
+    documents; hosts that differ by no more than chance, or have one document each, give the latter.  A host's shrunk rate
+    is (k_i + m s) / (n_i + s); the host is rejected if the rate of any rule is over its limit.  Only sums over all
+    hosts come to the driver.
     """
     rules = failures()
     counts = written(
@@ -120,15 +123,17 @@ def host_rates(measured: DataFrame, limits: dict[str, float] = HOST_LIMITS) -> D
         "host-counts",
     )
     sums = counts.agg(
-        F.sum("n_docs").alias("n"), *[F.sum(r).alias(r) for r in rules], *[F.sum(F.col(r) * F.col(r) / F.col("n_docs")).alias(f"{r}_sq") for r in rules]
+        F.count("*").alias("hosts"), F.sum("n_docs").alias("n"), *[F.sum(r).alias(r) for r in rules], *[F.sum(F.col(r) * F.col(r) / F.col("n_docs")).alias(f"{r}_sq") for r in rules]
     ).first()
     rates = {}
     for r in rules:
         m = sums[r] / sums["n"] if sums["n"] else 0.0
-        v = max(sums[f"{r}_sq"] / sums["n"] - m * m, 0.0) if sums["n"] else 0.0
-        s = min(max(m * (1 - m) / v - 1, 1.0), 1000.0) if v > 0 else 1000.0
+        alike = 0.0  # the correlation of two documents of a host: 1 / (s + 1)
+        if 0 < m < 1 and sums["n"] > sums["hosts"]:
+            alike = ((sums[f"{r}_sq"] - sums["n"] * m * m) / (m * (1 - m)) - sums["hosts"]) / (sums["n"] - sums["hosts"])
+        s = min(max(1 / alike - 1, 1.0), 1000.0) if alike > 0 else 1000.0
         rates[r] = (F.col(r) + m * s) / (F.col("n_docs") + s)
-    rejected = reduce(lambda a, b: a | b, [c > limits[r] for r, c in rates.items()])
+    rejected = reduce(lambda a, b: a | b, [c > limits[r] for r, c in rates.items() if r in limits])
     return counts.select("host", "n_docs", *[c.alias(f"{r}_rate") for r, c in rates.items()], rejected.alias("host_rejected"))
 
 

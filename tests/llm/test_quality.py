@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -45,6 +46,30 @@ def test_hosts_are_shrunk_and_joined_back(spark):
     assert 39 / 40 > rates["poor"].short_rate > rates["once"].short_rate > rates["fine"].short_rate > 0
 
 
+def test_chance_does_not_reject_a_host(spark):
+    """A third of all documents fail, each on a host of its own: no host is known to be worse than another."""
+    good, bad = "all good words stand here and no two of them are alike so keep", "short"
+    rows = [(i, bad if i % 3 == 0 else good, f"h{i}") for i in range(300)]
+    assert not any(r.host_rejected for r in quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    # Two documents a host, dealt by chance.
+    rng = random.Random(1)
+    rows = [(i, bad if rng.random() < 0.3 else good, f"h{i % 150}") for i in range(300)]
+    assert not any(r.host_rejected for r in quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+
+
+def test_failures_spread_over_rules_reject_a_host(spark):
+    good, short, odd = "all good words stand here and no two of them are alike so keep", "short", "a # b # c # d # e # f # g # h # i # j # k"
+    lines = "one line\n" * 30
+    rows = [(i, good, f"fine{i % 5}") for i in range(200)]
+    rows += [(1000 + i, [short, odd, lines, short, odd, lines, short, odd, lines, good][i % 10], "mixed") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in quality.verdicts(docs).collect()}
+    assert got[1009].host_rejected and not got[1009].base_failed and not got[1009].kept and got[0].kept
+    rates = {r.host: r for r in quality.host_rates(quality.measures(docs)).collect()}["mixed"]
+    assert max(rates.short_rate, rates.symbols_rate, rates.dup_lines_rate) < 0.6 and rates.any_rate > 0.75
+    assert not any(r.host_rejected for r in quality.verdicts(docs, {"short": 0.6}).collect())
+
+
 def test_empty(spark, empty, odd):
     assert quality.verdicts(empty).collect() == []
     assert quality.kept_documents(empty).columns == empty.columns and quality.kept_documents(empty).count() == 0
