@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import SparkSession
+
 #: Hadoop's names of object stores and what pyarrow calls them.
 _SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
@@ -28,3 +30,13 @@ def shared_root(root: str, master: str) -> str:
     if local and not master.startswith("local"):
         raise ValueError(f"{root} may be another folder on each machine; give a URI that all executors reach")
     return root
+
+
+def followed(spark: SparkSession, root: str) -> str:
+    """``root``, or the folder behind it if it is a mount (``viewfs``) that only Spark's configuration knows."""
+    if not root.startswith("viewfs:"):
+        return root
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    return files.resolvePath(at).toString()

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from foliomill import fixed_values as fv
 from foliomill.functions.formats import part_name
-from foliomill.sinks.filesystem import filesystem, shared_root
+from foliomill.sinks.filesystem import filesystem, followed, shared_root
+from foliomill.storage import is_shared
 
 MANIFEST = "output string, part bigint, filename string, n_records bigint, n_chars bigint, content_md5 string"
 
@@ -58,13 +59,15 @@ def write_parts(records: DataFrame, fmt: str, root: str | None = None) -> DataFr
     Rows with ``seq`` of 0 or less are header lines.  Without a root nothing is written and the
     manifest says what would be.  A task that is run again replaces its files by equal ones: a file is
     written under a name of its own and moved into place when complete.  ``root`` is a URI or path that
-    all executors can reach.
+    all executors can reach; any path in ``spark.checkpoint.dir`` is.
     """
     if fmt not in fv.FORMATS:
         raise ValueError(f"format must be one of {fv.FORMATS}, not {fmt!r}")
-    base = None if root is None else shared_root(root, records.sparkSession.sparkContext.master)
+    spark, base = records.sparkSession, root
+    if root is not None:
+        base = followed(spark, root if is_shared(spark, root) else shared_root(root, spark.sparkContext.master))
     named = records.select("output", "part", "seq", part_name(F.col("output"), F.col("part"), fmt).alias("filename"), "text")
-    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = named.repartition(n, "output", "part").sortWithinPartitions("output", "part", "seq")
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

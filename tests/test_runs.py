@@ -201,6 +201,27 @@ def test_part_roots():
     assert filesystem("file:///a/b")[1] == filesystem("file:/a/b")[1] == filesystem("/a/b")[1] == filesystem("file://shared/a/b")[1] == "/a/b"
 
 
+@pytest.mark.parametrize("fmt", ["md", "txt", "jsonl"])
+def test_part_files_in_the_shared_folder_of_a_cluster(spark, monkeypatch, tmp_path, fmt):
+    records = spark.createDataFrame([("site", 1, 1, "a\n"), ("site", 1, 2, "b\n"), ("site", 2, 3, "c\n")], "output string, part long, seq long, text string")
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://cluster:7077")
+    for root in (storage.new_path(spark, "parts"), f"file://{storage.new_path(spark, 'parts')}"):
+        manifest = write_parts(records, fmt, root).orderBy("part").collect()
+        assert [r.n_records for r in manifest] == [2, 1]
+        folder = Path(root.removeprefix("file://")) / "site"
+        assert [(folder / r.filename).read_text() for r in manifest] == ["a\nb\n", "c\n"]
+    for root in (str(tmp_path), f"{storage.shared_dir(spark)}/../elsewhere", f"{storage.shared_dir(spark)}-2/x"):
+        with pytest.raises(ValueError):
+            write_parts(records, fmt, root)
+
+
+def test_part_files_behind_a_mount(spark, tmp_path):
+    records = spark.createDataFrame([("site", 1, 1, "a\n")], "output string, part long, seq long, text string")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.parts.link./out", f"file:{tmp_path}")
+    (row,) = write_parts(records, "txt", "viewfs://parts/out/run").collect()
+    assert (tmp_path / "run" / "site" / row.filename).read_text() == "a\n"
+
+
 def test_shared_folder(spark, monkeypatch):
     assert storage.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     elsewhere = SimpleNamespace(
