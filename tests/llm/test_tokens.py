@@ -44,6 +44,24 @@ def test_ids_of_any_text(both, text):
     same(both, text)
 
 
+@given(st.lists(st.sampled_from(["ab", "X", "é", "1", "日", "'s", "'", "&&", "***", ".", "|>", "<|endoftext|>", " ", " ", "\n", "\n", "\r", "\t", "᠎"]), max_size=12).map("".join))
+@settings(max_examples=400, deadline=None)
+def test_ids_of_words_with_symbols_and_line_breaks(both, text):
+    same(both, text)
+
+
+def test_line_breaks_and_symbols_need_no_new_encoding(both, vocabulary_file, monkeypatch):
+    encoder, asked = Encoder(vocabulary_file), []
+    known = "zero one two three four\none\ntwo\nthree\nfour one*** two&&"
+    assert np.frombuffer(encoder.ids(known), "<u4").tolist() == both[0].encode(known, add_special_tokens=False).ids
+    library = encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda pieces: asked.extend(pieces) or library(pieces))
+    monkeypatch.setattr(encoder, "_lines", lambda pieces: asked.extend(pieces) or library([f" {p}" for p in pieces]))
+    text = "zero four\nthree two\none three***\nfour&& one\ntwo&&"
+    assert np.frombuffer(encoder.ids(text), "<u4").tolist() == both[0].encode(text, add_special_tokens=False).ids
+    assert asked == ["zero"]
+
+
 def tokens_of(both, rows):
     return [(r[0], both[0].encode(r[1] or "", add_special_tokens=False).ids) for r in rows]
 
