@@ -28,6 +28,8 @@ from foliomill.storage import written, written_by
 
 #: Ends the URL of a page in the string that is exchanged; a noncharacter, which no URL holds.
 _URL_END = "\ufdd4"
+#: What a page may lack; part files have nothing in its place.
+_NAMED = ["title", "url"]
 
 
 def documents(pages: DataFrame, selector: str | None = None) -> DataFrame:
@@ -78,10 +80,11 @@ def run_documents(
     output: Column | None = None,
     summarize: Callable[[str], str] | None = None,
     refine: Callable[[str], str] | None = None,
+    lacking: str | None = None,
 ) -> DataFrame:
     """The documents of the chosen pages with their output, stored; ``long_enough`` says which are.
 
-    Length is judged before refining, a summary is made of the text before refining, and copies are
+    ``lacking`` stands for a missing title or URL in the length of the record; without it that is null.  Length is judged before refining, a summary is made of the text before refining, and copies are
     found (later) in the text after it.
     """
     docs = documents(chosen, settings.selector)
@@ -96,16 +99,15 @@ def run_documents(
             docs = enrich.summarize(docs, summarize)
         if refine is not None:
             docs = with_sizes(enrich.refine(docs, refine).drop("n_chars", "content_md5", "n_stripped"))
-    sized = docs.withColumn("record_chars", F.length(_record(docs, settings)).cast("bigint"))
+    sized = docs.withColumn("record_chars", F.length(_record(docs, settings, lacking)).cast("bigint"))
     # Without hooks the rows are still where the extraction put them, by page: stored so, they join their parts in place.
     return written(sized, "documents") if hooked else written_by(sized, "documents", "ord")
 
 
-def _record(docs: DataFrame, settings: CorpusSettings) -> Column:
+def _record(docs: DataFrame, settings: CorpusSettings, lacking: str | None = None) -> Column:
     summary = F.col("summary") if "summary" in docs.columns else None
-    return R.record_text(
-        settings.fmt, F.col("title"), F.col("url"), F.col("content"), F.lit(settings.collected_at), summary
-    )
+    title, url = (F.col(name) if lacking is None else F.coalesce(name, F.lit(lacking)) for name in _NAMED)
+    return R.record_text(settings.fmt, title, url, F.col("content"), F.lit(settings.collected_at), summary)
 
 
 def assign_parts(docs: DataFrame, settings: CorpusSettings, base_urls: DataFrame | None = None) -> DataFrame:
@@ -155,8 +157,8 @@ def run(
     ``pages`` may have ``skipped``, ``reason`` and ``error_type``, the results of fetching.
     """
     chosen = select_urls(pages, settings)
-    docs = run_documents(chosen, settings, output, summarize, refine)
-    assigned = written(assign_parts(docs, settings, base_urls), "assigned")
+    docs = run_documents(chosen, settings, output, summarize, refine, lacking="")
+    assigned = written(assign_parts(docs.fillna("", _NAMED), settings, base_urls), "assigned")
 
     def given(name: str, default: Column) -> Column:
         return (F.coalesce(F.col(name), default) if name in pages.columns else default).alias(name)
@@ -188,11 +190,11 @@ def corpus(
 
 def part_records(docs: DataFrame, assigned: DataFrame, settings: CorpusSettings, base_urls: DataFrame | None = None) -> DataFrame:
     """(output, part, seq, text): everything the part files hold; header lines have seq <= 0."""
-    text = _record(docs, settings)
+    text = _record(docs, settings, lacking="")
     records = docs.drop("output").join(assigned, "ord").select("output", "part", "seq", text.alias("text"))
     first = F.lit(1).cast("bigint").alias("part")
     if settings.fmt == "md":
-        lines = toc.toc_lines(toc.toc_entries(assigned, docs))
+        lines = toc.toc_lines(toc.toc_entries(assigned, docs.fillna("", _NAMED)))
         # Line numbers run up, so a fixed large offset keeps them in order and below the first record.
         order = (F.col("line_no") - F.lit(2**62)).alias("seq")
         records = records.unionByName(lines.select("output", first, order, F.concat("line", F.lit("\n")).alias("text")))

@@ -215,6 +215,17 @@ def test_part_files_in_the_shared_folder_of_a_cluster(spark, monkeypatch, tmp_pa
             write_parts(records, fmt, root)
 
 
+@pytest.mark.parametrize("fmt", ["md", "txt", "jsonl"])
+def test_part_files_of_pages_without_url(spark, tmp_path, fmt):
+    rows = [page(i, f"Page {i} has some words that make it long enough to be kept, and a few more of them.") for i in range(6)]
+    pages = spark.createDataFrame([(i, None if i % 2 else url, html) for i, url, html in rows], "page_id bigint, url string, html string")
+    manifest = P.write_corpus(pages, CorpusSettings(fmt=fmt, split_limit=1_000), root=str(tmp_path)).orderBy("part").collect()
+    texts = [(tmp_path / "corpus" / r.filename).read_text() for r in manifest]
+    assert sum(r.n_records for r in manifest) == 6 and [len(t) for t in texts] == [r.n_chars for r in manifest]
+    assert all(len(t) <= 1_000 or r.n_records < 2 for t, r in zip(texts, manifest, strict=True))
+    assert all(sum(f"Page {i} has some words" in t for t in texts) == 1 for i in range(6))
+
+
 def test_part_files_behind_a_mount(spark, tmp_path):
     records = spark.createDataFrame([("site", 1, 1, "a\n")], "output string, part long, seq long, text string")
     spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.parts.link./out", f"file:{tmp_path}")
