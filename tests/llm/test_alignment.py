@@ -97,3 +97,16 @@ def test_a_long_text(spark, paths):
     row = alignment.alignment(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string"), *paths).collect()[0]
     assert row.n_links == row.n_best + (row.n_links - row.n_best) and row.count_sum == 2 * row.n_links
     assert row.n_links == row.n_a + row.n_b - row.n_groups
+
+
+def test_lines_and_symbols_are_put_together(paths):
+    """Words known are not aligned again behind a line break or before symbols."""
+    both, text = alignment.Tokenizers(*paths), "beta alpha, beta.\nalpha one;"
+    both.texts(["alpha beta one.\nalpha one\nbeta"])
+    aligned, align = [], both.align
+    both.align = lambda pieces: aligned.extend(pieces) or align(pieces)
+    got = both.measured([text])
+    assert set(aligned) <= {"a", "a,", "a.", "a;"}
+    both.texts = lambda texts: [align([f" {t}"]) for t in texts]
+    for x, y in zip(got, both.measured([text]), strict=True):
+        assert {k: list(v) if k in ("a", "b", "links") else v for k, v in x.items()} == {k: list(v) if k in ("a", "b", "links") else v for k, v in y.items()}
