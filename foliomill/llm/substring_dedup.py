@@ -9,8 +9,9 @@ id, or earlier in the same.  Only strings that can be equal meet:
    is exchanged, then over all tasks.  Only the first of each goes on, and only where its anchor has others.
 3. The bytes of those are fetched from their documents.  Each segment is halved by where its anchor lies in the window;
    the windows of a half have a longer string in common, and only halves that agree on it meet.  Where they differ
-   beside it, they are put together into texts of bounded size, whose suffix arrays (:mod:`foliomill.llm.suffix_array`) bring equal windows of
-   different segments side by side.
+   beside it, each is cut finer in the same way; what has its core in common with others is put together into texts of
+   bounded size, a core as one symbol of its own, whose suffix arrays (:mod:`foliomill.llm.suffix_array`) bring equal
+   windows of different segments side by side.
 4. What goes is brought back to the documents.
 
 An anchor with very many different segments is not put into one text: its segments are taken apart into windows, each a
@@ -21,6 +22,7 @@ task beyond :data:`TASK_SEGMENTS` rows a task, or :data:`GROUP_SEGMENTS` in one
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
@@ -42,6 +44,8 @@ GROUP_SEGMENTS = 1_024
 #: Bytes of one suffix array, unless a single anchor has more; rows a task holds before it settles them.
 TEXT_BYTES = 1 << 17
 ROWS_AT_ONCE = 2_000_000
+#: Into how many parts the places of an anchor are cut where segments are fetched, and where they are compared.
+HALVES, PARTS = 2, 4
 
 _RANGE, _SEGMENT, _WINDOW, _MARK = 0, 1, 2, 3
 _NO_ID = -(1 << 63)
@@ -92,19 +96,45 @@ def _segments(text: bytes, window: int, base: int) -> tuple[np.ndarray, ...]:
     return hashes[anchors], firsts + base, np.append(firsts[1:], len(places)) + base, anchors + base
 
 
+def _places(window: int, parts: int) -> list[tuple[int, int]]:
+    """The places an anchor can have in a window in parts: the first and the last of each."""
+    bounds = [(window - GRAM + 1) * k // parts for k in range(parts + 1)]
+    return [(low, until - 1) for low, until in zip(bounds, bounds[1:], strict=False) if low < until]
+
+
 def _halves(text: bytes, key: int, first: int, stop: int, anchor: int, window: int) -> Iterator[tuple[int, int, int]]:
     """``(key, first, stop)`` of the windows of a segment whose anchor lies early, and of those where it lies late.
 
     All windows of a half have a longer string around the anchor in common; its hash is the key.
     """
-    places = window - GRAM + 1
-    for low, high in ((0, places // 2 - 1), (places // 2, places - 1)):
+    for low, high in _places(window, HALVES):
         begin, end = max(first, anchor - high), min(stop, anchor - low + 1)
         if begin < end:
             core = xxhash.xxh3_64_intdigest(text[anchor - low : anchor - high + window], low)
             yield core ^ (key & 0xFFFFFFFFFFFFFFFF), begin, end
 
 
+#: Some windows of a segment: their text, document and first window, and where their core begins in the text.
+Piece = tuple[bytes, int, int, int]
+
+
+def _shared(rows: list[tuple], window: int) -> Iterator[list[Piece]]:
+    """Segments ``(key, text, doc, first, place of the anchor)`` of a key cut finer, together where cores are equal.
+
+    What is alone with its core has no window in common with another.
+    """
+    of_core: dict[tuple[int, bytes], list[Piece]] = {}
+    for low, high in _places(window, PARTS):
+        for _, text, doc, first, anchor in rows:
+            begin, end = max(0, anchor - high), min(len(text) - window + 1, anchor - low + 1)
+            if begin < end:
+                core = text[anchor - low : anchor - high + window]
+                of_core.setdefault((low, core), []).append((text[begin : end + window - 1], doc, first + begin, anchor - low - begin))
+    for pieces in of_core.values():
+        if len(pieces) > 1:
+            yield pieces
+
+
 def _ordered(columns: list[np.ndarray]) -> list[np.ndarray]:
     """Rows (key, digest, doc, first, stop) in this order, the first column counting most."""
     order = np.lexsort(columns[3::-1])
@@ -249,14 +279,22 @@ def _meet(group_segments: int):
     return run
 
 
-def _compare(texts: list[bytes], docs: list[int], firsts: list[int], window: int) -> Iterator[pa.RecordBatch]:
-    """Ranges of windows in ``texts`` that also start earlier in another of them, by one suffix array."""
-    lengths = np.array([len(t) for t in texts])
+def _compare(groups: list[list[Piece]], window: int) -> Iterator[pa.RecordBatch]:
+    """Ranges of windows that also start earlier in another text of their group, by one suffix array over all groups.
+
+    All windows of a group hold the core, so as much of it as all cores have is one symbol that only this group has.
+    """
+    core = window - max(high - low for low, high in _places(window, PARTS))
+    texts, docs, firsts, places = (list(c) for c in zip(*itertools.chain.from_iterable(groups), strict=True))
+    short = [t[: at + 1] + t[at + core :] for t, at in zip(texts, places, strict=True)]
+    lengths = np.array([len(t) for t in short])
     starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
-    symbols = np.frombuffer(b"\0".join(texts), np.uint8).astype(np.int64) + 1
+    symbols = np.frombuffer(b"\0".join(short), np.uint8).astype(np.int64) + 1
     symbols[(starts[1:] - 1)] = 0
+    symbols[starts + np.array(places)] = 257 + np.repeat(np.arange(len(groups)), [len(g) for g in groups])
     order = np.array(suffix_array(symbols))
     owner = np.searchsorted(starts, order, side="right") - 1
+    window -= core - 1
     inside = order - starts[owner] <= lengths[owner] - window
     order, owner = order[inside], owner[inside]
     views = np.lib.stride_tricks.sliding_window_view(symbols, window)
@@ -284,30 +322,32 @@ def _array(window: int):
             numbers = [c.to_numpy(zero_copy_only=False) for c in (kind, key, digest, doc, first, stop)]
             is_window = numbers[0] == _WINDOW
             windows.append([c[is_window].astype(np.int64) for c in numbers[1:]])
-            segs += [(key[i].as_py(), text[i].as_py(), doc[i].as_py(), first[i].as_py()) for i in np.flatnonzero(~is_window)]
+            at = np.flatnonzero(~is_window)
+            segs += zip(numbers[1][at].tolist(), text.take(pa.array(at)).to_pylist(), *[numbers[i][at].tolist() for i in (3, 4, 2)], strict=True)
         if windows:
             columns = _ordered([np.concatenate(c) for c in zip(*windows, strict=True)])
             later = _later(columns, _firsts(columns[0], columns[1]))
             yield from _ranges(*[c[later] for c in columns[2:]])
         segs.sort()
-        group: list[tuple] = []
+        groups: list[list[Piece]] = []
         size, equal = 0, []
         for _, of_key in groupby(segs, key=itemgetter(0)):
             distinct = []
             for s in of_key:
                 if distinct and distinct[-1][1] == s[1]:
-                    if distinct[-1][2:] != s[2:]:
+                    if distinct[-1][2:4] != s[2:4]:
                         equal.append((s[2], s[3], s[3] + len(s[1]) - window + 1))
                 else:
                     distinct.append(s)
             if len(distinct) > 1:
-                group += distinct
-                size += sum(len(s[1]) for s in distinct)
+                for pieces in _shared(distinct, window):
+                    groups.append(pieces)
+                    size += sum(len(p[0]) for p in pieces)
             if size > TEXT_BYTES:
-                yield from _compare(*[[g[i] for g in group] for i in (1, 2, 3)], window)
-                group, size = [], 0
-        if group:
-            yield from _compare(*[[g[i] for g in group] for i in (1, 2, 3)], window)
+                yield from _compare(groups, window)
+                groups, size = [], 0
+        if groups:
+            yield from _compare(groups, window)
         if equal:
             yield from _ranges(*[np.array(c, np.int64) for c in zip(*equal, strict=True)])
 
@@ -333,8 +373,10 @@ def _fetch(window: int):
                         key, digest, docs, first, stop = [c.view(np.int64).tolist() for c in columns]
                         rows += [(_WINDOW, k, g, d, f, s, None) for k, g, d, f, s in zip(key, digest, docs, first, stop, strict=True)]
                     else:
-                        for key, first, stop in _halves(text, w["key"], w["first"], w["stop"], anchor[w["first"]], window):
-                            rows.append((_SEGMENT, key - (1 << 64) if key >> 63 else key, 0, doc, first, stop, text[first : stop + window - 1]))
+                        place = anchor[w["first"]]
+                        for key, first, stop in _halves(text, w["key"], w["first"], w["stop"], place, window):
+                            # The digest is the place of the anchor in the text.
+                            rows.append((_SEGMENT, key - (1 << 64) if key >> 63 else key, place - first, doc, first, stop, text[first : stop + window - 1]))
             columns = list(zip(*rows, strict=True)) or [()] * 7
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [*_FOUND_ARROW, pa.binary()], strict=True)], names=[*_NAMES, "text"])
 

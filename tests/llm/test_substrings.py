@@ -76,3 +76,17 @@ def test_shared_passages(spark):
 
 def test_empty(empty):
     assert substring_dedup.deduplicated(empty).collect() == []
+
+
+def test_only_what_shares_a_core_is_compared(monkeypatch):
+    """Beside an anchor that others have too, a suffix array gets neither what is alone nor all bytes of a core."""
+    rng = random.Random(9)
+    text, other = (bytes(rng.choice(b"abcdefgh ") for _ in range(110)) for _ in range(2))
+    rows = [(7, text, 1, 0, 40), (7, other[:20] + text[20:90] + other[90:], 2, 10, 40)]
+    assert list(substring_dedup._shared(rows, 100)) == []
+    rows[1] = (7, text[:105] + b"?" * 5, 2, 10, 40)
+    groups, sizes = list(substring_dedup._shared(rows, 100)), []
+    monkeypatch.setattr(substring_dedup, "suffix_array", lambda symbols: sizes.append(len(symbols)) or suffix_array(symbols))
+    found = [r for batch in substring_dedup._compare(groups, 100) for r in batch.to_pylist()]
+    assert sorted((r["doc"], i) for r in found for i in range(r["first"], r["stop"])) == [(2, i) for i in range(10, 16)]
+    assert 2 * sum(sizes) < sum(len(p[0]) for g in groups for p in g)
