@@ -3,7 +3,7 @@
 Every vertex adopts the neighbour (or itself) of smallest priority; the links are then drawn between the
 adopted vertices, and the round is repeated until none is left.  Priorities are hashes salted by the round, so
 the number of rounds is logarithmic for chains too.  Links are stored each round: the lineage stays short and a
-lost executor costs one round.
+lost executor costs one round.  What is adopted is counted, and broadcast only if it is few rows.
 """
 
 from __future__ import annotations
@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from foliomill.storage import written
 
 
+#: Rows that may be broadcast.
+MAX_BROADCAST_ROWS = 20_000
+
+
 def _priority(vertex: Column, salt: int) -> Column:
     return F.struct(F.xxhash64(vertex, F.lit(salt)).alias("h"), vertex.alias("v"))
 
@@ -33,8 +37,9 @@ def labels(links: DataFrame) -> DataFrame:
         adopted = written(
             adopted.select("v", F.least("near", _priority(F.col("v"), salt)).getField("v").alias("label")), "adopted"
         )
-        first = adopted.select(F.col("v").alias("a"), F.col("label").alias("la"))
-        second = adopted.select(F.col("v").alias("b"), F.col("label").alias("lb"))
+        beside = adopted.hint("broadcast" if adopted.count() <= MAX_BROADCAST_ROWS else "merge")
+        first = beside.select(F.col("v").alias("a"), F.col("label").alias("la"))
+        second = beside.select(F.col("v").alias("b"), F.col("label").alias("lb"))
         links = written(
             links.join(first, "a").join(second, "b").where("la <> lb")
             .select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(),
@@ -43,7 +48,7 @@ def labels(links: DataFrame) -> DataFrame:
         if result is None:
             result = adopted
         else:
-            step = adopted.select(F.col("v").alias("label"), F.col("label").alias("next"))
+            step = beside.select(F.col("v").alias("label"), F.col("label").alias("next"))
             result = written(
                 result.join(step, "label", "left").select("v", F.coalesce("next", "label").alias("label")), "labels"
             )

@@ -9,6 +9,9 @@ Equal fingerprints are one row throughout.  Where many fingerprints share a vari
 square of the group.  There each fingerprint lists the points at most one bit from it, among the bits the variant
 leaves open: two fingerprints are at most two bits apart exactly if they list a common point, so all that list a
 point are linked to the least of them.  This is exact and linear, and chosen where it makes fewer rows than pairs.
+
+All joins here are hinted to be sort merges: a table of variants counts 64 times as many rows as its estimate, which
+an explode leaves as it was, and would be sent to the driver to be broadcast.
 """
 
 from __future__ import annotations
@@ -98,12 +101,12 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
         .select("fp", "bit", F.col("mask").bitwiseAND(F.col("fp")).bitwiseAND(F.bitwise_not(_bit(F.col("bit")))).alias("key"))
     )
     shared = variants.groupBy("bit", "key").agg(F.count("*").alias("members")).where("members > 1")
-    members = written(variants.join(shared, ["bit", "key"]), "variants")
+    members = written(variants.join(shared.hint("merge"), ["bit", "key"]), "variants")
 
     few = members.where(F.col("members") <= 2 * open_bits)
     a = few.select("bit", "key", F.col("fp").alias("a"))
     b = few.select("bit", "key", F.col("fp").alias("b"))
-    near = a.join(b, ["bit", "key"]).where(
+    near = a.join(b.hint("merge"), ["bit", "key"]).where(
         (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
     )
     many = members.where(F.col("members") > 2 * open_bits).select(
@@ -119,7 +122,7 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     points = many.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
     points = written(points.distinct(), "points")
     least = points.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
-    stars = points.join(least, "point").select("a", F.col("fp").alias("b")).where("a <> b")
+    stars = points.join(least.hint("merge"), "point").select("a", F.col("fp").alias("b")).where("a <> b")
     return near.select("a", "b").union(stars).distinct()
 
 
@@ -135,7 +138,7 @@ def near_duplicates(
     """
     rows = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     of_fp = _least(rows.withColumnRenamed("doc_id", "place"), max_bits)
-    return rows.join(of_fp, "fp").select(
+    return rows.join(of_fp.hint("merge"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id")
     )
 
@@ -144,10 +147,10 @@ def _least(rows: DataFrame, max_bits: int) -> DataFrame:
     """``(fp, least)``: the smallest ``place`` in the component of each fingerprint, of rows ``(fp, place)``."""
     distinct = written(rows.groupBy("fp").agg(F.min("place").alias("own")), "distinct-fingerprints")
     label = labels(links(distinct.select("fp"), max_bits))
-    joined = written(distinct.join(label, distinct.fp == label.v).select("fp", "own", "label"), "labelled")
+    joined = written(distinct.join(label.hint("merge"), distinct.fp == label.v).select("fp", "own", "label"), "labelled")
     least = joined.groupBy("label").agg(F.min("own").alias("least"))
-    moved = joined.join(least, "label").where(~F.col("own").eqNullSafe(F.col("least"))).select("fp", "least")
-    return distinct.join(moved, "fp", "left").select("fp", F.coalesce("least", "own").alias("least"))
+    moved = joined.join(least.hint("merge"), "label").where(~F.col("own").eqNullSafe(F.col("least"))).select("fp", "least")
+    return distinct.join(moved.hint("merge"), "fp", "left").select("fp", F.coalesce("least", "own").alias("least"))
 
 
 def without_near_duplicates(
@@ -172,4 +175,4 @@ def without_near_duplicates(
     rows = written(placed.mapInArrow(run, "place struct<last: boolean, id: long, digest: binary>, fp long"), "fingerprints")
     kept = _least(rows, max_bits).select(F.col("least.digest").alias("digest")).distinct()
     whole = docs.select(every.alias("row"), digest.alias("digest"))
-    return whole.join(kept, "digest", "left_semi").dropDuplicates(["digest"]).select("row.*")
+    return whole.join(kept.hint("merge"), "digest", "left_semi").dropDuplicates(["digest"]).select("row.*")

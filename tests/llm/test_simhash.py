@@ -5,6 +5,7 @@ import pytest
 import xxhash
 from data_llm import odd_rows
 
+from foliomill.llm import components as comps
 from foliomill.llm import simhash
 from foliomill.llm.components import labels
 
@@ -101,3 +102,45 @@ def test_components_of_a_chain_and_a_star(spark):
     assert len({got[1000 + i] for i in range(80)}) == 1
     assert got[0] != got[1000] and 5000 not in got
     assert labels(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def stored_plans(monkeypatch, module):
+    """Plans of the tables that ``module`` stores from now on, by name."""
+    plans, store = {}, module.written
+
+    def written(df, name):
+        plans[name] = plan(df)
+        return store(df, name)
+
+    monkeypatch.setattr(module, "written", written)
+    return plans
+
+
+def test_no_table_of_fingerprints_is_broadcast(spark, monkeypatch):
+    """Spark takes the exploded variants for as small as the fingerprints, so at these sizes it would broadcast them."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(50)}" for _ in range(60)]
+    texts = [" ".join([*base, *(["end"] * (i % 3))]) for i in range(30)] + [f"a{i} b{i} c{i} d{i}" for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plans = stored_plans(monkeypatch, simhash)
+    results = [simhash.near_duplicates(docs), simhash.without_near_duplicates(docs), simhash.links(simhash.fingerprints(docs).select("fp").distinct())]
+    assert all("SortMergeJoin" in plans[name] for name in ("variants", "labelled"))
+    for made in [*plans.values(), *map(plan, results)]:
+        assert "Broadcast" not in made
+    fps = [plain_fingerprint(t) for t in texts]
+    assert results[1].count() == len(set(components(set(fps)).values()))
+
+
+@pytest.mark.parametrize("most", [0, 10, 20_000])
+def test_only_few_adopted_vertices_are_broadcast(spark, monkeypatch, most):
+    monkeypatch.setattr(comps, "MAX_BROADCAST_ROWS", most)
+    plans = stored_plans(monkeypatch, comps)
+    edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 80)]
+    got = {r.v: r.label for r in labels(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len({got[i] for i in range(61)}) == 1 and len({got[1000 + i] for i in range(80)}) == 1
+    assert len(got) == 141 and got[0] != got[1000]
+    assert ("Broadcast" in "".join(plans.values())) == (most > 0)
