@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 
 from foliomill.storage import written
 
-
 #: Rows that may be broadcast.
 MAX_BROADCAST_ROWS = 20_000
 
 
+def sized(stored: DataFrame) -> DataFrame:
+    """A stored table with a hint for joins: broadcast if its rows are counted to be few, else merged."""
+    return stored.hint("broadcast" if stored.count() <= MAX_BROADCAST_ROWS else "merge")
+
+
 def _priority(vertex: Column, salt: int) -> Column:
     return F.struct(F.xxhash64(vertex, F.lit(salt)).alias("h"), vertex.alias("v"))
 
@@ -37,7 +41,7 @@ def labels(links: DataFrame) -> DataFrame:
         adopted = written(
             adopted.select("v", F.least("near", _priority(F.col("v"), salt)).getField("v").alias("label")), "adopted"
         )
-        beside = adopted.hint("broadcast" if adopted.count() <= MAX_BROADCAST_ROWS else "merge")
+        beside = sized(adopted)
         first = beside.select(F.col("v").alias("a"), F.col("label").alias("la"))
         second = beside.select(F.col("v").alias("b"), F.col("label").alias("lb"))
         links = written(

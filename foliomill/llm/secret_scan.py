@@ -154,7 +154,8 @@ def features(found: DataFrame, words: DataFrame, dictionary_words: int = DICTION
         share("[^0-9a-fA-F]").alias("f_hex"),
     )
     beside = F.concat_ws(" ", "before", "after")
-    return found.join(measured, "candidate").select(
+    # Merged, as stored candidates that repeat take far fewer bytes than their rows, and would be broadcast for that.
+    return found.join(measured.hint("merge"), "candidate").select(
         *found.columns, *[f for f in FEATURES if f in measured.columns],
         (F.col("name") != "").cast("double").alias("f_assigned"),
         F.col("before").rlike("[\"'`]$").cast("double").alias("f_quoted"),

@@ -10,8 +10,8 @@ square of the group.  There each fingerprint lists the points at most one bit fr
 leaves open: two fingerprints are at most two bits apart exactly if they list a common point, so all that list a
 point are linked to the least of them.  This is exact and linear, and chosen where it makes fewer rows than pairs.
 
-All joins here are hinted to be sort merges: a table of variants counts 64 times as many rows as its estimate, which
-an explode leaves as it was, and would be sent to the driver to be broadcast.
+Joins of tables that grow are hinted to be sort merges: a table of variants counts 64 times as many rows as its estimate, which
+an explode leaves as it was, and would be sent to the driver to be broadcast.  Only what is counted to be few rows is.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.llm.components import labels
+from foliomill.llm.components import labels, sized
 from foliomill.storage import written
 
 SEED = 42
@@ -137,7 +137,8 @@ def near_duplicates(
     An empty table gives an empty result.
     """
     rows = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    of_fp = _least(rows.withColumnRenamed("doc_id", "place"), max_bits)
+    # Stored, so that both sides of the join are read as exchanged: only then are fingerprints of many rows split up.
+    of_fp = written(_least(rows.withColumnRenamed("doc_id", "place"), max_bits), "least")
     return rows.join(of_fp.hint("merge"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id")
     )
@@ -148,8 +149,8 @@ def _least(rows: DataFrame, max_bits: int) -> DataFrame:
     distinct = written(rows.groupBy("fp").agg(F.min("place").alias("own")), "distinct-fingerprints")
     label = labels(links(distinct.select("fp"), max_bits))
     joined = written(distinct.join(label.hint("merge"), distinct.fp == label.v).select("fp", "own", "label"), "labelled")
-    least = joined.groupBy("label").agg(F.min("own").alias("least"))
-    moved = joined.join(least.hint("merge"), "label").where(~F.col("own").eqNullSafe(F.col("least"))).select("fp", "least")
+    least = sized(written(joined.groupBy("label").agg(F.min("own").alias("least")), "least-of-labels"))
+    moved = joined.join(least, "label").where(~F.col("own").eqNullSafe(F.col("least"))).select("fp", "least")
     return distinct.join(moved.hint("merge"), "fp", "left").select("fp", F.coalesce("least", "own").alias("least"))
 
 

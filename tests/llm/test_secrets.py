@@ -5,6 +5,7 @@ from data_llm import odd_rows
 from pyspark.sql import functions as F
 
 from foliomill.llm import secret_scan as ss
+from foliomill.storage import written
 
 HEX = "0123456789abcdef"
 
@@ -115,3 +116,14 @@ def test_short_secrets_are_blanked_out(spark):
     clean = {r.doc_id: r.text for r in ss.redacted(docs.union(spark.createDataFrame(more, docs.schema))).collect()}
     for (i, text, _), value in zip(more[:4], SHORT.values()):
         assert clean[i] == text.replace(value, ss.PLACEHOLDER)
+
+
+def test_candidates_are_not_broadcast(spark):
+    """One line repeated packs into few bytes of a file, by which Spark would take its rows for few."""
+    rows = [(i, f'token = "{HEX}" and more {i % 2}', "s1") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = written(ss.candidates(docs), "candidates")
+    measured = ss.features(found, ss.vocabulary(docs))
+    made = measured._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [candidate" in made
+    assert measured.count() == found.count() == 300

@@ -122,6 +122,7 @@ def stored_plans(monkeypatch, module):
 
 def test_no_table_of_fingerprints_is_broadcast(spark, monkeypatch):
     """Spark takes the exploded variants for as small as the fingerprints, so at these sizes it would broadcast them."""
+    monkeypatch.setattr(comps, "MAX_BROADCAST_ROWS", 0, raising=False)
     rng = random.Random(4)
     base = [f"w{rng.randrange(50)}" for _ in range(60)]
     texts = [" ".join([*base, *(["end"] * (i % 3))]) for i in range(30)] + [f"a{i} b{i} c{i} d{i}" for i in range(30)]
